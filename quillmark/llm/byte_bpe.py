@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
+@cache
+def library_classes(pattern: str) -> tuple[str, int]:
+    """``pattern`` with letters and numbers as tiktoken's regex engine knows them, and the first character changed.
+
+    Engines follow different Unicode versions. A tokenizer of single bytes that joins a character's last byte to a
+    following ``a`` or ``1`` shows whether the library puts both in one word; characters that only this side's engine
+    counts are taken out of the class.
+    """
+    import regex
+    import tiktoken
+
+    first = 0x110000
+    for name, mark in (("L", b"a"), ("N", b"1")):
+        ranks = {bytes([n]): n for n in range(256)} | {bytes([n]) + mark: 256 + n for n in range(256)}
+        encode = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ours = regex.compile(rf"\p{{{name}}}").match
+        extra = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and ours(chr(c)) and max(encode(chr(c) + mark.decode())) < 256]
+        if extra:
+            ranges: list[list[int]] = []
+            for c in extra:
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1][1] = c
+                else:
+                    ranges.append([c, c])
+            first = min(first, extra[0])
+            out = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges)
+            pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{out}]]")
+    return pattern, first
+
+
 class Merger:
     """Word to packed ids (little-endian unsigned 32-bit), with a bounded memory."""
 
@@ -103,21 +134,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     A null or empty text has no ids; its digests are those of no bytes. Rows with repeated or null ids are encoded like
     any other. A text is encoded whole, however long. Other columns are not read.
     """
+    exact, first = library_classes(pattern)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
         import numpy as np
         import regex
 
-        find, merge = regex.compile(pattern).findall, Merger(ranks.value)
+        # texts without a character that the engines see differently take the plain, faster pattern
+        plain, careful, merge = regex.compile(pattern).findall, regex.compile(exact, regex.V1).findall, Merger(ranks.value)
+        unsure = re.compile(f"[\\U{min(first, 0x10FFFF):08x}-\U0010ffff]").search
         pieces = np.empty(max(ranks.value.values()) + 1, object)
         for piece, rank in ranks.value.items():
             pieces[rank] = piece
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column(1):
-                ids = merge(find(text.as_py() or ""))
+                text = text.as_py() or ""
+                ids = merge((careful if unsure(text) else plain)(text))
                 decoded = b"".join(pieces[np.frombuffer(ids, "<u4")])
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
             columns = list(zip(*rows, strict=True)) or [()] * (3 + 2 * with_ids)
