@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
         .appName("quillmark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", extra.pop("driver_memory", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
