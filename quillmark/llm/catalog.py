@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .ann_search import nearest
 from .byte_bpe import encode_documents
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .language_id import identify
 
 
@@ -33,7 +34,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_ann_search": op8_ann_search,
@@ -41,6 +47,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i+3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh
+  FROM w),
+c AS (SELECT list_sort(sh) AS sh, min(doc_id) AS class_id FROM s WHERE len(sh) > 0 GROUP BY ALL),
+e AS (SELECT class_id, len(sh) AS n, unnest(sh) AS g FROM c),
+l AS (
+  SELECT a.class_id AS x, b.class_id AS y
+  FROM e a JOIN e b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (
+  SELECT class_id AS x, class_id AS y FROM c
+  UNION
+  SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id,
+       coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh LEFT JOIN m ON m.x = c.class_id
+""",
     "op8_ann_search": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
