@@ -11,6 +11,7 @@ from .byte_bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .window_dedup import window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup(_table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op6_window_dedup": op6_window_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op10_language_id": op10_language_id,
     "op5_byte_bpe": op5_byte_bpe,
@@ -47,6 +54,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_window_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS win FROM v),
+d AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM k),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM d WHERE doc_id > least),
+g AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string([ws[i] FOR i IN range(1, len(ws) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+""",
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
