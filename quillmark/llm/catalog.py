@@ -11,6 +11,7 @@ from .byte_bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .suffix_dedup import suffix_dedup
 from .window_dedup import window_dedup
 
 
@@ -44,7 +45,13 @@ def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op6_window_dedup": op6_window_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op10_language_id": op10_language_id,
