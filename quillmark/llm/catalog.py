@@ -11,7 +11,10 @@ from .byte_bpe import encode_documents
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import identify
+from .line_templates import line_dedup
+from .mixing import mix
 from .suffix_dedup import suffix_dedup
+from .token_counts import recount, redactions, token_trees
 from .window_dedup import window_dedup
 
 
@@ -23,8 +26,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"), depth=4, min_documents=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(with_domain(_table(spark, sf_dir, "documents")), MIX_LEVELS, MIX_WEIGHTS, budget_percent=50, max_epochs=4, seed=17)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +48,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
+#: Target weights of the mixing query; a source's domain is the remainder of its number by four.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)', 1), '') as bigint) % 4")
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.coalesce(number, F.lit(0)).cast("string")))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, and again after redaction edits."""
+    trees = redactions(token_trees(_table(spark, sf_dir, "documents"), RANKS, PATTERN))
+    after = recount(trees, RANKS, PATTERN)
+    return after.select("doc_id", "n_before", F.get("tree", F.lit(1)).alias("n_after"), "n_edits", "n_encoded", F.size("leaf_chars").cast("long").alias("n_leaves"), F.sha2("text", 256).alias("edited_sha256"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -51,16 +83,87 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op9_suffix_dedup": op9_suffix_dedup,
-    "op6_window_dedup": op6_window_dedup,
+    "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
-    "op10_language_id": op10_language_id,
+    "op3_line_templates": op3_line_templates,
+    "op4_mixing": op4_mixing,
     "op5_byte_bpe": op5_byte_bpe,
-    "op8_ann_search": op8_ann_search,
+    "op6_window_dedup": op6_window_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ann_search": op8_ann_search,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_language_id": op10_language_id,
 }
 
+def _level_sql(path: list[str], level: str, weight: str) -> str:
+    """SQL of one level of the budget tree: from node budgets n_<parent> to n_<level>."""
+    parent, own = ", ".join(path) or "1", ", ".join([*path, level])
+    source = f"n_{path[-1]}" if path else "n_root"
+    on = f"USING ({', '.join(path)})" if path else "ON true"
+    group = f"PARTITION BY {parent}" if path else ""
+    return f"""
+r_{level} AS (SELECT {own}, sum(tokens * 4)::BIGINT AS room, {weight} AS weight FROM leaves GROUP BY {own} HAVING sum(tokens) > 0),
+o_{level} AS (
+  SELECT r.*, p.given,
+    p.given - coalesce(sum(room) OVER ({group} ORDER BY room / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+    sum(weight) OVER ({group} ORDER BY room / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM r_{level} r JOIN {source} p {on}),
+f_{level} AS (SELECT *, room::HUGEINT * open <= weight::HUGEINT * greatest(left_over, 0) AS is_full FROM o_{level}),
+s_{level} AS (
+  SELECT *, given - coalesce(sum(room) FILTER (is_full) OVER ({group}), 0) AS rest, sum(weight) FILTER (NOT is_full) OVER ({group}) AS sharing
+  FROM f_{level}),
+n_{level} AS (SELECT {own}, CASE WHEN is_full THEN room ELSE (weight::HUGEINT * rest) // sharing END AS given FROM s_{level})"""
+
+
+MIX_SQL = (
+    r"""
+WITH t AS (
+  SELECT doc_id, 'd' || coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]+)', 1), '') AS BIGINT) % 4, 0) AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+n_root AS (SELECT (sum(tokens) * 50 // 100)::BIGINT AS given FROM leaves),"""
+    + ",".join(
+        [
+            _level_sql([], "domain", "CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END"),
+            _level_sql(["domain"], "lang", "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END"),
+            _level_sql(["domain", "lang"], "source", "1"),
+        ]
+    )
+    + """,
+p AS (SELECT domain, lang, source, given // tokens AS epochs, given % tokens AS rest FROM leaves JOIN n_source USING (domain, lang, source)),
+d AS (
+  SELECT t.*, coalesce(epochs, 0) AS epochs, rest, md5('17-' || coalesce(epochs, 0) || '-' || doc_id) AS draw
+  FROM t LEFT JOIN p USING (domain, lang, source)),
+x AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d),
+y AS (SELECT *, coalesce(greatest(least(n_tokens, rest - start), 0), 0)::BIGINT AS extra_tokens FROM x)
+SELECT doc_id, domain, lang, source, n_tokens, epochs::BIGINT AS epochs, extra_tokens, (epochs * n_tokens + extra_tokens)::BIGINT AS selected_tokens
+FROM y
+"""
+)
+
 ORACLES = {
+    "op3_line_templates": r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+m AS (
+  SELECT doc_id, ls,
+    [regexp_replace(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') FOR x IN ls] AS ns
+  FROM l),
+p AS (
+  SELECT doc_id, ls, [CASE WHEN x <> '' THEN len(string_split(x, ' ')) || chr(10) || array_to_string(string_split(x, ' ')[1:4], ' ') || chr(10) || string_split(x, ' ')[-1] END FOR x IN ns] AS ps
+  FROM m),
+u AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p),
+a AS (SELECT doc_id, i, ps[i] AS path, CASE WHEN i > 1 THEN ps[i-1] END AS before, ps[i+1] AS after, list_position(ps, ps[i]) = i AS is_first FROM u),
+c AS (SELECT path FROM (SELECT DISTINCT path, before, after FROM a WHERE is_first AND path IS NOT NULL) GROUP BY path HAVING count(*) >= 10),
+g AS (SELECT doc_id, list(i) AS gone FROM a WHERE path IN (SELECT path FROM c) GROUP BY doc_id)
+SELECT l.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+       sha256(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], chr(10))) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id)
+""",
+    "op4_mixing": MIX_SQL,
     "op6_window_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
