@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillmark.plans import ledger_queries
+
+MODULES = [ledger_queries]
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
