@@ -50,7 +50,7 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 12 if c == "cost_per_call" and places == 8 else places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _report(group: str | None, **filters):
@@ -222,7 +222,7 @@ g AS (
 SELECT CASE WHEN is_total THEN 'TOTAL' ELSE group_key END AS group_key, is_total, calls, input_tokens, output_tokens, cache_read_tokens, cache_write_5m_tokens, cache_write_1h_tokens,
   round(cost, 8) AS cost, round(cost_uncached, 8) AS cost_uncached, round(cost_uncached - cost, 8) AS savings,
   round(coalesce(cache_read_tokens / nullif(input_tokens + cache_read_tokens + cache_write_5m_tokens + cache_write_1h_tokens, 0), 0), 8) AS cache_hit_rate,
-  round(cost / calls, 8) AS cost_per_call
+  round(cost / calls, 12) AS cost_per_call
 FROM g"""
 
 
