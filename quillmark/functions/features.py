@@ -16,7 +16,10 @@ FEATURES = (
 )
 TARGET = "target_next_log_return"
 
-BY_DAY = Window.partitionBy("symbol").orderBy("date")
+
+def by_day():
+    """Each symbol's days in order."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def finite(x: Column) -> Column:
@@ -26,7 +29,7 @@ def finite(x: Column) -> Column:
 
 def rolling(x: Column, k: int, what: str) -> Column:
     """mean, std (of a sample), min or max of the last ``k`` days; null unless all ``k`` are there."""
-    frame = BY_DAY.rowsBetween(1 - k, 0)
+    frame = by_day().rowsBetween(1 - k, 0)
     function = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[what]
     return F.when(F.count(x).over(frame) == k, function(x).over(frame))
 
@@ -64,11 +67,11 @@ def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1)
         raise ValueError("horizon is at least 1")
     c = F.col("c")
     base = bars.select("symbol", "date", F.col(price_column).alias("c"), "high", "low", "close", "volume")
-    lagged = base.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(BY_DAY)), "change": c - F.lag(c).over(BY_DAY), "close_before": F.lag("close").over(BY_DAY), "v": zero_null(F.col("volume")), "bar_pos": F.row_number().over(BY_DAY) - 1})
+    lagged = base.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(by_day())), "change": c - F.lag(c).over(by_day()), "close_before": F.lag("close").over(by_day()), "v": zero_null(F.col("volume")), "bar_pos": F.row_number().over(by_day()) - 1})
     r, v = F.col("r"), F.col("v")
-    out: dict[str, Column] = {f"ret_lag_{k}": F.lag(r, k - 1).over(BY_DAY) if k > 1 else r for k in (1, 2, 3, 5, 10)}
+    out: dict[str, Column] = {f"ret_lag_{k}": F.lag(r, k - 1).over(by_day()) if k > 1 else r for k in (1, 2, 3, 5, 10)}
     for k in (5, 10, 21, 63):
-        out[f"momentum_{k}"] = F.ln(c / F.lag(c, k).over(BY_DAY)) / zero_null(rolling(r, k, "std") * math.sqrt(k))
+        out[f"momentum_{k}"] = F.ln(c / F.lag(c, k).over(by_day())) / zero_null(rolling(r, k, "std") * math.sqrt(k))
     out |= {"vol_5": rolling(r, 5, "std"), "vol_21": rolling(r, 21, "std"), "vol_ratio": rolling(r, 5, "std") / zero_null(rolling(r, 21, "std"))}
     for k in (10, 21, 63):
         out[f"ma_gap_{k}"] = (c - rolling(c, k, "mean")) / zero_null(rolling(c, k, "std"))
@@ -82,7 +85,7 @@ def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1)
     out["volume_trend"] = F.ln(rolling(v, 5, "mean") / zero_null(rolling(v, 21, "mean")))
     angle = 2 * math.pi * F.weekday("date") / 5.0
     out |= {"dow_sin": F.sin(angle), "dow_cos": F.cos(angle)}
-    out[TARGET] = F.ln(F.lead(c, horizon).over(BY_DAY) / c)
+    out[TARGET] = F.ln(F.lead(c, horizon).over(by_day()) / c)
     smooth_in = {
         "gain": F.when(F.col("change").isNotNull(), F.greatest("change", F.lit(0.0))),
         "loss": F.when(F.col("change").isNotNull(), F.greatest(-F.col("change"), F.lit(0.0))),
@@ -100,7 +103,7 @@ def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1)
 def dataset(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1) -> DataFrame:
     """Complete rows only, numbered by ``pos`` from 0 in each symbol."""
     whole = features(bars, price_column, horizon).dropna(how="any")
-    return whole.withColumn("pos", F.row_number().over(BY_DAY) - 1)
+    return whole.withColumn("pos", F.row_number().over(by_day()) - 1)
 
 
 def lookahead_leaks(bars: DataFrame, make, cut_share: float = 0.7, rtol: float = 1e-9, atol: float = 1e-12, columns: list[str] | None = None) -> DataFrame:
@@ -109,7 +112,7 @@ def lookahead_leaks(bars: DataFrame, make, cut_share: float = 0.7, rtol: float =
     ``make`` builds features from bars. No row means no feature looks ahead.
     """
     columns = columns or FEATURES
-    ranked = bars.withColumn("_share", F.percent_rank().over(BY_DAY))
+    ranked = bars.withColumn("_share", F.percent_rank().over(by_day()))
     noise = 0.5 + 1.5 * F.pmod(F.xxhash64("symbol", "date"), F.lit(1_000_003)) / 1_000_003
     changed = ranked.withColumns({c: F.when(F.col("_share") >= cut_share, F.col(c) * noise).otherwise(F.col(c)) for c in ("open", "high", "low", "close", "adj_close", "volume")})
     before = ranked.where(F.col("_share") < cut_share).select("symbol", "date")

@@ -76,7 +76,7 @@ def price(df: DataFrame, rates: DataFrame, day: Column | dt.date | None = None,
     priced = joined.withColumns({"_in": rate_in * factor / MILLION, "_out": rate_out * factor / MILLION})
     if strict:
         error = F.raise_error(F.concat(F.lit("speed not offered: "), F.coalesce("speed", F.lit("null"))))
-        priced = priced.withColumn("_in", F.coalesce("_in", error))
+        priced = priced.withColumn("_in", F.when(F.col("rate_in").isNotNull(), F.coalesce("_in", error)))
     else:
         priced = priced.where(F.col("_in").isNotNull() & F.col("_out").isNotNull())
     prompt = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")
