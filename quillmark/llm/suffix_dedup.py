@@ -3,7 +3,7 @@
 A byte goes when a string of ``length`` bytes that covers it starts at another place too. Strings are compared by
 suffix sorting with a difference cover modulo 3: triples at sampled positions are sorted and named, the names are
 sorted recursively, the remaining suffixes are merged in, and then neighbours in the suffix order are compared over
-``length`` bytes. Symbols are 8-byte words at a stride of 8, so four levels reach 400 bytes.
+``length`` bytes. Symbols are blocks of 50 bytes at a stride of 50, so two levels reach 400 bytes.
 
 The suffix sorting is dealt out by content: consecutive strings that share a minimiser (the smallest hash of 16 bytes
 inside) travel as one packed segment to the minimiser's bucket, and equal strings meet in one bucket, where the suffix
@@ -24,7 +24,7 @@ from .shared import shuffle_parts, stored
 from .words import mix
 
 #: Bytes of distinct segments that one suffix sort takes; a larger bucket is dealt anew by another minimiser.
-SORTED_BYTES = 1_500_000
+SORTED_BYTES = 300_000
 #: Bytes of text that minimisers are taken of at once.
 TEXT_BYTES = 1_000_000
 SEED_BYTES = 16
@@ -62,13 +62,46 @@ def minimisers(data, length: int, salt: int = 0):
     return values[start], start, end, moved[start] != moved[end]
 
 
-def _ranked(*columns):
-    """1, 2, ... for each row of columns in their order; equal rows share a rank."""
+def symbols_at(words, length: int):
+    """Symbols of the suffix sort and their stride: blocks of a ninth to a third of ``length`` where one divides it,
+    named by a 64-bit hash, else 8-byte words in byte order.
+
+    Any order of blocks will do, for only equal strings need to be neighbours; what a block leaves of ``length`` must be
+    in byte order.
+    """
+    import numpy as np
+
+    size = next((length // n for n in (9, 8, 7, 6, 5, 4, 3) if length % n == 0 and length // n > 8), 8)
+    if size == 8:
+        return words, 8
+    out = np.zeros(len(words), np.uint64)
+    factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    for n, k in enumerate([*range(0, size - 8, 8), size - 8]):
+        out[: len(out) - k] += words[k:] * factors[n]
+    return mix(out), size
+
+
+def _packed(columns, tops) -> tuple:
+    """Rows of columns as one number each, in their order; ``tops`` are bounds of the columns."""
+    import numpy as np
+
+    out, top = columns[0], int(tops[0])
+    for column, bound in zip(columns[1:], tops[1:], strict=True):
+        if top * int(bound) >= 1 << 64:
+            out = np.unique(out, return_inverse=True)[1].astype(np.uint64)
+            top = len(out)
+        out, top = out * np.uint64(bound) + column, top * int(bound)
+    return out
+
+
+def _ranked(keys):
+    """1, 2, ... by size; equal keys share a rank."""
     import numpy as np
 
-    out = np.unique(columns[0], return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
-    for column in columns[1:]:
-        out = np.unique(out * np.uint64(int(column.max(initial=0)) + 1) + column, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else 0
     return out
 
 
@@ -80,31 +113,36 @@ def suffix_ranks(s, depth: int):
     import numpy as np
 
     n = len(s)
-    if depth <= 1 or n < 3:
-        return s if depth <= 1 else _ranked(*(np.r_[s[k:], np.zeros(k, np.uint64)] for k in range(min(depth, n))))
+    if depth <= 1:
+        return s
+    top = int(s.max(initial=0)) + 2
     padded = np.r_[s, np.zeros(3, np.uint64)]
+    if n < 3:
+        return _ranked(_packed([padded[k : k + n] for k in range(3)], [top] * 3))
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     at = np.r_[one, two]
-    names = _ranked(padded[at], padded[at + 1], padded[at + 2])
+    names = _ranked(_packed([padded[at], padded[at + 1], padded[at + 2]], [top] * 3))
     if depth > 3 and int(names.max(initial=0)) < len(names):
         text = np.r_[names[: len(one)], np.zeros(1, np.uint64), names[len(one) :]] + np.uint64(1)
         deeper = suffix_ranks(text, -(-depth // 3))
-        names = _ranked(np.r_[deeper[: len(one)], deeper[len(one) + 1 :]])
+        names = np.r_[deeper[: len(one)], deeper[len(one) + 1 :]]
     rank = np.zeros(n + 3, np.uint64)
     rank[at] = names
-    wide = np.uint64(int(names.max(initial=0)) + 2)
-    top = np.uint64(int(s.max()) + 2)
+    wide = int(names.max(initial=0)) + 2
     # remaining suffixes: a symbol and the rank of what follows; against the second class two symbols
-    zero_key = padded[zero] * wide + rank[zero + 1]
-    one_key = padded[one] * wide + rank[one + 1]
-    pair = _ranked(np.r_[padded[zero] * top + padded[zero + 1], padded[two] * top + padded[two + 1]])
-    zero_far, two_far = pair[: len(zero)] * wide + rank[zero + 2], pair[len(zero) :] * wide + rank[two + 2]
-    zero_sorted, far_sorted, one_sorted, two_sorted, names_sorted = (np.sort(x) for x in (zero_key, zero_far, one_key, two_far, names))
+    zero_key = padded[zero] * np.uint64(wide) + rank[zero + 1]
+    one_key = padded[one] * np.uint64(wide) + rank[one + 1]
+    far = np.r_[zero, two]
+    far_key = _packed([padded[far], padded[far + 1], rank[far + 2]], [top, top, wide])
+    zero_far, two_far = far_key[: len(zero)], far_key[len(zero) :]
     out = np.empty(n, np.uint64)  # how many suffixes are smaller
-    out[zero] = np.searchsorted(zero_sorted, zero_key) + np.searchsorted(one_sorted, zero_key) + np.searchsorted(two_sorted, zero_far)
-    below = np.searchsorted(names_sorted, names)
-    out[one] = below[: len(one)] + np.searchsorted(zero_sorted, one_key)
-    out[two] = below[len(one) :] + np.searchsorted(far_sorted, two_far)
+    by_zero, by_one, by_two = (np.argsort(x) for x in (zero_key, one_key, two_far))
+    zero_sorted, one_sorted, two_sorted, far_sorted, names_sorted = zero_key[by_zero], one_key[by_one], two_far[by_two], np.sort(zero_far), np.sort(names)
+    # sorted needles keep the searches in the processor's cache
+    out[zero[by_zero]] = np.searchsorted(zero_sorted, zero_sorted) + np.searchsorted(one_sorted, zero_sorted) + np.searchsorted(two_sorted, zero_far[by_zero])
+    below = np.searchsorted(names_sorted, np.r_[names[: len(one)][by_one], names[len(one) :][by_two]])
+    out[one[by_one]] = below[: len(one)] + np.searchsorted(zero_sorted, one_sorted)
+    out[two[by_two]] = below[len(one) :] + np.searchsorted(far_sorted, two_sorted)
     return out + np.uint64(1)
 
 
@@ -114,18 +152,18 @@ def repeated_starts(data, starts, length: int):
 
     if len(starts) < 2:
         return np.zeros(len(starts), bool)
-    size = len(data) + 8 * (length // 8 + 3)
-    size += -size % 8
-    padded = np.zeros(size, np.uint8)
+    padded = np.zeros(len(data) + 2 * length, np.uint8)
     padded[: len(data)] = data
     words = words_at(padded)
-    # all positions of one residue modulo 8 after another: a stride of 8 bytes becomes a step of one
-    ranks = suffix_ranks(_ranked(words.reshape(-1, 8).T.ravel()), -(-length // 8))
-    order = starts[np.argsort(ranks.reshape(8, -1).T.ravel()[starts], kind="stable")]
+    symbols, stride = symbols_at(words, length)
+    symbols = np.r_[symbols, np.zeros(-len(symbols) % stride, np.uint64)]
+    # all positions of one residue one after another: a stride becomes a step of one
+    ranks = suffix_ranks(_ranked(symbols.reshape(-1, stride).T.ravel()), -(-length // stride))
+    order = starts[np.argsort(ranks.reshape(stride, -1).T.ravel()[starts])]
     i = np.arange(len(order) - 1)
-    for k in range(0, length - 7, 8):  # neighbours that agree so far
-        i = i[words[order[i] + k] == words[order[i + 1] + k]]
-    if length % 8:
+    for k in range(0, length - stride + 1, stride):  # neighbours that agree so far
+        i = i[symbols[order[i] + k] == symbols[order[i + 1] + k]]
+    if length % stride:
         i = i[words[order[i] + length - 8] == words[order[i + 1] + length - 8]]
     found = np.zeros(len(data) + 1, bool)
     found[order[i]] = found[order[i + 1]] = True
