@@ -88,17 +88,37 @@ def forest(train_x, train_y, test_x, trees: int = 300, depth: int = 4, leaf: int
     return out / trees
 
 
+def _grow_binned(codes, g, depth: int, leaf: int, l2: float, bins: int):
+    """A tree over binned columns: the gains of all splits of all columns from two histograms."""
+    import numpy as np
+
+    n, k = codes.shape
+    if depth == 0 or n < 2 * leaf:
+        return g.sum() / (n + l2)
+    flat = (codes + np.arange(k) * bins).ravel()
+    count = np.bincount(flat, minlength=k * bins).reshape(k, bins).cumsum(axis=1)[:, :-1]
+    left = np.bincount(flat, np.repeat(g, k), minlength=k * bins).reshape(k, bins).cumsum(axis=1)[:, :-1]
+    total = g.sum()
+    gain = left**2 / (count + l2) + (total - left) ** 2 / (n - count + l2) - total**2 / (n + l2)
+    gain[(count < leaf) | (n - count < leaf)] = 0
+    best = int(gain.argmax())
+    if gain.ravel()[best] <= 1e-12:
+        return total / (n + l2)
+    column, cut = divmod(best, bins - 1)
+    low = codes[:, column] <= cut
+    return column, cut, _grow_binned(codes[low], g[low], depth - 1, leaf, l2, bins), _grow_binned(codes[~low], g[~low], depth - 1, leaf, l2, bins)
+
+
 def boosting(train_x, train_y, test_x, rounds: int = 300, depth: int = 3, rate: float = 0.02, leaf: int = 50, l2: float = 1.0):
-    """Gradient boosting of squared error with shrunk leaves."""
+    """Gradient boosting of squared error with shrunk leaves, over features in 255 bins, as their order is all that matters."""
     import numpy as np
 
-    columns = np.arange(train_x.shape[1])
-    # features in 255 bins, as their order is all that matters
+    columns = range(train_x.shape[1])
     edges = [np.unique(np.quantile(train_x[:, c], np.linspace(0, 1, 256)[1:-1])) for c in columns]
-    a, b = (np.stack([np.searchsorted(edges[c], x[:, c]) for c in columns], axis=1).astype(float) for x in (train_x, test_x))
+    a, b = (np.stack([np.searchsorted(edges[c], x[:, c]) for c in columns], axis=1) for x in (train_x, test_x))
     fit, out = np.full(len(a), train_y.mean()), np.full(len(b), train_y.mean())
     for _ in range(rounds):
-        tree = _grow(a, train_y - fit, depth, leaf, columns, l2)
+        tree = _grow_binned(a, train_y - fit, depth, leaf, l2, 256)
         fit += rate * _tree(tree, a)
         out += rate * _tree(tree, b)
     return out
@@ -143,7 +163,9 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
             out.append(part[["symbol", "model", "fold", "date", "prediction", "actual"]])
         return pd.concat(out)
 
-    return rows.groupBy("symbol", "fold").applyInPandas(run, RESULT)
+    # training is heavy for few bytes: a fixed number of partitions, so that small ones are not joined
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "symbol", "fold").groupBy("symbol", "fold").applyInPandas(run, RESULT)
 
 
 def baseline_predictions(data: DataFrame, train: int = 750, test: int = 126, step: int | None = None, expanding: bool = False, embargo: int = 1) -> DataFrame:
