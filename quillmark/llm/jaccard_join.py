@@ -10,19 +10,22 @@ either, so their first two common tokens lie in the first ``n - need + 2`` token
   classes are indexed one by one.
 
 Documents that share an index key are candidates. Short lists give all their pairs. In a long list each member first
-meets the list's most central member only; then members that are still in different components meet. Candidates are
+meets the list's most central member, its hub, only; then members of a hub that are still in different components meet,
+told apart by a sketch of fixed size that bounds in how many tokens two sets differ. Candidates are
 verified on the whole sets, so nothing but the speed depends on the table of frequent tokens, whose size is fixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
+from .repeat_filter import may_repeat, members
 from .shared import shuffle_parts, stored
 from .words import Hasher, mix, word_hashes
 
@@ -30,6 +33,8 @@ from .words import Hasher, mix, word_hashes
 SHORT_LIST = 8
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
+#: Bits of a sketch of one size for all sets, which joins compare without leaving the JVM.
+OUTLINE_BITS = 512
 #: Tokens counted at once by a task when it looks for frequent ones.
 COUNTED = 3_000_000
 
@@ -42,10 +47,39 @@ def shingle_set(hashes, width: int):
     if not n:
         return np.zeros(0, np.uint64)
     size = min(n, width)
-    out = np.full(n - size + 1, size, np.uint64)
+    factors = mix(np.arange(size + 1, dtype=np.uint64) + np.uint64(size << 32)) | np.uint64(1)
+    out = np.full(n - size + 1, factors[size], np.uint64)
     for k in range(size):
-        out = mix(out + hashes[k : n - size + 1 + k])
-    return np.unique(out)
+        out += hashes[k : n - size + 1 + k] * factors[k]
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def sketch(tokens, size: int | None = None) -> bytes:
+    """Parities of the tokens in ``size`` buckets, or in about twice as many as there are tokens, packed.
+
+    A token that only one of two sets has flips one bit, so two sketches differ in no more bits than the sets differ in
+    tokens. The number of buckets is a power of two of at least 64; halves of a longer sketch can be folded together.
+    """
+    import numpy as np
+
+    if size is None:
+        size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    parity = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many tokens two sets differ at least, by their sketches."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits = 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
 
 
 def fingerprint(tokens) -> int:
@@ -56,37 +90,40 @@ def fingerprint(tokens) -> int:
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, name of each document; of kind 1: a token often met in one task, and how often."""
+    """Rows of kind 0: doc_id, n, name, sketch, outline of each document; of kind 1: a token often met in one task, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         hasher, held, size = Hasher(), [], 0
 
-        def rows(kind, ids, n, names):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), ids, pa.array(n, pa.int64()), pa.array(names, pa.int64())], names=["kind", "doc_id", "n", "name"])
+        def rows(kind, ids, n, names, sketches, outlines):
+            arrays = [pa.array(np.full(len(n), kind, np.int8)), ids, pa.array(n, pa.int64()), pa.array(names, pa.int64()), sketches, outlines]
+            return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc_id", "n", "name", "sketch", "outline"])
 
         def often():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= 8
-            return rows(1, pa.nulls(int(some.sum()), pa.int64()), n[some].astype(np.int64), tokens[some].view(np.int64))
+            return rows(1, pa.nulls(int(some.sum()), pa.int64()), n[some].astype(np.int64), tokens[some].view(np.int64), pa.nulls(int(some.sum()), pa.binary()), pa.nulls(int(some.sum()), pa.list_(pa.int64())))
 
         for batch in batches:
-            ns, names = [], []
+            ns, names, sketches, outlines = [], [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 ns.append(len(tokens))
                 names.append(fingerprint(tokens))
+                sketches.append(sketch(tokens))
+                outlines.append(np.frombuffer(sketch(tokens, OUTLINE_BITS), "<i8"))
                 held.append(tokens)
                 size += len(tokens)
                 if size > COUNTED:
                     yield often()
                     held, size = [], 0
-            yield rows(0, batch.column(0), ns, names)
+            yield rows(0, batch.column(0), ns, names, pa.array(sketches, pa.binary()), pa.array(outlines, pa.list_(pa.int64())))
         if held:
             yield often()
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, name long")
+    return docs.mapInArrow(run, "kind byte, doc_id long, n long, name long, sketch binary, outline array<long>")
 
 
 def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
@@ -105,9 +142,12 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
         def index(tokens):
             n = len(tokens)
             need = -(-n * percent // 100)
-            at = np.minimum(np.searchsorted(tokens_known, tokens), len(tokens_known) - 1)
-            level = np.where(tokens_known[at] == tokens, classes[at], 0) if len(tokens_known) else np.zeros(n, np.int8)
-            order = np.argsort(level, kind="stable")[: n - need + 2]
+            if len(tokens_known):
+                at = np.minimum(np.searchsorted(tokens_known, tokens), len(tokens_known) - 1)
+                level = np.where(tokens_known[at] == tokens, classes[at], 0)
+            else:
+                level = np.zeros(n, np.int8)
+            order = np.argsort(level, kind="stable")[: n - need + 2] if level.any() else np.arange(min(n, n - need + 2))
             tokens, rare = tokens[order], level[order] == 0
             keys = [tokens[: n - need + 1][rare[: n - need + 1]]]
             if not rare.all():
@@ -197,25 +237,44 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "key long, a long, n_a int, b long, n_b int")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, n_a, b, n_b) whose whole sets are alike enough."""
-    left = sets.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("right"))
-    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"])
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, n_a, b, n_b) whose sketches do not rule a link out."""
+    left, right = (sketches.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select("a", "n_a", "b", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
+                # shared = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2 where the sets differ in d tokens
+                d = differing(x, y)
+                keep.append(100 * (n_a + n_b - d) >= percent * (n_a + n_b + d))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "n_a", "b", "n_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, n_a int, b long, n_b int")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (id_a, id_b) between classes: the pairs whose whole sets are alike enough."""
+    named = pairs.select(F.col("a").alias("name"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
+    wanted = stored(named.join(classes, ["n", "name"]), "wanted")
+    sets = stored(_sets(texts, members(wanted.select("class_id")), width).join(wanted.select(F.col("class_id").alias("doc_id"), "n", "name"), ["doc_id", "n", "name"]), "sets")
+    left, right = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc_id").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select("id_a", "id_b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column(4), batch.column(5), strict=True):
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 shared = int((b[at] == a).sum())
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "n_a", "b", "n_b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id_a", "id_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "n_a", "b", "n_b", "left", "right").mapInArrow(run, "a long, n_a int, b long, n_b int")
+    return both.mapInArrow(run, "id_a long, id_b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent_tokens: int = 131_072, frequent_from: int = 64) -> DataFrame:
@@ -229,47 +288,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scan = stored(_scan(texts, width), "scan")
-    meta = scan.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("n").cast("int").alias("n"), "name")
+    meta = scan.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("n").cast("int").alias("n"), "name", "sketch", "outline")
     often = scan.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from)
     top = often.orderBy(F.desc("n"), "name").limit(frequent_tokens).toPandas()  # at most frequent_tokens rows
     frequent = spark.sparkContext.broadcast(_levels(top))
     classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("class_id"))
+    sketches = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.first("sketch").alias("sketch"), F.first("outline").alias("outline"))
 
     dealt = _postings(texts.where("doc_id IS NOT NULL"), width, percent, frequent)
     lists = stored(_lists(dealt.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "n", "name"), percent), "lists")
     pairs = lists.where("key IS NULL").select("a", "n_a", "b", "n_b")
-    members = lists.where("key IS NOT NULL").select("key", "a", "n_a").distinct()
+    inside = lists.where("key IS NOT NULL").select("key", "a", "n_a").distinct()
     # the most central member: in as many long lists as its size allows
-    central = members.groupBy("a", "n_a").agg(F.count("*").alias("lists")).withColumn("weight", F.col("lists") / F.col("n_a"))
-    hubs = members.join(central, ["a", "n_a"]).groupBy("key").agg(F.max(F.struct("weight", "a", "n_a")).alias("hub"))
-    stars = members.join(hubs, "key").select("a", "n_a", F.col("hub.a").alias("b"), F.col("hub.n_a").alias("n_b"))
+    central = inside.groupBy("a", "n_a").agg(F.count("*").alias("lists")).withColumn("weight", F.col("lists") / F.col("n_a"))
+    hubs = inside.join(central, ["a", "n_a"]).groupBy("key").agg(F.max(F.struct("weight", "a", "n_a")).alias("hub"))
+    stars = inside.join(hubs, "key").select("a", "n_a", F.col("hub.a").alias("b"), F.col("hub.n_a").alias("n_b"))
     fits = (F.col("a") != F.col("b")) | (F.col("n_a") != F.col("n_b"))
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     first = stored(pairs.union(stars).where(fits & near).select(*_ordered()).distinct(), "pairs")
-
-    named = lists.select(F.col("a").alias("name"), F.col("n_a").alias("n")).union(lists.where("b IS NOT NULL").select("b", "n_b")).distinct()
-    wanted = named.join(classes, ["n", "name"]).select(F.col("class_id").alias("doc_id"), "n", "name")
-    sets = stored(_sets(texts.join(wanted, "doc_id"), width), "sets")
-
-    ids_a = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("class_id").alias("id_a"))
-    ids_b = classes.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("class_id").alias("id_b"))
-
-    def with_ids(found: DataFrame, label: str) -> DataFrame:
-        return stored(found.join(ids_a, ["a", "n_a"]).join(ids_b, ["b", "n_b"]).select("id_a", "id_b"), label)
-
-    links = with_ids(_verify(first, sets, percent), "found")
+    links = stored(_verify(stored(_alike(first, sketches, percent), "alike"), texts, classes, width, percent), "found")
     labels = connected(links, "id_a", "id_b")
-    # members of a long list that are still apart meet each other
-    placed = members.join(ids_a, ["a", "n_a"]).join(labels, F.col("id_a") == F.col("node"), "left").select("key", "a", "n_a", F.coalesce("component", "id_a").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_lists = placed.join(apart, "key")
-    other = open_lists.select("key", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("part").alias("part_b"))
-    rest = open_lists.join(other, "key").where((F.col("part") != F.col("part_b")) & (F.col("a") < F.col("b")) & near).select("a", "n_a", "b", "n_b").distinct()
-    more = with_ids(_verify(rest.join(first, ["a", "n_a", "b", "n_b"], "left_anti"), sets, percent), "found")
+    # members around one hub that are still apart meet each other, once a hub and not once a list
+    ids_a = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("class_id").alias("id_a"))
+    around = stars.select(F.struct("b", "n_b").alias("hub"), "a", "n_a").distinct()
+    placed = around.join(ids_a, ["a", "n_a"]).join(labels, F.col("id_a") == F.col("node"), "left").select("hub", "a", "n_a", F.coalesce("component", "id_a").alias("part"))
+    apart = placed.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub")
+    words = [f"w{k}" for k in range(OUTLINE_BITS // 64)]
+    outlines = sketches.select(F.col("name").alias("a"), F.col("n").alias("n_a"), *[F.col("outline")[k].alias(w) for k, w in enumerate(words)])
+    open_hubs = stored(placed.join(apart, "hub").join(outlines, ["a", "n_a"]), "open")
+    other = open_hubs.select("hub", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("part").alias("part_b"), *[F.col(w).alias(f"{w}_b") for w in words])
+    # sets that differ in more tokens than a link allows are told apart in the join itself
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+    alike = differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    rest = open_hubs.join(other, "hub").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")) & near & alike).select("a", "n_a", "b", "n_b").distinct()
+    rest = rest.join(first, ["a", "n_a", "b", "n_b"], "left_anti")
+    more = stored(_verify(stored(_alike(rest, sketches, percent), "alike"), texts, classes, width, percent), "found")
     final = connected(labels.select(F.col("node").alias("id_a"), F.col("component").alias("id_b")).union(more), "id_a", "id_b")
 
     known = classes.join(final, F.col("class_id") == F.col("node"), "left")
-    joined = meta.join(known.select("n", "name", "class_id", "component"), ["n", "name"], "left")
+    joined = meta.drop("sketch", "outline").join(known.select("n", "name", "class_id", "component"), ["n", "name"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     return joined.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("class_id"), F.coalesce(F.when(own.isNotNull(), F.coalesce("component", "class_id")), "doc_id").alias("component_id"))
 
@@ -290,18 +347,17 @@ def _levels(top):
     return tokens[order], level[order]
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """Whole sets of chosen documents: name, n, tokens (sorted 64-bit hashes, packed)."""
+def _sets(texts: DataFrame, ids, width: int) -> DataFrame:
+    """Whole sets of documents whose id is in a filter: doc_id, n, name, tokens (sorted 64-bit hashes, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        import numpy as np
+
+        hasher, bits = Hasher(), np.frombuffer(ids.value, np.uint8)
         for batch in batches:
-            out = []
-            for text, n, name in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
-                if len(tokens) == n and fingerprint(tokens) == name:  # a repeated id may have another text
-                    out.append((name, n, tokens.tobytes()))
-            names, ns, packed = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ns, pa.int32()), pa.array(packed, pa.binary())], names=["name", "n", "tokens"])
+            batch = batch.filter(pa.array(may_repeat(bits, batch.column(0).to_numpy().view(np.uint64))))
+            out = [shingle_set(word_hashes(text.as_py(), hasher), width) for text in batch.column(1)]
+            arrays = [batch.column(0), pa.array([len(x) for x in out], pa.int32()), pa.array([fingerprint(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "name", "tokens"])
 
-    return texts.select("text", "n", "name").mapInArrow(run, "name long, n int, tokens binary")
+    return texts.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n int, name long, tokens binary")

@@ -42,8 +42,8 @@ def pack(hashes, log_bits: int = LOG_BITS) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=["chunk", "positions"])
 
 
-def repeated(packed: DataFrame, log_bits: int = LOG_BITS):
-    """Broadcast bits (as bytes) that were hit at least twice, from rows of :func:`pack`."""
+def repeated(packed: DataFrame, log_bits: int = LOG_BITS, times: int = 2):
+    """Broadcast bits (as bytes) that were hit at least ``times`` (1 or 2) times, from rows of :func:`pack`."""
     import numpy as np
 
     size = 2 ** (log_bits - LOG_CHUNKS)
@@ -59,16 +59,27 @@ def repeated(packed: DataFrame, log_bits: int = LOG_BITS):
                 b[at[a[at]]] = True
                 b[at[1:][at[1:] == at[:-1]]] = True
                 a[at] = True
-        chunks = sorted(twice)
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([np.packbits(twice[c], bitorder="little").tobytes() for c in chunks], pa.binary())], names=["chunk", "bits"])
+        hit = once if times == 1 else twice
+        chunks = sorted(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([np.packbits(hit[c], bitorder="little").tobytes() for c in chunks], pa.binary())], names=["chunk", "bits"])
 
     bits = bytearray(2**log_bits // 8)
     dealt = packed.repartition(min(2**LOG_CHUNKS, shuffle_parts(packed.sparkSession)), "chunk")
-    for chunk, part in dealt.mapInArrow(merge, "chunk int, bits binary").toLocalIterator():  # 2**log_bits / 8 bytes in all
+    for chunk, part in dealt.mapInArrow(merge, "chunk int, bits binary").collect():  # 2**log_bits / 8 bytes in all
         bits[chunk * size // 8 : (chunk + 1) * size // 8] = part
     return packed.sparkSession.sparkContext.broadcast(bytes(bits))
 
 
+def members(values: DataFrame, log_bits: int = LOG_BITS):
+    """Broadcast bits of a table with one column of longs: those of its values are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pack(batch.column(0).to_numpy().view("uint64"), log_bits)
+
+    return repeated(values.mapInArrow(run, PACKED), log_bits, times=1)
+
+
 def may_repeat(bits, hashes, log_bits: int = LOG_BITS):
     """Which hashes may occur more than once; ``bits`` is a uint8 array of the filter."""
     import numpy as np
