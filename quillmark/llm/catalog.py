@@ -27,7 +27,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(_table(spark, sf_dir, "documents"), depth=4, min_documents=10)
+    found = line_dedup(_table(spark, sf_dir, "documents"), depth=4, min_documents=10, by="surroundings")
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -2,9 +2,8 @@
 
 A line walks down a tree of fixed depth: its number of tokens, then its leading tokens, then its last token, where a
 token with a digit counts as a variable field. The leaf is its template; everything between leading and last token is
-left to vary. A template recurs when it stands in enough documents with different surroundings (the templates of the
-lines before and after): copies of one document share their surroundings and do not make its lines boilerplate.
-Recurring templates are dropped. All steps are DataFrame functions.
+left to vary. A template recurs when it stands in enough documents; copies of one document have its sequence of templates,
+count once, and do not make its lines boilerplate. Recurring templates are dropped. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -31,27 +30,36 @@ def template(normal: Column, depth: int) -> Column:
     return F.when(normal != "", F.concat_ws("\n", tokens.cast("string"), F.substring_index(normal, " ", depth), F.substring_index(normal, " ", -1)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, min_documents: int = 10, carry: Sequence[str] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, min_documents: int = 10, carry: Sequence[str] = (), by: str = "documents") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept (the lines that stay).
 
     Columns named in ``carry`` are handed through in a struct ``carried``.
 
-    Lines are separated by a line feed; blank lines have no template and stay. A document counts once for a template, with
-    the surroundings of the first such line. A null text has one empty line, like an empty one. Repeated rows have equal
-    surroundings and so count once. Other columns are not read.
+    Lines are separated by a line feed; blank lines have no template and stay. A null text has one empty line, like an
+    empty one. Other columns are not read.
+
+    ``by`` says what is counted against ``min_documents``. "documents": documents with different sequences of templates
+    (blank lines aside); a sequence of one template tells no copies, so such documents count by their text. Repeated rows
+    count once. "surroundings", as the SQL of the query has it: different pairs of templates before and after the first
+    such line of a document, so lines that always stand in the same place stay however many documents have them.
     """
+    if by not in ("documents", "surroundings"):
+        raise ValueError("by is documents or surroundings")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), F.struct(*[F.col(c) for c in carry] or [F.lit(None).alias("none")]).alias("carried"))
     paths = F.transform(F.transform(F.split("text", "\n", -1), normal_line), lambda x: template(x, depth))
     named = F.transform(paths, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
     found = rows.select("doc_id", "text_key", named.alias("names"))
+    sequence = F.array_compact("names")
+    found = found.withColumn("document", F.when(F.size(sequence) == 1, F.col("text_key")).otherwise(F.xxhash64(sequence)))
 
     def around(x, i):
         before, after = F.get("names", i - 1), F.get("names", i + 1)
-        return F.struct(x.alias("name"), F.xxhash64(before, before.isNull(), after, after.isNull()).alias("around"), i.alias("line"), (F.array_position("names", x) == i + 1).alias("first"))
+        counted = F.col("document") if by == "documents" else F.xxhash64(before, before.isNull(), after, after.isNull())
+        return F.struct(x.alias("name"), counted.alias("counted"), i.alias("line"), (F.array_position("names", x) == i + 1).alias("first"))
 
     lines = stored(found.select("doc_id", "text_key", F.explode(F.transform("names", around)).alias("at")).select("doc_id", "text_key", "at.*").where("name IS NOT NULL"), "lines")
-    recurring = lines.where("first").groupBy("name", "around").agg(F.lit(1).alias("n")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("name")
+    recurring = lines.where("first").groupBy("name", "counted").agg(F.lit(1).alias("n")).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("name")
     gone = lines.join(recurring, "name", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
     joined = rows.join(gone, same, "left").select("doc_id", "text", "carried", F.split("text", "\n", -1).alias("all"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))

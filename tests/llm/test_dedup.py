@@ -119,6 +119,23 @@ def test_lines(spark):
     assert line_dedup(table(spark, [])).count() == 0
 
 
+def test_lines_count_documents(spark):
+    word = [f"w{c}{d}" for c in "abcd" for d in "efgh"]
+    rows = [(n, f"body {word[n]} own text here\nunsubscribe at any time\nall rights are reserved\nprinted on paper {n}") for n in range(12)]  # a footer of three lines
+    rows += [(20 + n, f"\nanother {word[n]} text\n\nread more on page {n}\n\nyet {word[n]} more\n") for n in range(12)]  # blank lines between
+    rows += [(40 + n, f"Sent from my own {word[n]} phone") for n in range(12)]  # one line
+    rows += [(60 + n, f"copied first line\ncopied line number {n}\ncopied last line") for n in range(20)]  # copies but for numbers
+    rows += [(80, "a single copied line")] * 20 + [(81 + n, f"only nine {word[n]}\nrare closing line") for n in range(9)]
+    found = {r.doc_id: (r.n_dropped, r.kept) for r in line_dedup(table(spark, rows), min_documents=10).collect()}
+    for n in range(12):
+        assert found[n] == (3, f"body {word[n]} own text here")
+        assert found[20 + n] == (1, f"\nanother {word[n]} text\n\n\nyet {word[n]} more\n")
+        assert found[40 + n] == (1, "")
+    assert all(found[i] == (0, t) for i, t in rows if i >= 60)
+    with pytest.raises(ValueError):
+        line_dedup(table(spark, rows), by="lines")
+
+
 def brute_windows(rows, width):
     words = {i: split_words(t, lower=False) for i, t in rows}
     first = {}
