@@ -154,11 +154,11 @@ def scan_summaries(spark, sf_dir):
     return _rounded(scan_summary(rows), 6)
 
 
-def _walk(models: list[str], agents: list[str] = (), episodes: int | None = None):
+def _walk(models: list[str], agents: list[str] = ()):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = dataset(bars(spark, sf_dir))
         if agents:
-            return backtest(walk_forward_agents(data, list(agents), TRAIN, TEST, episodes=episodes), KEYS)
+            return backtest(walk_forward_agents(data, list(agents), TRAIN, TEST), KEYS)
         return forecast_metrics(walk_forward_predict(data, models, train=TRAIN, test=TEST), KEYS)
 
     return query
@@ -177,7 +177,7 @@ def synthetic_prices(spark, sf_dir):
 
 
 def q_learning_curve(spark, sf_dir):
-    return learning_curve(dataset(bars(spark, sf_dir)), "q_learning", episodes=5)
+    return learning_curve(dataset(bars(spark, sf_dir)), "q_learning")
 
 
 def controls(spark, sf_dir):
@@ -220,7 +220,7 @@ QUERIES = {
     "scan_summary": scan_summaries,
     "ridge_walk_forward": _walk(["ridge"]),
     "tree_walk_forward": _walk(["random_forest", "gradient_boosting"]),
-    "agents_walk_forward": _walk([], ["q_learning", "reinforce", "always_long"], episodes=5),
+    "agents_walk_forward": _walk([], ["q_learning", "reinforce", "always_long"]),
     "ridge_scan": ridge_scan,
     "strategy_evaluation": evaluation,
     "synthetic_prices": synthetic_prices,

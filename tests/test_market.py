@@ -1,3 +1,4 @@
+import inspect
 import math
 from statistics import NormalDist
 
@@ -14,6 +15,8 @@ from quillmark.operators.folds import fold_bounds
 from quillmark.operators.forecast import MODELS, ridge, walk_forward_predict
 from quillmark.sources.bars import BarsError, finalize, load, one_symbol, parse_chart_json, parse_stooq_csv, read_csv, synthetic
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def bars(spark):
@@ -193,3 +196,15 @@ def test_scan(bars):
     assert [r.symbol for r in found.collect()] == ["A"]
     assert [(r.symbol, "test days" in r.reason) for r in scan_failures(bars, found, min_test_days=100).collect()] == [("B", True)]
     assert "verdict" in scan_text(found) and math.isfinite(found.first().excess_sharpe)
+
+
+def test_agent_queries_train_in_full(spark, monkeypatch):
+    from quillmark.operators import agents
+    from quillmark.plans import market_queries
+
+    seen = []
+    monkeypatch.setattr(market_queries, "walk_forward_agents", lambda *a, **b: seen.append(inspect.signature(agents.walk_forward_agents).bind(*a, **b).arguments) or agents.walk_forward_agents(*a, **b))
+    market_queries.QUERIES["agents_walk_forward"](spark, SF)
+    assert seen[0].get("episodes") is None and seen[0]["agents"] == ["q_learning", "reinforce", "always_long"]
+    curve = market_queries.QUERIES["q_learning_curve"](spark, SF).groupBy("symbol").agg(F.count("*").alias("n"), F.max("episode").alias("last")).collect()
+    assert curve and all((r.n, r.last) == (60, 60) for r in curve)
