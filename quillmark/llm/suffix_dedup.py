@@ -8,7 +8,8 @@ sorted recursively, the remaining suffixes are merged in, and then neighbours in
 The suffix sorting is dealt out by content: consecutive strings that share a minimiser (the smallest hash of 16 bytes
 inside) travel as one packed segment to the minimiser's bucket, and equal strings meet in one bucket, where the suffix
 order decides. A filter of fixed size keeps segments at home whose minimiser occurs only once; a segment that occurs as
-a whole several times needs no sorting, and is sorted only once against others.
+a whole several times needs no sorting, and is sorted only once against others. A bucket that outgrows a task goes back to
+Spark and is dealt out by other minimisers, and what outgrows a task even then by the names of its strings.
 """
 
 from __future__ import annotations
@@ -25,10 +26,16 @@ from .words import mix
 
 #: Bytes of distinct segments that one suffix sort takes; a larger bucket is dealt anew by another minimiser.
 SORTED_BYTES = 300_000
+#: Bytes of segments (and 64 for each place) that a task holds of one bucket; a larger bucket goes back to Spark.
+BUCKET_BYTES = 8_000_000
+#: How often such buckets are dealt out by another minimiser before their strings are dealt out by name.
+DEALS = 2
 #: Bytes of text that minimisers are taken of at once.
 TEXT_BYTES = 1_000_000
 SEED_BYTES = 16
-SPANS = "doc_id long, text_key long, first long, beyond long"
+SPANS = "doc_id long, text_key long, first long, beyond long, segment binary"
+SEGMENTS = "bucket long, doc_id long, text_key long, first long, inner boolean, segment binary"
+STRINGS = "high long, low long, doc_id long, text_key long, first long"
 
 
 def words_at(data):
@@ -262,17 +269,22 @@ def _split(segments: list[tuple], length: int, salt: int) -> list[list[tuple]]:
 
 
 def _spans(segments: DataFrame, length: int) -> DataFrame:
-    """Byte spans to remove, from segments in the order of their buckets."""
+    """Byte spans to remove, from segments in the order of their buckets; and, with their bytes instead of an end, the
+    segments of buckets over :data:`BUCKET_BYTES`."""
+    most = BUCKET_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         spans: list[tuple] = []
+        over: list[tuple] = []  # segments of a bucket that is too large
 
         def out():
-            columns = list(zip(*spans, strict=True)) if spans else [()] * 4
+            rows = [(*s, None) for s in spans] + [(doc, key, first, None, raw) for doc, key, first, raw in over]
             spans.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_key", "first", "beyond"])
+            over.clear()
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["doc_id", "text_key", "first", "beyond", "segment"])
 
         def order(group: list[tuple]):
             """group: (number of the distinct segment, offset in it, bytes). Marks of repeated strings by segment."""
@@ -321,13 +333,22 @@ def _spans(segments: DataFrame, length: int) -> DataFrame:
             held.clear()
 
         held: dict[bytes, tuple[list, bool]] = {}
-        last = None
+        last, weight = None, 0
         for batch in batches:
             for bucket, doc, key, first, inner, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != last:
                     bucket_done()
-                    last = bucket
+                    last, weight = bucket, 0
                 at = held.get(raw)
+                weight += 64 + (len(raw) if at is None else 0)
+                if weight > most:
+                    for whole, (where, _) in held.items():
+                        over.extend((*place, whole) for place in where)
+                    held.clear()
+                    over.append((doc, key, first, raw))
+                    if len(over) > 10_000:
+                        yield out()
+                    continue
                 if at is None:
                     held[raw] = ([(doc, key, first)], inner)
                 else:
@@ -341,6 +362,45 @@ def _spans(segments: DataFrame, length: int) -> DataFrame:
     return segments.mapInArrow(run, SPANS)
 
 
+def _dealt_anew(segments: DataFrame, length: int, salt: int) -> DataFrame:
+    """Segments cut and named by another minimiser."""
+    names = ["bucket", "doc_id", "text_key", "first", "inner", "segment"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, key, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at, data in _pieces(raw, length):
+                    mins, start, end, inner = minimisers(data, length, salt)
+                    for bucket, a, b, again in zip(mins.view("int64").tolist(), (at + start).tolist(), (at + end + length).tolist(), inner.tolist(), strict=True):
+                        rows.append((bucket, doc, key, first + a, again, raw[a:b]))
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return segments.mapInArrow(run, SEGMENTS)
+
+
+def _by_name(segments: DataFrame, length: int) -> DataFrame:
+    """Spans of the strings of segments that occur several times, told by 128-bit names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            for doc, key, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(0, len(raw) - length + 1, 20_000):
+                    n = min(20_000, len(raw) - length + 1 - at)
+                    named = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(at, at + n)), np.int64).reshape(-1, 2)
+                    columns = [named[:, 0].copy(), named[:, 1].copy(), [doc] * n, np.full(n, key), first + at + np.arange(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["high", "low", "doc_id", "text_key", "first"])
+
+    strings = segments.mapInArrow(run, STRINGS)
+    several = strings.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
+    return strings.join(several, ["high", "low"], "left_semi").select("doc_id", "text_key", "first", (F.col("first") + length).alias("beyond"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes).
 
@@ -355,7 +415,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("raw"))
     bits = repeated(_first_pass(rows, length))
     dealt = _segments(rows, length, bits).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
-    spans = stored(_spans(dealt, length), "spans")
+    found = stored(_spans(dealt, length), "spans")
+    spans = found.where("segment IS NULL").drop("segment")
+    for n in range(DEALS + 1):
+        over = found.where("segment IS NOT NULL").select("doc_id", "text_key", "first", "segment")
+        if over.isEmpty():
+            break
+        if n == DEALS:
+            spans = spans.unionByName(stored(_by_name(over, length), "spans"))
+            break
+        # salts that _split does not use
+        anew = _dealt_anew(over, length, 16 + n).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
+        found = stored(_spans(anew, length), "spans")
+        spans = spans.unionByName(found.where("segment IS NULL").drop("segment"))
     by_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("first"), F.collect_list("beyond").alias("beyond"))
     by_doc = by_doc.select(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key"), "first", "beyond")
 

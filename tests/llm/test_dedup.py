@@ -196,6 +196,22 @@ def test_bytes(spark, monkeypatch, size):
         suffix_dedup.suffix_dedup(table(spark, []), length=8)
 
 
+@pytest.mark.parametrize("deals", [0, 2])
+def test_bytes_of_a_bucket_over_a_task(spark, monkeypatch, deals):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "DEALS", deals)
+    named, by_name = [], suffix_dedup._by_name
+    monkeypatch.setattr(suffix_dedup, "_by_name", lambda *a: named.append(1) or by_name(*a))
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = own(70)
+    texts = [own(60) + shared + own(60) for _ in range(60)] + ["ab" * 300, "é" * 40, None, own(500)] + [own(30) + shared] * 3
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(table(spark, list(enumerate(texts))), length=40).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_bytes(texts, 40) and named
+    odd = suffix_dedup.suffix_dedup(table(spark, [(None, shared)] * 40), length=40).collect()
+    assert [r.n_removed for r in odd] == [70] * 40
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(150):
