@@ -44,7 +44,10 @@ def flattened_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of ten documents a request, with priorities from labels; the first is required."""
+    """Items of ten documents a request, with priorities from labels; the first is required.
+
+    As in the SQL, documents of 8000 characters or more and those without text are left out.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     doc_id = F.col("doc_id")
     items = docs.join(labels, "doc_id", "left").select(
