@@ -88,12 +88,15 @@ def evaluation_text(metrics: DataFrame, figures: DataFrame, is_synthetic: bool)
     lines = ["SYNTHETIC DATA: these results say nothing about a market"] if is_synthetic else []
     for m in metrics.orderBy("symbol", "model").limit(200).collect():
         lines.append(f"{m.symbol} {m.model}: accuracy {m.directional_accuracy:.3f} (p = {m.p_value:.3f}), IC {m.information_coefficient:.3f}, RMSE {m.rmse:.5f}")
-    better = 0
+    t = figures.agg(F.count("*").alias("n"), F.count_if("beats_benchmark").alias("better")).first()
+    if (more := metrics.count() - 200) > 0:
+        lines.append(f"({more} more forecasts)")
     for f in figures.orderBy(F.desc("sharpe")).limit(200).collect():
-        better += bool(f.beats_benchmark)
         lines.append(f"{f.symbol} {f.model}: return {f.total_return:.1%}, Sharpe {f.sharpe:.2f}, drawdown {f.max_drawdown:.1%}, turnover {f.annual_turnover:.1f}x")
+    if t.n > 200:
+        lines.append(f"({t.n - 200} more strategies)")
     n = significant_forecasts(metrics).count()
-    lines.append(f"verdict: {n} forecasts better than chance, {better} strategies beat buy and hold after costs")
+    lines.append(f"verdict: {n} forecasts better than chance, {t.better} strategies beat buy and hold after costs")
     return "\n".join(lines)
 
 

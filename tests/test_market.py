@@ -208,3 +208,12 @@ def test_agent_queries_train_in_full(spark, monkeypatch):
     assert seen[0].get("episodes") is None and seen[0]["agents"] == ["q_learning", "reinforce", "always_long"]
     curve = market_queries.QUERIES["q_learning_curve"](spark, SF).groupBy("symbol").agg(F.count("*").alias("n"), F.max("episode").alias("last")).collect()
     assert curve and all((r.n, r.last) == (60, 60) for r in curve)
+
+
+def test_evaluation_text_counts_all_rows(spark):
+    from quillmark.plans.evaluation import evaluation_text
+
+    rows = spark.range(250).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit("ridge").alias("model"), *[F.lit(0.01).alias(c) for c in ("directional_accuracy", "p_value", "information_coefficient", "rmse", "total_return", "sharpe", "max_drawdown", "annual_turnover")], (F.col("id") < 240).alias("beats_benchmark"))
+    text = evaluation_text(rows, rows, False)
+    assert "verdict: 250 forecasts better than chance, 240 strategies" in text
+    assert "(50 more forecasts)" in text and "(50 more strategies)" in text
