@@ -27,7 +27,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(_table(spark, sf_dir, "documents"), depth=4, min_documents=10, by="surroundings")
+    found = line_dedup(_table(spark, sf_dir, "documents"), depth=4, min_documents=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -147,17 +147,18 @@ FROM y
 
 ORACLES = {
     "op3_line_templates": r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH l AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 m AS (
-  SELECT doc_id, ls,
+  SELECT doc_id, body,
     [regexp_replace(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') FOR x IN ls] AS ns
   FROM l),
 p AS (
-  SELECT doc_id, ls, [CASE WHEN x <> '' THEN len(string_split(x, ' ')) || chr(10) || array_to_string(string_split(x, ' ')[1:4], ' ') || chr(10) || string_split(x, ' ')[-1] END FOR x IN ns] AS ps
+  SELECT doc_id, body, [CASE WHEN x <> '' THEN len(string_split(x, ' ')) || chr(10) || array_to_string(string_split(x, ' ')[1:4], ' ') || chr(10) || string_split(x, ' ')[-1] END FOR x IN ns] AS ps
   FROM m),
-u AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p),
-a AS (SELECT doc_id, i, ps[i] AS path, CASE WHEN i > 1 THEN ps[i-1] END AS before, ps[i+1] AS after, list_position(ps, ps[i]) = i AS is_first FROM u),
-c AS (SELECT path FROM (SELECT DISTINCT path, before, after FROM a WHERE is_first AND path IS NOT NULL) GROUP BY path HAVING count(*) >= 10),
+q AS (SELECT doc_id, body, ps, [x FOR x IN ps IF x IS NOT NULL] AS seq FROM p),
+u AS (SELECT doc_id, ps, CASE WHEN len(seq) = 1 THEN 't' || body ELSE 's' || array_to_string(seq, chr(1)) END AS document, unnest(range(1, len(ps) + 1)) AS i FROM q),
+a AS (SELECT doc_id, i, document, ps[i] AS path FROM u),
+c AS (SELECT path FROM (SELECT DISTINCT path, document FROM a WHERE path IS NOT NULL) GROUP BY path HAVING count(*) >= 10),
 g AS (SELECT doc_id, list(i) AS gone FROM a WHERE path IN (SELECT path FROM c) GROUP BY doc_id)
 SELECT l.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
        sha256(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF gone IS NULL OR NOT list_contains(gone, i)], chr(10))) AS kept_sha256

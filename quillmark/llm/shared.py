@@ -12,13 +12,21 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders written by :func:`stored` in this process that are not deleted yet.
+_written: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a notebook) a new local folder is made and set.
+    Only a local session without that setting (tests, a notebook) gets a new local folder; on a cluster, where executors
+    would write to their own disks, its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -27,21 +35,36 @@ def scratch_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
-    This cuts the lineage: a lost executor costs the tasks at hand, not the steps before the table.
+    This cuts the lineage: a lost executor costs the tasks at hand, not the steps before the table. Results are read
+    from such tables when an action runs; :func:`clear` deletes them once the results are written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillmark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quillmark-" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/quillmark-" in folder:
+            _delete(df.sparkSession, folder)
+            _written.difference_update([x for x in _written if folder.endswith(x.rsplit("/", 1)[1])])
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every table that operators of this process have stored, and say how many; call it when their results are
+    written or collected."""
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
 
 
 def ascii_lower(text):

@@ -132,8 +132,31 @@ def test_lines_count_documents(spark):
         assert found[20 + n] == (1, f"\nanother {word[n]} text\n\n\nyet {word[n]} more\n")
         assert found[40 + n] == (1, "")
     assert all(found[i] == (0, t) for i, t in rows if i >= 60)
-    with pytest.raises(ValueError):
-        line_dedup(table(spark, rows), by="lines")
+
+
+def brute_lines(rows, least):
+    """Kept lines by plain Python: templates of documents with ``least`` different sequences go."""
+
+    def path(line):
+        words = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        return (len(words), tuple(words[:4]), words[-1]) if words else None
+
+    having = {}
+    for _, text in rows:
+        paths = [p for p in map(path, (text or "").split("\n")) if p]
+        for p in paths:
+            having.setdefault(p, set()).add(text if len(paths) == 1 else tuple(paths))
+    gone = {p for p, documents in having.items() if len(documents) >= least}
+    return sorted((i or 0, len(lines := (t or "").split("\n")), sum(path(x) in gone for x in lines), "\n".join(x for x in lines if path(x) not in gone)) for i, t in rows)
+
+
+def test_lines_against_plain_python(spark):
+    rng = random.Random(9)
+    stock = [f"{a} {b} line {rng.choice(['of', 'with', '7'])} text" for a in "abcdefgh" for b in "xyz"] + ["", " \t", "alone", "page 5"]
+    rows = [(rng.choice([n, n, n, n, None]), "\n".join(rng.choice(stock) for _ in range(rng.choice([1, 1, 3, 8])))) for n in range(150)]
+    rows += rows[:20] + [(3, None), (4, ""), (3, "alone\nother"), (900, "\n".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)} own" for n in range(15_000)) + "\nalone")]
+    found = line_dedup(table(spark, rows), min_documents=10)
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept) for r in found.collect()) == brute_lines(rows, 10)
 
 
 def brute_windows(rows, width):
