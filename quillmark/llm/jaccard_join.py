@@ -9,16 +9,17 @@ either, so their first two common tokens lie in the first ``n - need + 2`` token
   frequent has a second one that is frequent too. Long sets would have too many pairs; the frequent tokens of their size
   classes are indexed one by one.
 
-Documents that share an index key are candidates. Short lists give all their pairs. In a long list each member first
-meets the list's most central member, its hub, only; then members of a hub that are still in different components meet,
-told apart by a sketch of fixed size that bounds in how many tokens two sets differ. Candidates are
-verified on the whole sets, so nothing but the speed depends on the table of frequent tokens, whose size is fixed.
+Documents that share an index key are candidates. Short lists give all their pairs. In a long list, sorted by how
+frequent a set's tokens are, each member first meets the first one, its hub, only. Members that are then still in
+another component than their hub meet all members around that hub, as tiles: blocks of sketches that bound in how many
+tokens two sets differ, compared as matrices and dealt over tasks by block pair; of each row only the nearest candidates
+leave a tile, more of them in later rounds, until nothing is left out. Candidates are verified on the whole sets, so
+nothing but the speed depends on the table of frequent tokens, whose size is fixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +34,10 @@ from .words import Hasher, mix, word_hashes
 SHORT_LIST = 8
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
-#: Bits of a sketch of one size for all sets, which joins compare without leaving the JVM.
-OUTLINE_BITS = 512
+#: Bytes of sketches in a tile.
+TILE_BYTES = 1_000_000
+#: Candidates of a row that leave a tile, by round; the last round takes all.
+NEAREST = (4, 64, None)
 #: Tokens counted at once by a task when it looks for frequent ones.
 COUNTED = 3_000_000
 
@@ -56,16 +59,15 @@ def shingle_set(hashes, width: int):
     return out[np.r_[True, out[1:] != out[:-1]]]
 
 
-def sketch(tokens, size: int | None = None) -> bytes:
-    """Parities of the tokens in ``size`` buckets, or in about twice as many as there are tokens, packed.
+def sketch(tokens) -> bytes:
+    """Parities of the tokens in about twice as many buckets as there are tokens, packed.
 
     A token that only one of two sets has flips one bit, so two sketches differ in no more bits than the sets differ in
     tokens. The number of buckets is a power of two of at least 64; halves of a longer sketch can be folded together.
     """
     import numpy as np
 
-    if size is None:
-        size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
     parity = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -90,51 +92,52 @@ def fingerprint(tokens) -> int:
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, name, sketch, outline of each document; of kind 1: a token often met in one task, and how often."""
+    """Rows of kind 0: doc_id, text_key, n, name, sketch of each document; of kind 1: a token often met in one task, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         hasher, held, size = Hasher(), [], 0
 
-        def rows(kind, ids, n, names, sketches, outlines):
-            arrays = [pa.array(np.full(len(n), kind, np.int8)), ids, pa.array(n, pa.int64()), pa.array(names, pa.int64()), sketches, outlines]
-            return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc_id", "n", "name", "sketch", "outline"])
+        def rows(kind, ids, keys, n, names, sketches):
+            arrays = [pa.array(np.full(len(n), kind, np.int8)), ids, keys, pa.array(n, pa.int64()), pa.array(names, pa.int64()), sketches]
+            return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc_id", "text_key", "n", "name", "sketch"])
 
         def often():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= 8
-            return rows(1, pa.nulls(int(some.sum()), pa.int64()), n[some].astype(np.int64), tokens[some].view(np.int64), pa.nulls(int(some.sum()), pa.binary()), pa.nulls(int(some.sum()), pa.list_(pa.int64())))
+            none = pa.nulls(int(some.sum()), pa.int64())
+            return rows(1, none, none, n[some].astype(np.int64), tokens[some].view(np.int64), pa.nulls(len(none), pa.binary()))
 
         for batch in batches:
-            ns, names, sketches, outlines = [], [], [], []
+            ns, names, sketches = [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 ns.append(len(tokens))
                 names.append(fingerprint(tokens))
                 sketches.append(sketch(tokens))
-                outlines.append(np.frombuffer(sketch(tokens, OUTLINE_BITS), "<i8"))
                 held.append(tokens)
                 size += len(tokens)
                 if size > COUNTED:
                     yield often()
                     held, size = [], 0
-            yield rows(0, batch.column(0), ns, names, pa.array(sketches, pa.binary()), pa.array(outlines, pa.list_(pa.int64())))
+            yield rows(0, batch.column(0), batch.column(2), ns, names, pa.array(sketches, pa.binary()))
         if held:
             yield often()
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, name long, sketch binary, outline array<long>")
+    return docs.mapInArrow(run, "kind byte, doc_id long, text_key long, n long, name long, sketch binary")
 
 
 def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """Index rows (key, n, name) of every distinct set of a task."""
+    """Index rows (key, weight, n, name) of every distinct set of a task; the weight says how frequent its tokens are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         tokens_known, classes = frequent.value
         hasher, seen = Hasher(), set()
-        ratio = np.log(percent / 100)
+        # a little wider than the sizes of linked sets differ, so that rounding never puts them two classes apart
+        ratio = np.log(100 / percent * 1.001)
 
         def combine(a, b, bucket):
             return mix(mix(a + np.uint64(bucket + 1)) ^ b)
@@ -148,22 +151,26 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
             else:
                 level = np.zeros(n, np.int8)
             order = np.argsort(level, kind="stable")[: n - need + 2] if level.any() else np.arange(min(n, n - need + 2))
+            weight = int(level.sum(dtype=np.int64) * 64 // n)
             tokens, rare = tokens[order], level[order] == 0
-            keys = [tokens[: n - need + 1][rare[: n - need + 1]]]
+            single = tokens[: n - need + 1]
+            keys = [single[rare[: n - need + 1]]]
             if not rare.all():
-                home = int(np.log(n) / -ratio)
+                single = single[~rare[: n - need + 1]]
+                home = int(np.log(n) / ratio)
                 for bucket in (home, home + 1):  # linked sets differ by one size class at most
-                    if np.exp((bucket + 1) * -ratio) <= PAIR_SIZE:
+                    if np.exp((bucket + 1) * ratio) <= PAIR_SIZE:
                         some = tokens[~rare]
                         i, j = np.triu_indices(len(some), 1)
                         keys.append(combine(some[i], some[j], bucket))
+                        if need < 2:  # such sets may share no more than one token
+                            keys.append(combine(single, single, bucket))
                     else:
-                        some = tokens[: n - need + 1][~rare[: n - need + 1]]
-                        keys.append(combine(some, some, bucket))
-            return np.concatenate(keys)
+                        keys.append(combine(single, single, bucket))
+            return np.concatenate(keys), weight
 
         for batch in batches:
-            keys, ns, names = [], [], []
+            keys, weights, ns, names = [], [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 if not len(tokens) or (name := fingerprint(tokens)) in seen:
@@ -171,31 +178,42 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                keys.append(index(tokens))
+                found, weight = index(tokens)
+                keys.append(found)
+                weights.append(weight)
                 ns.append(len(tokens))
                 names.append(name)
             if keys:
                 sizes = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(np.repeat(np.array(names, np.int64), sizes))], names=["key", "n", "name"])
+                columns = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(x, kind), sizes) for x, kind in ((weights, np.int16), (ns, np.int32), (names, np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "n", "name"])
 
-    return docs.mapInArrow(run, "key long, n int, name long")
+    return docs.mapInArrow(run, "key long, weight short, n int, name long")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of short lists (key null: a, b) and members of long lists (key, a), from postings sorted by key.
+    """Pairs (a, b) of short lists, and (star) of each member of a long list with its hub, the first one; from postings
+    sorted by key and falling weight.
 
-    One pass in bounded memory: of a list longer than a batch only what was emitted is behind it.
+    One pass in bounded memory: of a list longer than a batch only the hub is kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def out(keys, a, n_a, b, n_b):
-            return pa.RecordBatch.from_arrays([keys, *(pa.array(x) for x in (a, n_a)), b, n_b], names=["key", "a", "n_a", "b", "n_b"])
+        def out(a, n_a, b, n_b, star):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, n_a, b, n_b, np.full(len(a), star))], names=["a", "n_a", "b", "n_b", "star"])
+
+        def stars(name, n, hub, n_hub):
+            """Once for each member and hub; a member of many lists often has the same hub in most."""
+            order = np.lexsort((n, hub, name))
+            name, n, hub, n_hub = (x[order] for x in (name, n, hub, n_hub))
+            new = np.r_[True, (name[1:] != name[:-1]) | (hub[1:] != hub[:-1]) | (n[1:] != n[:-1])] & ((name != hub) | (n != n_hub))
+            return out(name[new], n[new], hub[new], n_hub[new], True)
 
         def emit(key, n, name):
             """Of complete lists."""
-            new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+            new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])]
             key, n, name = key[new], n[new], name[new]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             length = np.diff(np.r_[start, len(key)])
@@ -203,14 +221,15 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             rank = np.arange(len(key)) - np.repeat(start, length)
             for gap in range(1, SHORT_LIST):
                 i = np.flatnonzero((size <= SHORT_LIST) & (rank + gap < size))
-                i = i[100 * n[i].astype(np.int64) >= percent * n[i + gap].astype(np.int64)]  # sorted by size
+                i = i[100 * np.minimum(n[i], n[i + gap]).astype(np.int64) >= percent * np.maximum(n[i], n[i + gap]).astype(np.int64)]
                 if len(i):
-                    yield out(pa.nulls(len(i), pa.int64()), name[i], n[i], pa.array(name[i + gap]), pa.array(n[i + gap]))
+                    yield out(name[i], n[i], name[i + gap], n[i + gap], False)
             i = np.flatnonzero(size > SHORT_LIST)
             if len(i):
-                yield out(pa.array(key[i]), name[i], n[i], pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()))
+                hub = np.repeat(start, length)[i]
+                yield stars(name[i], n[i], name[hub], n[hub])
 
-        carry, long_key = None, None
+        carry, long_key, hub = None, None, None
         for batch in batches:
             key, n, name = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
@@ -218,7 +237,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             if long_key is not None:  # the rest of a list that was already given out as long
                 k = int((key == long_key).sum())
                 if k:
-                    yield out(pa.array(key[:k]), name[:k], n[:k], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
+                    yield stars(name[:k], n[:k], np.full(k, hub[0]), np.full(k, hub[1]))
                 if k == len(key):
                     continue
                 key, n, name, long_key = key[k:], n[k:], name[k:], None
@@ -228,13 +247,14 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             if cut:
                 yield from emit(key[:cut], n[:cut], name[:cut])
             carry = key[cut:], n[cut:], name[cut:]
-            if len(np.unique(carry[2])) > 50_000:
+            if len(carry[0]) > 50_000 and len(np.unique(carry[2])) > SHORT_LIST:
                 yield from emit(*carry)
-                carry, long_key = None, key[-1]
+                long_key, hub = key[-1], (name[cut], n[cut])
+                carry = None
         if carry is not None:
             yield from emit(*carry)
 
-    return postings.mapInArrow(run, "key long, a long, n_a int, b long, n_b int")
+    return postings.select("key", "n", "name").mapInArrow(run, "a long, n_a int, b long, n_b int, star boolean")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -254,12 +274,83 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, n_a int, b long, n_b int")
 
 
+def _tiles(open_hubs: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs (a, n_a, b, n_b, cut) around a hub, in different parts, whose sketches do not rule a link out.
+
+    Rows of ``open_hubs``: hub, a, n_a, part, sketch, and ``outside``, whether the part is not the hub's. Members are
+    dealt by hash into tiles of about :data:`TILE_BYTES`; a tile of outside members meets every tile of its hub, each
+    pair of tiles in a place of its own. Each row gives its ``nearest`` candidates of a tile; ``cut`` tells where there
+    were more.
+    """
+    weight = F.greatest(F.length("sketch"), F.lit(512))
+    sizes = open_hubs.groupBy("hub").agg(*[F.ceil(F.sum(F.when(F.col("outside") == side, weight).otherwise(0)) / TILE_BYTES).cast("int").alias(name) for name, side in (("n_out", True), ("n_in", False))])
+    dealt = open_hubs.join(sizes, "hub").withColumn("tile", F.when(F.col("outside"), F.pmod(F.xxhash64("a"), "n_out")).otherwise(F.col("n_out") + F.pmod(F.xxhash64("a"), "n_in")).cast("int"))
+    tiles = stored(dealt.groupBy("hub", "tile", "n_out", "n_in").agg(F.collect_list(F.struct("a", "n_a", "part", "sketch")).alias("rows")), "tiles")
+    total = F.col("n_out") + F.col("n_in") - 1
+    left = tiles.where("tile < n_out").select("hub", F.col("tile").alias("i"), F.explode(F.sequence("tile", total)).alias("j"), F.col("rows").alias("left"))
+    right = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.least("tile", F.col("n_out") - 1))).alias("i"), F.col("tile").alias("j"), F.col("rows").alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def by_length(rows):
+            """(number of 64-bit words, row numbers, sketches as a matrix) of each length."""
+            held: dict[int, list[int]] = {}
+            sketches = rows.field("sketch")
+            for k, x in enumerate(sketches):
+                held.setdefault(len(x.as_buffer()) // 8, []).append(k)
+            for words, at in held.items():
+                yield words, np.array(at), np.frombuffer(b"".join(sketches[k].as_buffer() for k in at), "<u8").reshape(-1, words)
+
+        def folded(sketches, words):
+            while sketches.shape[1] > words:
+                half = sketches.shape[1] // 2
+                sketches = sketches[:, :half] ^ sketches[:, half:]
+            return sketches
+
+        def near(left, right):
+            """Row of left, row of right, bits that differ, of all candidates."""
+            n_a, part_a, n_b, part_b = (x.field(c).to_numpy() for x in (left, right) for c in ("n_a", "part"))
+            others = list(by_length(right))
+            for words, at, sketches in by_length(left):
+                for words_b, at_b, sketches_b in others:
+                    least = min(words, words_b)
+                    x, y = folded(sketches, least), folded(sketches_b, least)
+                    step = max(1, 4_000_000 // (len(y) * least))
+                    for k in range(0, len(x), step):
+                        d = np.bitwise_count(x[k : k + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                        row, n, m = at[k : k + step], n_a[at[k : k + step], None].astype(np.int64), n_b[None, at_b].astype(np.int64)
+                        # shared = (n + m - d) / 2 and union = (n + m + d) / 2 where the sets differ in d tokens
+                        fits = (100 * (n + m - d) >= percent * (n + m + d)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (part_a[row, None] != part_b[None, at_b])
+                        i, j = np.nonzero(fits)
+                        yield row[i], at_b[j], d[i, j]
+
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                left, right = left.values, right.values
+                i, j, d = (np.concatenate(x) for x in zip(*near(left, right), strict=True))
+                name, n, other, m = left.field("a").to_numpy()[i], left.field("n_a").to_numpy()[i], right.field("a").to_numpy()[j], right.field("n_a").to_numpy()[j]
+                order = np.lexsort((other, d, i))
+                i = i[order]
+                start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+                rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+                some = rank < (len(i) if nearest is None else nearest)
+                cut = np.repeat(np.diff(np.r_[start, len(i)]), np.diff(np.r_[start, len(i)])) > (len(i) if nearest is None else nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(x[order][some]) for x in (name, n, other, m)] + [pa.array(cut[some])], names=["a", "n_a", "b", "n_b", "cut"])
+
+    return left.join(right, ["hub", "i", "j"]).select("left", "right").mapInArrow(run, "a long, n_a int, b long, n_b int, cut boolean")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (id_a, id_b) between classes: the pairs whose whole sets are alike enough."""
+    """Links (id_a, id_b) between nodes of ``classes``: the pairs whose whole sets are alike enough."""
     named = pairs.select(F.col("a").alias("name"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
     wanted = stored(named.join(classes, ["n", "name"]), "wanted")
-    sets = stored(_sets(texts, members(wanted.select("class_id")), width).join(wanted.select(F.col("class_id").alias("doc_id"), "n", "name"), ["doc_id", "n", "name"]), "sets")
-    left, right = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("doc_id").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    bits = members(wanted.select("class_id"))
+    # repeated rows give the same tokens once; they stand where the join has put them
+    found = _sets(texts, bits, width).join(wanted.select(F.col("class_id").alias("doc_id"), "n", "name", "node"), ["doc_id", "n", "name"])
+    sets = stored(found.groupBy("doc_id", "n", "name", "node").agg(F.first("tokens").alias("tokens")), "sets")
+    bits.destroy()
+    left, right = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select("id_a", "id_b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,58 +368,72 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int,
     return both.mapInArrow(run, "id_a long, id_b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent_tokens: int = 131_072, frequent_from: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent_tokens: int = 131_072, frequent_from: int = 64, row_keys: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id.
 
-    Words are runs of anything but ASCII white space, lower-cased A to Z. Two sets link when 100 * shared >= ``percent`` *
-    union. ``class_id`` is the smallest id with the same set and ``component_id`` the smallest id reachable by links;
-    pairs that are known to be in one component already are not verified again. A text that is null or has no word has no shingle and stands alone; so
-    does a row without an id. Repeated rows share a class.
+    Words are runs of anything but ASCII white space, lower-cased A to Z. Two sets link when 100 * shared >= ``percent``
+    (1 to 100) * union. ``class_id`` is the smallest id with the same set and ``component_id`` the smallest id reachable
+    by links; pairs that are known to be in one component already are not verified again. A text that is null or has no
+    word has no shingle and stands alone; so does a row without an id. Repeated rows share a class. Rows that repeat an
+    id with another text are documents of their own, though their classes may have the same smallest id. Texts may have
+    any length. An empty table gives an empty result. Other columns are not read.
+
+    With ``row_keys`` two columns follow: text_key, xxhash64 of the text, which together with the id says which row it
+    is, and component, a number of the component in this run (null for rows that stand alone by rule), which tells
+    components apart also where ids repeat.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is 1 to 100")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
     scan = stored(_scan(texts, width), "scan")
-    meta = scan.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("n").cast("int").alias("n"), "name", "sketch", "outline")
+    meta = scan.where("kind = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("n").cast("int").alias("n"), "name", "sketch")
     often = scan.where("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent_from)
     top = often.orderBy(F.desc("n"), "name").limit(frequent_tokens).toPandas()  # at most frequent_tokens rows
     frequent = spark.sparkContext.broadcast(_levels(top))
-    classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("class_id"))
-    sketches = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.first("sketch").alias("sketch"), F.first("outline").alias("outline"))
+    # a class is the documents of one set; its number is fixed once the table is written
+    classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sketches = classes.select("n", "name", "sketch")
 
     dealt = _postings(texts.where("doc_id IS NOT NULL"), width, percent, frequent)
-    lists = stored(_lists(dealt.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "n", "name"), percent), "lists")
-    pairs = lists.where("key IS NULL").select("a", "n_a", "b", "n_b")
-    inside = lists.where("key IS NOT NULL").select("key", "a", "n_a").distinct()
-    # the most central member: in as many long lists as its size allows
-    central = inside.groupBy("a", "n_a").agg(F.count("*").alias("lists")).withColumn("weight", F.col("lists") / F.col("n_a"))
-    hubs = inside.join(central, ["a", "n_a"]).groupBy("key").agg(F.max(F.struct("weight", "a", "n_a")).alias("hub"))
-    stars = inside.join(hubs, "key").select("a", "n_a", F.col("hub.a").alias("b"), F.col("hub.n_a").alias("n_b"))
-    fits = (F.col("a") != F.col("b")) | (F.col("n_a") != F.col("n_b"))
+    lists = stored(_lists(dealt.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", F.desc("weight"), "n", "name"), percent), "lists")
+    frequent.destroy()
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    first = stored(pairs.union(stars).where(fits & near).select(*_ordered()).distinct(), "pairs")
-    links = stored(_verify(stored(_alike(first, sketches, percent), "alike"), texts, classes, width, percent), "found")
+    first = stored(lists.where(near).select(*_ordered()).distinct(), "pairs")
+    links = _verify(stored(_alike(first, sketches, percent), "alike"), texts, classes, width, percent)
     labels = connected(links, "id_a", "id_b")
-    # members around one hub that are still apart meet each other, once a hub and not once a list
-    ids_a = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("class_id").alias("id_a"))
-    around = stars.select(F.struct("b", "n_b").alias("hub"), "a", "n_a").distinct()
-    placed = around.join(ids_a, ["a", "n_a"]).join(labels, F.col("id_a") == F.col("node"), "left").select("hub", "a", "n_a", F.coalesce("component", "id_a").alias("part"))
-    apart = placed.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub")
-    words = [f"w{k}" for k in range(OUTLINE_BITS // 64)]
-    outlines = sketches.select(F.col("name").alias("a"), F.col("n").alias("n_a"), *[F.col("outline")[k].alias(w) for k, w in enumerate(words)])
-    open_hubs = stored(placed.join(apart, "hub").join(outlines, ["a", "n_a"]), "open")
-    other = open_hubs.select("hub", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("part").alias("part_b"), *[F.col(w).alias(f"{w}_b") for w in words])
-    # sets that differ in more tokens than a link allows are told apart in the join itself
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words])
-    alike = differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    rest = open_hubs.join(other, "hub").where((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")) & near & alike).select("a", "n_a", "b", "n_b").distinct()
-    rest = rest.join(first, ["a", "n_a", "b", "n_b"], "left_anti")
-    more = stored(_verify(stored(_alike(rest, sketches, percent), "alike"), texts, classes, width, percent), "found")
-    final = connected(labels.select(F.col("node").alias("id_a"), F.col("component").alias("id_b")).union(more), "id_a", "id_b")
-
-    known = classes.join(final, F.col("class_id") == F.col("node"), "left")
-    joined = meta.drop("sketch", "outline").join(known.select("n", "name", "class_id", "component"), ["n", "name"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return joined.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("class_id"), F.coalesce(F.when(own.isNotNull(), F.coalesce("component", "class_id")), "doc_id").alias("component_id"))
+
+    # members that are still in another component than their hub meet the others around it, once a hub and not once a list
+    around = stored(lists.where("star").select("a", "n_a", F.col("b").alias("hub"), F.col("n_b").alias("n_hub")).distinct(), "around")
+    tried = first
+    for nearest in NEAREST:
+        part = F.coalesce("component", "at").alias("part")
+        parts = stored(classes.withColumnRenamed("node", "at").join(labels, F.col("at") == F.col("node"), "left").select("n", "name", "sketch", part), "parts")
+        of_hub = parts.select(F.col("name").alias("hub"), F.col("n").alias("n_hub"), F.col("part").alias("hub_part"))
+        placed = around.join(of_hub, ["hub", "n_hub"]).join(parts.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "part", "sketch"), ["a", "n_a"])
+        placed = placed.select(F.struct("hub", "n_hub").alias("hub"), "a", "n_a", "part", "sketch", (F.col("part") != F.col("hub_part")).alias("outside"))
+        still = placed.where("outside").select("hub").distinct()
+        open_hubs = stored(placed.join(still, "hub"), "open")
+        if open_hubs.isEmpty():
+            break
+        met = stored(_tiles(open_hubs, percent, nearest), "met")
+        rest = stored(met.select(*_ordered()).distinct().join(tried, ["a", "n_a", "b", "n_b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            more = _verify(rest, texts, classes, width, percent)
+            labels = connected(labels.select(F.col("node").alias("id_a"), F.col("component").alias("id_b")).union(more), "id_a", "id_b")
+            tried = tried.union(rest)
+        if met.where("cut").isEmpty():
+            break
+
+    known = classes.select("n", "name", "class_id", F.col("node").alias("at")).join(labels, F.col("at") == F.col("node"), "left").select("n", "name", "class_id", F.coalesce("component", "at").alias("component"))
+    lowest = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    known = known.join(lowest, "component")
+    own = F.col("doc_id").isNotNull()
+    joined = meta.drop("sketch").join(known, ["n", "name"], "left")
+    extra = ["text_key", F.when(own, F.col("component")).alias("component")] if row_keys else []
+    return joined.select("doc_id", "n_shingles", F.coalesce(F.when(own, F.col("class_id")), "doc_id").alias("class_id"), F.coalesce(F.when(own, F.col("component_id")), "doc_id").alias("component_id"), *extra)
 
 
 def _ordered() -> list:

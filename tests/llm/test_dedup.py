@@ -91,10 +91,38 @@ def test_jaccard_against_all_pairs(spark):
         assert found == brute_components(rows, width, percent)
 
 
+def scattered(rng):
+    """Copies of two bases that are themselves alike in part, edited so far that many are alike to some copies only."""
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop")
+    bases = [[word() for _ in range(50)]]
+    bases.append([x if rng.random() < 0.85 else word() for x in bases[0]])
+    rows = []
+    for n in range(70):
+        copy = list(bases[n % 2])
+        for _ in range(rng.choice([0, 1, 2, 3, 6])):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((n, " ".join(copy)))
+    rows += [(100, "a")] + [(101 + n, f"a x{n}") for n in range(40)] + [(200 + n, f"a b c{n % 7} d{n}") for n in range(30)]
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "width", "tile", "nearest"), [(30, 2, 2_000, (1, None)), (50, 1, 1_000_000, (4, 64, None)), (85, 2, 2_000, (1, 2, None)), (100, 2, 1_000_000, (4, None))])
+def test_jaccard_at_any_threshold(spark, monkeypatch, percent, width, tile, nearest):
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", tile)  # small: several tiles around a hub
+    monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
+    rows = scattered(random.Random(percent))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), width=width, percent=percent, frequent_from=8).collect()}
+    assert found == brute_components(rows, width, percent)
+
+
 def test_jaccard_odd_rows(spark):
     found = jaccard_components(table(spark, [(1, "a b c"), (1, "a b c"), (2, "A B C"), (None, "a b c"), (3, None)]), width=4, percent=85).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3)]
     assert jaccard_components(table(spark, []), width=4, percent=85).count() == 0
+    found = jaccard_components(table(spark, [(1, "a b c d e"), (2, "A b c d e"), (2, "v w x y z"), (2, "p q r s t"), (None, "a b c d e")]), width=1, percent=80, row_keys=True).collect()
+    assert len({r.component for r in found if r.doc_id is not None}) == 3 and [r.component for r in found if r.doc_id is None] == [None]
+    with pytest.raises(ValueError):
+        jaccard_components(table(spark, []), percent=0)
 
 
 def test_sketches_bound_the_difference():
@@ -244,7 +272,3 @@ def test_suffix_order():
         starts = np.arange(max(len(data) - length + 1, 0))
         strings = [data[s : s + length].tobytes() for s in starts]
         assert suffix_dedup.repeated_starts(data, starts, length).tolist() == [strings.count(s) > 1 for s in strings]
-
-
-def test_jaccard_constants():
-    assert jaccard_join.OUTLINE_BITS % 64 == 0
