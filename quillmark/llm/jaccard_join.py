@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .repeat_filter import may_repeat, members
-from .shared import shuffle_parts, stored
+from .shared import discard, shuffle_parts, stored
 from .words import Hasher, mix, word_hashes
 
 #: Lists up to this length give all their pairs at once.
 SHORT_LIST = 8
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
-#: Bytes of sketches in a tile.
-TILE_BYTES = 1_000_000
+#: Members of a hub in a tile, and bytes of a sketch there; longer ones are folded.
+TILE, OUTLINE = 4096, 128
 #: Candidates of a row that leave a tile, by round; the last round takes all.
-NEAREST = (4, 64, None)
+NEAREST = (16, 256, None)
 #: Tokens counted at once by a task when it looks for frequent ones.
 COUNTED = 3_000_000
 
@@ -257,35 +257,56 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.select("key", "n", "name").mapInArrow(run, "a long, n_a int, b long, n_b int, star boolean")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, n_a, b, n_b) whose sketches do not rule a link out."""
-    left, right = (sketches.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select("a", "n_a", "b", "n_b", "sketch_a", "sketch_b")
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, n_a, b, n_b, hub_a, hub_b) with the classes of both ends (node, class_id) and ``alike``: whether their
+    sizes and sketches do not rule a link out."""
+    left, right = (classes.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"node_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    kept = ["a", "n_a", "node_a", "class_a", "b", "n_b", "node_b", "class_b", "hub_a", "hub_b"]
+    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select(*kept, "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
+            alike = []
+            for n_a, n_b, x, y in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(10), batch.column(11), strict=True):
+                if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+                    alike.append(False)
+                    continue
                 # shared = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2 where the sets differ in d tokens
-                d = differing(x, y)
-                keep.append(100 * (n_a + n_b - d) >= percent * (n_a + n_b + d))
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "n_a", "b", "n_b"]).filter(pa.array(keep, pa.bool_()))
+                d = differing(x.as_py(), y.as_py())
+                alike.append(100 * (n_a + n_b - d) >= percent * (n_a + n_b + d))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:10], pa.array(alike, pa.bool_())], names=[*kept, "alike"])
 
-    return both.mapInArrow(run, "a long, n_a int, b long, n_b int")
+    return both.mapInArrow(run, "a long, n_a int, node_a long, class_a long, b long, n_b int, node_b long, class_b long, hub_a boolean, hub_b boolean, alike boolean")
 
 
-def _tiles(open_hubs: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs (a, n_a, b, n_b, cut) around a hub, in different parts, whose sketches do not rule a link out.
+def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs (hub, node_a, node_b, cut) around a hub, in different parts, whose sketches do not rule a link out.
 
-    Rows of ``open_hubs``: hub, a, n_a, part, sketch, and ``outside``, whether the part is not the hub's. Members are
-    dealt by hash into tiles of about :data:`TILE_BYTES`; a tile of outside members meets every tile of its hub, each
-    pair of tiles in a place of its own. Each row gives its ``nearest`` candidates of a tile; ``cut`` tells where there
-    were more.
+    Rows of ``members_of``: hub, node, part, and ``outside``, whether the part is not the hub's. Hubs without members
+    outside drop out. Members are dealt by hash into tiles of about :data:`TILE`; a tile of outside members meets every
+    tile of its hub, each pair of tiles in a place of its own. Each row gives its ``nearest`` candidates of a tile;
+    ``cut`` tells where there were more.
     """
-    weight = F.greatest(F.length("sketch"), F.lit(512))
-    sizes = open_hubs.groupBy("hub").agg(*[F.ceil(F.sum(F.when(F.col("outside") == side, weight).otherwise(0)) / TILE_BYTES).cast("int").alias(name) for name, side in (("n_out", True), ("n_in", False))])
-    dealt = open_hubs.join(sizes, "hub").withColumn("tile", F.when(F.col("outside"), F.pmod(F.xxhash64("a"), "n_out")).otherwise(F.col("n_out") + F.pmod(F.xxhash64("a"), "n_in")).cast("int"))
-    tiles = stored(dealt.groupBy("hub", "tile", "n_out", "n_in").agg(F.collect_list(F.struct("a", "n_a", "part", "sketch")).alias("rows")), "tiles")
+    count = {name: F.ceil(F.count_if(F.col("outside") == side) / TILE).cast("int").alias(name) for name, side in (("n_out", True), ("n_in", False))}
+    sizes = members_of.groupBy("hub").agg(*count.values()).where("n_out > 0")
+    tile = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "n_out")).otherwise(F.col("n_out") + F.pmod(F.xxhash64("node"), "n_in")).cast("int")
+    dealt = members_of.join(sizes, "hub").withColumn("tile", tile).join(classes.select("node", "n", "sketch"), "node")
+    fold = dealt.select("hub", "tile", "n_out", "n_in", "node", "n", "part", "sketch")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for x in batch.column(7):
+                words = np.frombuffer(x.as_buffer(), "<u8")
+                while len(words) > OUTLINE // 8:
+                    words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+                out.append(words.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out, pa.binary())], names=batch.schema.names)
+
+    rows = fold.mapInArrow(folded, fold.schema)
+    tiles = stored(rows.groupBy("hub", "tile", "n_out", "n_in").agg(F.collect_list(F.struct("node", "n", "part", "sketch")).alias("rows")), "tiles")
     total = F.col("n_out") + F.col("n_in") - 1
     left = tiles.where("tile < n_out").select("hub", F.col("tile").alias("i"), F.explode(F.sequence("tile", total)).alias("j"), F.col("rows").alias("left"))
     right = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.least("tile", F.col("n_out") - 1))).alias("i"), F.col("tile").alias("j"), F.col("rows").alias("right"))
@@ -310,7 +331,7 @@ def _tiles(open_hubs: DataFrame, percent: int, nearest: int | None) -> DataFrame
 
         def near(left, right):
             """Row of left, row of right, bits that differ, of all candidates."""
-            n_a, part_a, n_b, part_b = (x.field(c).to_numpy() for x in (left, right) for c in ("n_a", "part"))
+            n_a, part_a, n_b, part_b = (x.field(c).to_numpy() for x in (left, right) for c in ("n", "part"))
             others = list(by_length(right))
             for words, at, sketches in by_length(left):
                 for words_b, at_b, sketches_b in others:
@@ -326,32 +347,34 @@ def _tiles(open_hubs: DataFrame, percent: int, nearest: int | None) -> DataFrame
                         yield row[i], at_b[j], d[i, j]
 
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            for hub, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 left, right = left.values, right.values
                 i, j, d = (np.concatenate(x) for x in zip(*near(left, right), strict=True))
-                name, n, other, m = left.field("a").to_numpy()[i], left.field("n_a").to_numpy()[i], right.field("a").to_numpy()[j], right.field("n_a").to_numpy()[j]
-                order = np.lexsort((other, d, i))
-                i = i[order]
+                order = np.lexsort((right.field("node").to_numpy()[j], d, i))
+                i, j = i[order], j[order]
                 start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-                rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
-                some = rank < (len(i) if nearest is None else nearest)
-                cut = np.repeat(np.diff(np.r_[start, len(i)]), np.diff(np.r_[start, len(i)])) > (len(i) if nearest is None else nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(x[order][some]) for x in (name, n, other, m)] + [pa.array(cut[some])], names=["a", "n_a", "b", "n_b", "cut"])
+                length = np.diff(np.r_[start, len(i)])
+                most = len(i) if nearest is None else nearest
+                some = np.arange(len(i)) - np.repeat(start, length) < most
+                cut = np.repeat(length > most, length)[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), hub)), pa.array(left.field("node").to_numpy()[i[some]]), pa.array(right.field("node").to_numpy()[j[some]]), pa.array(cut)], names=["hub", "node_a", "node_b", "cut"])
+
+    return left.join(right, ["hub", "i", "j"]).select("hub", "left", "right").mapInArrow(run, "hub long, node_a long, node_b long, cut boolean")
 
-    return left.join(right, ["hub", "i", "j"]).select("left", "right").mapInArrow(run, "a long, n_a int, b long, n_b int, cut boolean")
 
+def _verify(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (node_a, node_b): the pairs whose whole sets are alike enough.
 
-def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (id_a, id_b) between nodes of ``classes``: the pairs whose whole sets are alike enough."""
-    named = pairs.select(F.col("a").alias("name"), F.col("n_a").alias("n")).union(pairs.select("b", "n_b")).distinct()
-    wanted = stored(named.join(classes, ["n", "name"]), "wanted")
+    ``wanted`` has node, class_id, n and name of all ends; each set is made from the text of one document of its class.
+    """
+    wanted = stored(wanted.distinct(), "wanted")
     bits = members(wanted.select("class_id"))
     # repeated rows give the same tokens once; they stand where the join has put them
-    found = _sets(texts, bits, width).join(wanted.select(F.col("class_id").alias("doc_id"), "n", "name", "node"), ["doc_id", "n", "name"])
+    found = _sets(texts, bits, width).join(wanted.withColumnRenamed("class_id", "doc_id"), ["doc_id", "n", "name"])
     sets = stored(found.groupBy("doc_id", "n", "name", "node").agg(F.first("tokens").alias("tokens")), "sets")
     bits.destroy()
-    left, right = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"id_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select("id_a", "id_b", "tokens_a", "tokens_b")
+    left, right = (sets.select(F.col("node").alias(f"node_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    both = pairs.join(left, "node_a").join(right, "node_b").select("node_a", "node_b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -363,9 +386,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int,
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 shared = int((b[at] == a).sum())
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id_a", "id_b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["node_a", "node_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "id_a long, id_b long")
+    links = stored(both.mapInArrow(run, "node_a long, node_b long"), "found")
+    discard(wanted)
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, frequent_tokens: int = 131_072, frequent_from: int = 64, row_keys: bool = False) -> DataFrame:
@@ -395,39 +421,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a class is the documents of one set; its number is fixed once the table is written
     classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    sketches = classes.select("n", "name", "sketch")
 
     dealt = _postings(texts.where("doc_id IS NOT NULL"), width, percent, frequent)
     lists = stored(_lists(dealt.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", F.desc("weight"), "n", "name"), percent), "lists")
     frequent.destroy()
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    first = stored(lists.where(near).select(*_ordered()).distinct(), "pairs")
-    links = _verify(stored(_alike(first, sketches, percent), "alike"), texts, classes, width, percent)
-    labels = connected(links, "id_a", "id_b")
+    first = lists.select(*_ordered(), (F.col("star") & (F.col("a") > F.col("b"))).alias("hub_a"), (F.col("star") & (F.col("a") <= F.col("b"))).alias("hub_b"))
+    first = first.groupBy("a", "n_a", "b", "n_b").agg(F.max("hub_a").alias("hub_a"), F.max("hub_b").alias("hub_b"))
+    met = stored(_alike(first, classes, percent), "met")
+    discard(lists)
+    ends = met.where("alike").select(F.explode(F.array(*[F.struct(F.col(f"node_{x}").alias("node"), F.col(f"class_{x}").alias("class_id"), F.col(f"n_{x}").alias("n"), F.col(x).alias("name")) for x in "ab"])).alias("end")).select("end.*")
+    labels = connected(_verify(met.where("alike").select("node_a", "node_b"), ends, texts, width, percent), "node_a", "node_b", roots=False)
 
     # members that are still in another component than their hub meet the others around it, once a hub and not once a list
-    around = stored(lists.where("star").select("a", "n_a", F.col("b").alias("hub"), F.col("n_b").alias("n_hub")).distinct(), "around")
-    tried = first
+    stars = [met.where(f"hub_{h}").select(F.col(f"node_{h}").alias("hub"), F.col(f"node_{m}").alias("node")) for h, m in ("ab", "ba")]
+    around = stars[0].union(stars[1])
     for nearest in NEAREST:
-        part = F.coalesce("component", "at").alias("part")
-        parts = stored(classes.withColumnRenamed("node", "at").join(labels, F.col("at") == F.col("node"), "left").select("n", "name", "sketch", part), "parts")
-        of_hub = parts.select(F.col("name").alias("hub"), F.col("n").alias("n_hub"), F.col("part").alias("hub_part"))
-        placed = around.join(of_hub, ["hub", "n_hub"]).join(parts.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "part", "sketch"), ["a", "n_a"])
-        placed = placed.select(F.struct("hub", "n_hub").alias("hub"), "a", "n_a", "part", "sketch", (F.col("part") != F.col("hub_part")).alias("outside"))
-        still = placed.where("outside").select("hub").distinct()
-        open_hubs = stored(placed.join(still, "hub"), "open")
-        if open_hubs.isEmpty():
+        of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
+        placed = around.join(of_hub, "hub", "left").join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
+        placed = stored(placed.select("hub", "node", "part", (F.col("part") != F.col("hub_part")).alias("outside")), "placed")
+        if placed.where("outside").isEmpty():
             break
-        met = stored(_tiles(open_hubs, percent, nearest), "met")
-        rest = stored(met.select(*_ordered()).distinct().join(tried, ["a", "n_a", "b", "n_b"], "left_anti"), "rest")
+        rest = stored(_tiles(placed, classes, percent, nearest), "rest")
         if not rest.isEmpty():
-            more = _verify(rest, texts, classes, width, percent)
-            labels = connected(labels.select(F.col("node").alias("id_a"), F.col("component").alias("id_b")).union(more), "id_a", "id_b")
-            tried = tried.union(rest)
-        if met.where("cut").isEmpty():
+            pairs = rest.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+            ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(classes.drop("sketch"), "node")
+            more = _verify(pairs, ends, texts, width, percent)
+            labels = connected(labels.select(F.col("node").alias("node_a"), F.col("component").alias("node_b")).union(more), "node_a", "node_b", roots=False)
+        open_hubs = rest.where("cut").select("hub").distinct()
+        if open_hubs.isEmpty():
             break
+        around = placed.join(open_hubs, "hub", "left_semi").select("hub", "node")
 
-    known = classes.select("n", "name", "class_id", F.col("node").alias("at")).join(labels, F.col("at") == F.col("node"), "left").select("n", "name", "class_id", F.coalesce("component", "at").alias("component"))
+    known = classes.select("n", "name", "class_id", "node").join(labels, "node", "left").select("n", "name", "class_id", F.coalesce("component", "node").alias("component"))
     lowest = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
     known = known.join(lowest, "component")
     own = F.col("doc_id").isNotNull()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Characters handled at once; longer texts are counted piece by piece.
 PIECE = 2_000_000
 
@@ -66,16 +68,20 @@ def _codes(text: str):
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 4000, grams_per_language: int = 4000, share: float = 0.2, slots: int = 2**20) -> LanguageModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 4000, grams_per_language: int = 4000, share: float = 0.2, slots: int = 2**20, most_languages: int = 512) -> LanguageModel:
     """Learn from rows with a text and a language; rows where either or the id is null are left out.
 
+    At most ``most_languages`` labels are learned, those with the most rows, so that the model's size has a bound also
+    where labels are dirty. Repeated rows are all in the sample or all out of it.
+
     A trigram enters a language's filter when it is among its ``grams_per_language`` most frequent and its relative
     frequency there is at least ``share`` of its largest in any language.
     """
     import numpy as np
 
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = dict(sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect()))  # as many rows as languages
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = dict(sorted((r[0], r[1]) for r in labels.collect()))
     languages = list(sizes)
     if not languages:
         return LanguageModel([], [], [])
@@ -96,7 +102,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), lang, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    within = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    counts = stored(counts, "grams")  # of the sample, so of a bounded number of texts
+    within = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").withColumn("p", F.col("n") / F.col("all"))
     own = within.withColumn("most", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= share * F.col("most"))
     best = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= grams_per_language)
     chosen = best.select("lang", "gram").toPandas()  # at most languages x grams_per_language
@@ -149,14 +156,16 @@ def score_texts(texts: list[str | None], model: tuple, letters) -> tuple[list[st
     share = np.clip((hits - total[:, None] * wrong) / (1 - wrong) / np.maximum(total, 1)[:, None], 0, 1)
     best = share.argmax(axis=1)
     names = np.array(languages, object)[best]
-    return ["und" if t == 0 else x for x, t in zip(names, total, strict=True)], [float(s) if t else 0.0 for s, t in zip(share[np.arange(len(texts)), best], total, strict=True)]
+    score = np.where(total > 0, share[np.arange(len(texts)), best], 0.0)
+    return ["und" if t == 0 else x for x, t in zip(names, total, strict=True)], score.tolist()
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (columns of those names are replaced).
 
     lang_pred is ``und`` and score 0 where the text is null or has no letter, or where nothing was learned. Ties go to
-    the language that comes first by name. Every other column passes through as it is.
+    the language that comes first by name. Every other column passes through as it is, repeated rows too; a table
+    without rows gives none.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -179,7 +188,12 @@ def held_out(doc_id) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of every row, learned from the rows that are not held out.
+
+    Rows without an id are not learned from and count as not held out; they, repeated rows and rows without a label get
+    a prediction like any other. Ties go to the language that comes first by name. Texts may have any length. An empty
+    table gives an empty result; other columns are not read.
+    """
     model = fit(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return predict(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

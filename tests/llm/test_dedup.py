@@ -106,9 +106,10 @@ def scattered(rng):
     return rows
 
 
-@pytest.mark.parametrize(("percent", "width", "tile", "nearest"), [(30, 2, 2_000, (1, None)), (50, 1, 1_000_000, (4, 64, None)), (85, 2, 2_000, (1, 2, None)), (100, 2, 1_000_000, (4, None))])
+@pytest.mark.parametrize(("percent", "width", "tile", "nearest"), [(30, 2, 7, (1, None)), (50, 1, 4096, (4, 64, None)), (85, 2, 7, (1, 2, None)), (100, 2, 4096, (4, None))])
 def test_jaccard_at_any_threshold(spark, monkeypatch, percent, width, tile, nearest):
-    monkeypatch.setattr(jaccard_join, "TILE_BYTES", tile)  # small: several tiles around a hub
+    monkeypatch.setattr(jaccard_join, "TILE", tile)  # small: several tiles around a hub
+    monkeypatch.setattr(jaccard_join, "OUTLINE", 8)
     monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
     rows = scattered(random.Random(percent))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), width=width, percent=percent, frequent_from=8).collect()}
