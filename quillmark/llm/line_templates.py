@@ -56,7 +56,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.select("doc_id", "text_key", named.alias("names"))
     sequence = F.filter("names", lambda x: x.high.isNotNull())
     found = found.withColumn("document", F.when(F.size(sequence) == 1, F.col("text_key")).otherwise(F.xxhash64(sequence)))
-    lines = stored(found.select("doc_id", "text_key", "document", F.posexplode("names").alias("line", "name")).select("doc_id", "text_key", "document", "line", "name.*").where("high IS NOT NULL"), "lines")
+    # the outer form, though no text is without a line: else a filter on the names' number would be pushed below and make them twice
+    lines = stored(found.select("doc_id", "text_key", "document", F.posexplode_outer("names").alias("line", "name")).select("doc_id", "text_key", "document", "line", "name.*").where("high IS NOT NULL"), "lines")
     recurring = lines.groupBy("high", "low", "document").agg(F.lit(1).alias("n")).groupBy("high", "low").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("high", "low")
     gone = lines.join(recurring, ["high", "low"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
