@@ -1,13 +1,15 @@
 import hashlib
+import re
 
 import corpus_pipeline as cp
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
 from quillmark.llm.byte_bpe import read_ranks
 from quillmark.llm.catalog import QUERIES
-from tests.llm.test_dedup import brute_components
+from tests.llm.test_dedup import brute_components, brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,27 +18,87 @@ def test_every_operator_has_a_query():
     assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
 
 
+def plain(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+ODD = [(10_001, None, "en", "src0", 0), (10_002, "", None, None, None), (10_003, "12 34", "en", "src1", 5), (None, "of the and no id here at all", "en", "src2", 3), (None, "of the and no id here at all", "en", "src2", 3)]
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(10_001, None, "en", "src0", 0), (10_002, "", None, None, None), (10_003, "12 34", "en", "src1", 5)], docs.schema)
-    at, kept = docs.select(*cp.COLUMNS).union(odd.select(*cp.COLUMNS)), {}
+    at, kept = docs.select(*cp.COLUMNS).union(spark.createDataFrame(ODD, docs.schema).select(*cp.COLUMNS)), {}
     for name, stage in cp.STAGES:
         out = stage(spark, at, SF)
         at = spark.createDataFrame(out.collect(), out.schema)
-        kept[name] = at
+        kept[name] = at.collect()
         if name != "byte_bpe":
             assert at.columns == cp.COLUMNS
-    ids = {k: {r.doc_id for r in v.select("doc_id").collect()} for k, v in kept.items()}
-    # nothing but texts without a known language go at first
-    assert ids["language_id"] == {r.doc_id for r in docs.select("doc_id").collect()}
-    rows = [(r.doc_id, r.text) for r in kept["line_templates"].collect()]
+    # nothing but texts without a known language go at first, and rows without an id stay
+    assert plain(kept["language_id"]) == plain([*docs.select(*cp.COLUMNS).collect(), *ODD[3:]])
+    texts = [r.text for r in kept["language_id"]]
+    lines = [x[3] for x in brute_lines(list(enumerate(texts)), 10)]  # in the order of the rows
+    assert sorted((r.doc_id or 0, r.text) for r in kept["line_templates"]) == sorted((r.doc_id or 0, x) for r, x in zip(kept["language_id"], lines, strict=True) if x.split() or x == r.text)
+    rows = [(r.doc_id, r.text) for r in kept["line_templates"] if r.doc_id is not None]
     wanted = {i for i, (_, component) in brute_components(rows, 5, 80).items() if component == i}
-    assert ids["jaccard_join"] == wanted and len(wanted) < len(rows)
-    assert ids["mixing"] == ids["byte_bpe"] <= wanted
+    found = [r.doc_id for r in kept["jaccard_join"]]
+    assert sorted(i for i in found if i is not None) == sorted(wanted) and len(wanted) < len(rows) and found.count(None) == 2
+    assert plain(kept["mixing"]) == plain(brute_mix(kept["jaccard_join"]))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    texts = {r.doc_id: r.text for r in kept["mixing"].collect()}
-    for r in kept["byte_bpe"].collect():
-        assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    wanted = sorted((len(ids := library.encode_ordinary(r.text)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in kept["mixing"])
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in kept["byte_bpe"]) == wanted
+
+
+def brute_mix(rows):
+    """What the mixing stage keeps, in plain Python: budgets down the tree, then each leaf's documents by draw."""
+    from tests.llm.test_models import fill
+
+    def leaf(r):
+        number = re.search("[0-9]+", r.source or "")
+        return f"d{int(number[0]) % 4 if number else 0}", r.lang or "(none)", r.source or "(none)"
+
+    count, tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows], {}
+    for r, n in zip(rows, count, strict=True):
+        tokens[leaf(r)] = tokens.get(leaf(r), 0) + n
+    given = {(): sum(count) * 80 // 100}
+    for depth, level in enumerate(cp.MIX_LEVELS):
+        weights, below = cp.MIX_WEIGHTS.get(level, {}), {}
+        for path, budget in given.items():
+            rooms = {}
+            for x, n in tokens.items():
+                if x[:depth] == path and n:
+                    rooms[x[depth]] = rooms.get(x[depth], 0) + n
+            below |= {(*path, k): v for k, v in fill(budget, rooms, {k: weights.get(k, 1) for k in rooms}).items()}
+        given = below
+    kept = []
+    for x, n in tokens.items():
+        budget = given.get(x, 0)
+        mine = [(r, k) for r, k in zip(rows, count, strict=True) if leaf(r) == x and k]
+        epoch = budget // n if n else 0
+        at = 0
+        for r, k in sorted(mine, key=lambda m: (hashlib.md5(f"17-{epoch}-{'' if m[0].doc_id is None else m[0].doc_id}".encode()).hexdigest(), m[1])):
+            if epoch or at < budget % n:
+                kept.append(r)
+            at += k
+    return kept
+
+
+def test_rows_with_one_id_have_their_own_fate(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, near, "en", "src0", 1), (2, near + " more", "en", "src0", 2), (2, "quite another text that nobody else has written", "en", "src1", 3), (2, "quite another text that nobody else has written", "en", "src1", 3), (None, near, "en", "src2", 4), (None, near, "en", "src2", 4), (3, None, "en", None, 0), (4, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.drop_near_copies(spark, docs, SF).collect()
+    assert plain(kept) == plain([rows[0], rows[2], *rows[4:]])
+    mixed = cp.mix_sources(spark, docs.select("n_chars", *docs.columns[:-1]), SF).collect()
+    assert plain(mixed) == plain(brute_mix(docs.collect())) and any(r.doc_id is None for r in mixed)
+    lines = cp.drop_template_lines(spark, docs, SF).collect()
+    assert plain(lines) == plain(rows)
+
+
+def test_stages_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, SF).count() == 0
 
 
 def test_rejected_texts(spark):
