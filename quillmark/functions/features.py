@@ -38,33 +38,42 @@ def zero_null(x: Column) -> Column:
     return F.when(x != 0, x)
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[str, float, int]], by: str = "symbol", order: str = "date") -> DataFrame:
-    """Exponentially weighted means, y = (1 - alpha) y + alpha x, in one pass over each group.
+#: Exponentially weighted means: input, alpha, least number of values. The last one smooths what the two before it give.
+SMOOTH = {"avg_gain": ("gain", 1 / 14, 14), "avg_loss": ("loss", 1 / 14, 14), "atr": ("true_range", 1 / 14, 14), "ema_12": ("c", 2 / 13, 0), "ema_26": ("c", 2 / 27, 0), "macd_signal": ("macd", 2 / 10, 0)}
+#: Which of them a feature needs.
+NEEDS = {"rsi_14": ("avg_gain", "avg_loss"), "atr_14": ("atr",), "macd": ("ema_12", "ema_26"), "macd_hist": ("ema_12", "ema_26", "macd_signal")}
 
-    ``columns`` gives name: (input, alpha, least number of values). A group is one symbol's days, so it fits a task; groups
-    that are already together are not shuffled again.
+
+def smoothed(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with exponentially weighted means, y = (1 - alpha) y + alpha x, in one pass over each symbol's days.
+
+    A group is one symbol's days, so it fits a task; groups that are already together are not shuffled again.
     """
-    names, inputs = list(columns), dict(columns)
 
     def run(pdf):
-        pdf = pdf.sort_values(order)
-        for name, (source, alpha, least) in inputs.items():
+        pdf = pdf.sort_values("date")
+        for name in names:
+            if name == "macd_signal":
+                pdf["macd"] = (pdf["ema_12"] - pdf["ema_26"]) / pdf["c"]
+            source, alpha, least = SMOOTH[name]
             pdf[name] = pdf[source].ewm(alpha=alpha, min_periods=least, adjust=False).mean()
         return pdf
 
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{n}` double" for n in names])
-    out = df.groupBy(by).applyInPandas(run, schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    added = [*names, *(["macd"] if "macd_signal" in names else [])]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{n}` double" for n in added])
+    return df.groupBy("symbol").applyInPandas(run, schema).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in added})
 
 
-def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1) -> DataFrame:
-    """symbol, date, the 26 features, the target ``horizon`` days ahead, and the day's number ``bar_pos`` from 0.
+def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """symbol, date, the day's number ``bar_pos`` from 0, and ``columns``: by default the 26 features and the target
+    ``horizon`` days ahead.
 
-    All windows share one partitioning and one sort by symbol and day; the smoothed features need one pass more, of
-    the same groups.
+    All windows share one partitioning and one sort by symbol and day. Only the smoothed features leave the JVM, in one
+    pass over the same groups, and only where they are asked for; nothing but what is asked for goes through it.
     """
     if horizon < 1:
         raise ValueError("horizon is at least 1")
+    wanted = list(columns or [*FEATURES, TARGET])
     c = F.col("c")
     base = bars.select("symbol", "date", F.col(price_column).alias("c"), "high", "low", "close", "volume")
     lagged = base.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(by_day())), "change": c - F.lag(c).over(by_day()), "close_before": F.lag("close").over(by_day()), "v": zero_null(F.col("volume")), "bar_pos": F.row_number().over(by_day()) - 1})
@@ -90,14 +99,16 @@ def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1)
         "gain": F.when(F.col("change").isNotNull(), F.greatest("change", F.lit(0.0))),
         "loss": F.when(F.col("change").isNotNull(), F.greatest(-F.col("change"), F.lit(0.0))),
         "true_range": F.greatest(spread, F.abs(F.col("high") - F.col("close_before")), F.abs(F.col("low") - F.col("close_before"))),
+        "c": c,
     }
-    wide = lagged.withColumns({**out, **smooth_in})
-    smooth = ewm(wide, {"avg_gain": ("gain", 1 / 14, 14), "avg_loss": ("loss", 1 / 14, 14), "atr": ("true_range", 1 / 14, 14), "ema_12": ("c", 2 / 13, 0), "ema_26": ("c", 2 / 27, 0)})
-    smooth = smooth.withColumn("macd", (F.col("ema_12") - F.col("ema_26")) / c)
-    smooth = ewm(smooth, {"macd_signal": ("macd", 2 / 10, 0)})
-    strength = F.col("avg_gain") / zero_null(F.col("avg_loss"))
-    final = {"rsi_14": F.coalesce(100 - 100 / (1 + strength), F.lit(50.0)) / 100, "macd_hist": F.col("macd") - F.col("macd_signal"), "atr_14": F.col("atr") / c}
-    return smooth.withColumns(final).select("symbol", "date", "bar_pos", *[finite(F.col(f)).alias(f) for f in [*FEATURES, TARGET]])
+    means = [m for m in SMOOTH if any(m in NEEDS.get(f, ()) for f in wanted)]
+    table = lagged.select("symbol", "date", "bar_pos", *[x.alias(n) for n, x in out.items() if n in wanted], *([smooth_in[n].alias(n) for n in smooth_in if n == "c" or any(SMOOTH[m][0] == n for m in means)] if means else []))
+    if means:
+        strength = F.col("avg_gain") / zero_null(F.col("avg_loss"))
+        macd = (F.col("ema_12") - F.col("ema_26")) / c
+        final = {"rsi_14": F.coalesce(100 - 100 / (1 + strength), F.lit(50.0)) / 100, "macd": macd, "macd_hist": macd - F.col("macd_signal"), "atr_14": F.col("atr") / c}
+        table = smoothed(table, means).withColumns({n: x for n, x in final.items() if n in wanted})
+    return table.select("symbol", "date", "bar_pos", *[finite(F.col(f)).alias(f) for f in wanted])
 
 
 def dataset(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1) -> DataFrame:

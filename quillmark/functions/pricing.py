@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.sources.rates import BATCH, CACHE_READ, CACHE_WRITE, PROVIDER_PREFIX, broadcast_if_small, lookup_table
+from quillmark.sources.rates import BATCH, CACHE_READ, CACHE_WRITE, PROVIDER_PREFIX, broadcast_if_small, is_small, lookup_table
 
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens"]
 COSTS = ["input_cost", "output_cost", "cache_read_cost", "cache_write_cost"]
@@ -37,12 +37,15 @@ def with_rates(df: DataFrame, rates: DataFrame, strict: bool = False, model_col:
     Rows of an unknown model are dropped, or raise an error if ``strict``. The rate table is broadcast after a check of
     its size.
     """
-    table = broadcast_if_small(lookup_table(rates).withColumnRenamed("id", "model_id"))
-    names = table.select(F.col("model_key").alias("_name"))
+    table = lookup_table(rates).withColumnRenamed("id", "model_id")
+    small = is_small(table)  # checked once
+    hint = F.broadcast if small else (lambda t: t)
     exact = F.col(model_col)
-    found = df.join(broadcast_if_small(names.withColumnRenamed("_name", "_exact")), exact == F.col("_exact"), "left")
-    found = found.join(broadcast_if_small(names.withColumnRenamed("_name", "_plain")), bare_model(exact) == F.col("_plain"), "left")
+    # which of a row's two longer names are registered
+    named = [hint(table.select(F.col("model_key").alias(n))) for n in ("_exact", "_plain")]
+    found = df.join(named[0], exact == F.col("_exact"), "left").join(named[1], bare_model(exact) == F.col("_plain"), "left")
     keyed = found.withColumn("model_key", F.coalesce("_exact", "_plain", undated_model(exact))).drop("_exact", "_plain")
+    table = hint(table)
     if not strict:
         return keyed.join(table, "model_key")
     joined = keyed.join(table, "model_key", "left")

@@ -117,19 +117,33 @@ def strategy_metrics(returns: DataFrame, by: list[str], order: str = "date", per
     )
 
 
+def _bin(p: Column) -> Column:
+    """Bins in the order of p, finer and finer towards zero: 64 for each halving; at most some 70,000 in all."""
+    return F.when(p <= 0, -(2**31)).otherwise(F.floor(F.log2(p) * 64)).cast("long")
+
+
 def corrected(tests: DataFrame, p: str = "p_value", alpha: float = ALPHA, by: list[str] | None = None) -> DataFrame:
     """``tests`` with nominal, bonferroni and fdr flags, one row a test; missing p-values come last and count.
 
-    The step-up procedure rejects the ``k`` smallest, for the largest ``k`` with p(k) <= alpha k / n. One row a symbol is a
-    small table even for every symbol there is.
+    The step-up procedure rejects the ``k`` smallest, for the largest ``k`` with p(k) <= alpha k / n. Values are counted
+    before they are shuffled and ordered bin by bin; the few counts of bins are summed up before, so no task orders a
+    whole group's tests. The bound of each group is joined back.
     """
-    by = by or []
-    group = Window.partitionBy(*by)
+    keys = by or ["_all"]
     value = F.when(~F.isnan(p), F.col(p))
-    ranked = tests.withColumn("_n", F.count("*").over(group)).withColumn("_k", F.row_number().over(group.orderBy(value.asc_nulls_last())))
-    kmax = F.max(F.when(value <= alpha * F.col("_k") / F.col("_n"), F.col("_k"))).over(group)
-    flags = {"nominal": is_significant(value, alpha), "bonferroni": F.coalesce(value < alpha / F.col("_n"), F.lit(False)), "fdr": F.coalesce(F.col("_k") <= F.col("_kmax"), F.lit(False))}
-    return ranked.withColumn("_kmax", kmax).withColumns(flags).drop("_n", "_k", "_kmax")
+    rows = tests if by else tests.withColumn("_all", F.lit(0))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    # only values up to alpha can be rejected
+    counts = rows.where(value <= alpha).groupBy(*keys, value.alias("_p")).agg(F.count("*").alias("_count")).withColumn("_bin", _bin(F.col("_p")))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    k = F.col("_before") + F.sum("_count").over(inside)
+    reached = counts.join(bins, [*keys, "_bin"]).withColumn("_k", k).join(sizes, keys).where(F.col("_p") <= alpha * F.col("_k") / F.col("_n"))
+    bounds = sizes.join(reached.groupBy(*keys).agg(F.max("_p").alias("_most")), keys, "left")
+    flags = {"nominal": is_significant(value, alpha), "bonferroni": F.coalesce(value < alpha / F.col("_n"), F.lit(False)), "fdr": F.coalesce(value <= F.col("_most"), F.lit(False))}
+    return rows.join(bounds, keys).select(*[F.col(c) for c in tests.columns], *[x.alias(n) for n, x in flags.items()])
 
 
 def scan_summary(scan: DataFrame, alpha: float = ALPHA) -> DataFrame:

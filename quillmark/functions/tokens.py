@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters a token of prose and of dense text, the density of the latter, and the tolerance.
@@ -85,3 +85,29 @@ def count_tokens(texts: DataFrame, cache: DataFrame, model: str, calibration: Da
 def cache_additions(counted: DataFrame) -> DataFrame:
     """Rows to append to the cache: exact counts only, once a key."""
     return counted.where("found = 'exact'").select("key", "tokens").dropDuplicates(["key"])
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(key, tokens) of a kept cache; an absent one is empty. Of a key that several writers have added one count stays."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], "key string, tokens long")
+    return spark.read.schema("key string, tokens long").parquet(path).groupBy("key").agg(F.min("tokens").alias("tokens"))
+
+
+def flush_cache(counted: DataFrame, path: str) -> None:
+    """Add new exact counts to a kept cache; nothing is written where there are none."""
+    new = cache_additions(counted)
+    if not new.isEmpty():
+        new.write.mode("append").parquet(path)
+
+
+def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, text) of whole files as UTF-8, bytes that are none replaced; unreadable paths are an error."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def count_files(spark: SparkSession, paths: str | list[str], cache: DataFrame, model: str, **options) -> DataFrame:
+    """path, text, key, tokens, found of text files; see :func:`count_tokens`."""
+    return count_tokens(read_texts(spark, paths), cache, model, **options)

@@ -23,12 +23,31 @@ def fold_bounds(sizes: DataFrame, train: int = TRAIN, test: int = TEST, step: in
     return folds.select("symbol", F.col("fold").cast("int").alias("fold"), start.alias("train_start"), end.alias("train_end"), (end + embargo).alias("test_start"), F.least(end + embargo + test, F.col("n")).alias("test_end"))
 
 
-def assigned(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows (symbol, pos, ...) once for each fold that uses them, with ``part`` train or test.
+def assigned(rows: DataFrame, sizes: DataFrame, train: int = TRAIN, test: int = TEST, step: int | None = None, expanding: bool = False, embargo: int = EMBARGO) -> DataFrame:
+    """Rows (symbol, pos, ...) once for each fold that uses them, with ``fold`` and ``part`` train or test.
 
-    The join is on symbol, and bounds are few rows a symbol.
+    Bounds are those of :func:`fold_bounds`. The folds of a position are a range of numbers, so a row is copied for its
+    own folds only and never meets the others. ``sizes`` (symbol, n) is one row a symbol.
     """
-    both = rows.join(bounds, "symbol")
-    train = (F.col("pos") >= F.col("train_start")) & (F.col("pos") < F.col("train_end"))
-    test = (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end"))
-    return both.where(train | test).withColumn("part", F.when(test, "test").otherwise("train")).drop("train_start", "train_end", "test_start", "test_end")
+    step = step or test
+    if train <= 0 or test <= 0 or step < 0 or embargo < 0:
+        raise ValueError("sizes are positive, step and embargo not negative")
+    pos, last = F.col("pos").cast("long"), F.col("_last")
+    known = sizes.where(F.col("n") > train + embargo).select("symbol", F.floor((F.col("n") - 1 - train - embargo) / step).cast("long").alias("_last"))
+
+    def folds(first, end):
+        """Fold numbers from first to end; none where that is no range."""
+        first, end = F.greatest(first, F.lit(0).cast("long")), F.least(end, last)
+        return F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))
+
+    def floor(x):
+        return F.floor(x / step).cast("long")
+
+    trained = folds(floor(pos - train) + 1, last if expanding else floor(pos))
+    tested = folds(floor(pos - train - embargo - test) + 1, floor(pos - train - embargo))
+
+    def entry(part):
+        return lambda f: F.struct(f.cast("int").alias("fold"), F.lit(part).alias("part"))
+
+    entries = F.concat(F.transform(trained, entry("train")), F.transform(tested, entry("test")))
+    return rows.join(known, "symbol").select(*rows.columns, F.inline(entries))

@@ -146,7 +146,7 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
     sizes = data.groupBy("symbol").agg(F.count("*").alias("n"))
     if strict:
         sizes = sizes.withColumn("n", F.when(F.col("n") > train + embargo, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("too few rows: "), "symbol")).cast("long")))
-    rows = assigned(data.select("symbol", "date", "pos", *columns, TARGET), fold_bounds(sizes, train, test, step, expanding, embargo))
+    rows = assigned(data.select("symbol", "date", "pos", *columns, TARGET), sizes, train, test, step, expanding, embargo)
 
     def run(pdf):
         import numpy as np
@@ -171,7 +171,7 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
 def baseline_predictions(data: DataFrame, train: int = 750, test: int = 126, step: int | None = None, expanding: bool = False, embargo: int = 1) -> DataFrame:
     """Zero, mean and persistence forecasts without leaving the JVM: the mean of each fold's training rows is joined back."""
     sizes = data.groupBy("symbol").agg(F.count("*").alias("n"))
-    rows = assigned(data.select("symbol", "date", "pos", "ret_lag_1", TARGET), fold_bounds(sizes, train, test, step, expanding, embargo))
+    rows = assigned(data.select("symbol", "date", "pos", "ret_lag_1", TARGET), sizes, train, test, step, expanding, embargo)
     means = rows.where("part = 'train'").groupBy("symbol", "fold").agg(F.avg(TARGET).alias("m"))
     tested = rows.where("part = 'test'").join(means, ["symbol", "fold"])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in (("zero", F.lit(0.0)), ("mean", F.col("m")), ("persistence", F.col("ret_lag_1")))]))

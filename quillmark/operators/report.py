@@ -46,3 +46,21 @@ def report(priced: DataFrame, group_by: str | None = "model", total: bool = True
 def top_groups(found: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` groups and the total."""
     return found.where(~F.col("is_total")).limit(n).unionByName(found.where("is_total"))
+
+
+#: Fixed value: prefixes of fewer tokens are not cached by the service.
+LEAST_PREFIX = 1024
+
+
+def cache_verdicts(projected: DataFrame) -> DataFrame:
+    """Projections (see :func:`quillmark.functions.pricing.cache_projection`) with verdict, too_short and advice.
+
+    The verdict is ``cache`` where caching pays and ``send fresh`` where it does not; ``too_short`` tells prefixes that
+    the service would not cache at all. ``advice`` says both in words.
+    """
+    short = F.col("prefix_tokens") < LEAST_PREFIX
+    amount = F.format_number(F.abs("savings"), 4)
+    words = F.when(F.col("worth_it"), F.concat(F.lit("caching pays: $"), amount, F.lit(" less")))
+    words = words.otherwise(F.concat(F.lit("caching does not pay: $"), amount, F.lit(" more")))
+    warning = F.when(short, F.lit(f"; the service ignores prefixes under {LEAST_PREFIX} tokens")).otherwise("")
+    return projected.withColumns({"verdict": F.when(F.col("worth_it"), "cache").otherwise("send fresh"), "too_short": short, "advice": F.concat(words, warning)})

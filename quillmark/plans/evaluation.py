@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import dataset
 from quillmark.functions.statistics import ALPHA, corrected, forecast_metrics, scan_summary, strategy_metrics
-from quillmark.operators.agents import walk_forward_agents
 from quillmark.operators.backtest import COST_BPS, backtest, buy_and_hold, model_positions
 from quillmark.operators.forecast import BASELINES, walk_forward_predict
+from quillmark.sources.bars import symbols
 
 KEYS = ["symbol", "model"]
 
@@ -23,7 +23,7 @@ def fold_metrics(predictions: DataFrame) -> DataFrame:
     return forecast_metrics(predictions, [*KEYS, "fold"])
 
 
-def strategies(bars: DataFrame, models: list[str], agents: list[str] = (), cost_bps: float = COST_BPS, threshold: float = 0.0, allow_short: bool = True, seed: int = 0, episodes: int | None = None, **folds) -> tuple[DataFrame, DataFrame]:
+def strategies(bars: DataFrame, models: list[str], cost_bps: float = COST_BPS, threshold: float = 0.0, allow_short: bool = True, **folds) -> tuple[DataFrame, DataFrame]:
     """Forecast figures and strategy figures of each symbol; baselines are scored but not traded.
 
     Strategies and buy-and-hold are compared on the same out-of-sample days. The benchmark's Sharpe ratio stands beside
@@ -32,9 +32,6 @@ def strategies(bars: DataFrame, models: list[str], agents: list[str] = (), cost_
     data = dataset(bars)
     predictions = walk_forward_predict(data, models, **folds)
     traded = model_positions(predictions.where(~F.col("model").isin(*BASELINES)), threshold, allow_short)
-    if agents:
-        held = walk_forward_agents(data, list(agents), cost_bps=cost_bps, seed=seed, allow_short=allow_short, episodes=episodes, **{k: v for k, v in folds.items() if k in ("train", "test", "step", "embargo")})
-        traded = traded.unionByName(held.drop("fold"))
     traded = traded.unionByName(buy_and_hold(predictions))
     figures = strategy_metrics(backtest(traded, KEYS, cost_bps), KEYS)
     benchmark = F.max(F.when(F.col("model") == "buy_and_hold", F.col("sharpe"))).over(Window.partitionBy("symbol"))
@@ -42,8 +39,13 @@ def strategies(bars: DataFrame, models: list[str], agents: list[str] = (), cost_
     return forecast_metrics(predictions, KEYS), figures
 
 
-def scan(bars: DataFrame, model: str = "ridge", train: int = 500, test: int = 126, min_test_days: int = 250, cost_bps: float = COST_BPS, threshold: float = 0.0, allow_short: bool = True, **folds) -> DataFrame:
-    """One row a symbol with enough out-of-sample days: accuracy, p-value, and how the strategy and its benchmark fared."""
+def scan(bars: DataFrame, model: str = "ridge", train: int = 500, test: int = 126, min_test_days: int = 250, cost_bps: float = COST_BPS, threshold: float = 0.0, allow_short: bool = True, first_symbols: int | None = None, **folds) -> DataFrame:
+    """One row a symbol with enough out-of-sample days: accuracy, p-value, and how the strategy and its benchmark fared.
+
+    ``first_symbols`` scans only so many symbols, the first by name.
+    """
+    if first_symbols:
+        bars = bars.join(symbols(bars, first_symbols), "symbol", "left_semi")
     predictions = walk_forward_predict(dataset(bars), [model], train=train, test=test, **folds)
     scored = forecast_metrics(predictions, ["symbol"]).where(F.col("n") >= min_test_days)
     both = model_positions(predictions, threshold, allow_short).unionByName(buy_and_hold(predictions))
@@ -68,6 +70,32 @@ def significant_forecasts(metrics: DataFrame, alpha: float = ALPHA) -> DataFrame
     return metrics.where(~F.col("model").isin(*BASELINES) & (F.col("p_value") < alpha))
 
 
+def scan_json(found: DataFrame, failures: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
+    """The scan as JSON lines: a ``summary`` line, a ``result`` line a symbol with its flags, a ``failure`` line each."""
+
+    def line(kind: str, table: DataFrame) -> DataFrame:
+        return table.select(F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(kind).alias("kind"), *table.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    parts = line("summary", scan_summary(found, alpha)).union(line("result", corrected(found, alpha=alpha)))
+    return parts if failures is None else parts.union(line("failure", failures))
+
+
+def evaluation_json(metrics: DataFrame, figures: DataFrame) -> DataFrame:
+    """An evaluation as JSON, one line a symbol: forecasts and strategies by name, those that beat the benchmark, and
+    forecasts better than chance."""
+
+    def named(table: DataFrame, name: str) -> DataFrame:
+        body = F.struct(*[c for c in table.columns if c not in KEYS])
+        return table.groupBy("symbol").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("model"), body.alias("figures"))))).alias(name))
+
+    better = figures.where("beats_benchmark").groupBy("symbol").agg(F.array_sort(F.collect_list("model")).alias("beats_benchmark"))
+    sure = significant_forecasts(metrics).groupBy("symbol").agg(F.array_sort(F.collect_list("model")).alias("significant_forecasts"))
+    whole = named(metrics, "forecasts").join(named(figures, "strategies"), "symbol", "full").join(better, "symbol", "left").join(sure, "symbol", "left")
+    none = F.array().cast("array<string>")
+    body = F.struct("symbol", "forecasts", "strategies", *[F.coalesce(c, none).alias(c) for c in ("beats_benchmark", "significant_forecasts")])
+    return whole.select("symbol", F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+
+
 def scan_text(found: DataFrame, k: int = 10) -> str:
     """Summary of a scan for a reader; only its few totals and ``k`` rows come to the driver."""
     s = scan_summary(found).first()
@@ -102,9 +130,9 @@ def evaluation_text(metrics: DataFrame, figures: DataFrame, is_synthetic: bool)
 
 def self_test(spark, n_days: int = 1600, seed: int = 101) -> DataFrame:
     """Two controls: signal 0 must not be found significant, signal 0.8 must. signal, p_value, passed."""
-    from quillmark.sources.bars import synthetic
+    from quillmark.sources.bars import control_series
 
-    bars = synthetic(spark, [{"symbol": f"S{s}", "n_days": n_days, "seed": seed, "signal": s} for s in (0.0, 0.8)])
+    bars = control_series(spark, [(f"S{s}", n_days, seed, s) for s in (0.0, 0.8)])
     found = forecast_metrics(walk_forward_predict(dataset(bars), ["ridge"], train=500), KEYS)
     edge = F.col("symbol") == "S0.8"
     return found.select(F.when(edge, 0.8).otherwise(0.0).alias("signal"), "p_value", F.when(edge, F.col("p_value") < ALPHA).otherwise(F.col("p_value") >= ALPHA).alias("passed"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.pricing import TOKENS, cache_breakeven, cache_projection, context_share, derived_usage, normalize_model, price, usage_from_api, volume_projection
 from quillmark.functions.tokens import estimate
-from quillmark.operators.report import report
+from quillmark.operators.report import cache_verdicts, report
 from quillmark.session import table
 from quillmark.sources.ledger import filter_ledger, parse_lines, priced_ledger, to_lines
 from quillmark.sources.rates import RATES, models, rate_table, register, with_limits
@@ -124,6 +124,12 @@ def cache_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cache_projection(_scenarios(spark, sf_dir), rate_table(spark), DAY))
 
 
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether caching pays in each scenario, and whether its prefix is long enough."""
+    found = cache_verdicts(cache_projection(_scenarios(spark, sf_dir), rate_table(spark), DAY))
+    return found.groupBy("model", "verdict", "too_short").agg(F.count("*").alias("scenarios"), F.round(F.sum("savings"), 6).alias("savings"))
+
+
 def volume_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = price(usage_ledger(spark, sf_dir), rate_table(spark), DAY).groupBy("model_id").agg(F.avg("cost").alias("cost_per_call"))
     day, month = volume_projection(F.col("cost_per_call"), F.lit(5000))
@@ -172,6 +178,7 @@ QUERIES = {
     "usage_decode": usage_decode,
     "cache_breakeven": cache_breakevens,
     "cache_projection": cache_projections,
+    "cache_verdicts": verdicts,
     "volume_projection": volume_projections,
     "usage_from_conversations": usage_from_conversations,
     "context_share": context_shares,
@@ -231,6 +238,15 @@ ESTIMATE_SQL = r"""
 CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, round_even(length(text) / (3.9::DOUBLE - (3.9::DOUBLE - 3.0::DOUBLE) * least(
   coalesce(len(regexp_extract_all(text, '[^\p{L}\p{N}_\s\x1c-\x1f\x{85}\p{Z}]'))::DOUBLE / nullif(len(regexp_extract_all(text, '[^\p{L}\p{N}_\s\x1c-\x1f\x{85}\p{Z}]')) + len(regexp_extract_all(text, '[\p{L}\p{N}_]+')), 0), 0) / 0.35::DOUBLE, 1.0::DOUBLE)), 0)) END::BIGINT"""
 
+PROJECTION_SQL = """
+WITH s AS (
+  SELECT p_partkey, 'claude-opus-5' AS model, (p_size * 1000)::BIGINT AS prefix_tokens, (p_partkey % 20 + 2)::BIGINT AS requests,
+    CASE WHEN p_partkey % 2 = 0 THEN '5m' ELSE '1h' END AS ttl, (p_partkey % 2 + 1)::BIGINT AS writes FROM part),
+c AS (
+  SELECT *, requests * prefix_tokens * (5.0::DOUBLE / 1000000) AS un,
+    prefix_tokens * (5.0::DOUBLE / 1000000) * (writes * (CASE ttl WHEN '5m' THEN 1.25::DOUBLE ELSE 2.0::DOUBLE END) + (requests - writes) * 0.1::DOUBLE) AS ca
+  FROM s)"""
+
 ORACLES = {
     "ledger_by_model": report_sql("model"),
     "ledger_by_day": report_sql("day"),
@@ -264,17 +280,13 @@ FROM c""",
     "cache_breakeven": """
 SELECT ttl, greatest(1, ceil((w - 0.1::DOUBLE) / (1 - 0.1::DOUBLE) - 1e-9::DOUBLE))::BIGINT AS requests
 FROM (VALUES ('5m', 1.25::DOUBLE), ('1h', 2.0::DOUBLE)) t(ttl, w)""",
-    "cache_projection": """
-WITH s AS (
-  SELECT p_partkey, 'claude-opus-5' AS model, (p_size * 1000)::BIGINT AS prefix_tokens, (p_partkey % 20 + 2)::BIGINT AS requests,
-    CASE WHEN p_partkey % 2 = 0 THEN '5m' ELSE '1h' END AS ttl, (p_partkey % 2 + 1)::BIGINT AS writes FROM part),
-c AS (
-  SELECT *, requests * prefix_tokens * (5.0::DOUBLE / 1000000) AS un,
-    prefix_tokens * (5.0::DOUBLE / 1000000) * (writes * (CASE ttl WHEN '5m' THEN 1.25::DOUBLE ELSE 2.0::DOUBLE END) + (requests - writes) * 0.1::DOUBLE) AS ca
-  FROM s)
+    "cache_projection": f"""{PROJECTION_SQL}
 SELECT p_partkey, model, prefix_tokens, requests, ttl, writes, round(un, 6) AS uncached_cost, round(ca, 6) AS cached_cost, round(un - ca, 6) AS savings,
   un - ca > 0 AS worth_it, round(coalesce((un - ca) / nullif(un, 0), 0), 6) AS savings_ratio
 FROM c""",
+    "cache_verdicts": f"""{PROJECTION_SQL}
+SELECT model, CASE WHEN un - ca > 0 THEN 'cache' ELSE 'send fresh' END AS verdict, prefix_tokens < 1024 AS too_short, count(*) AS scenarios, round(sum(un - ca), 6) AS savings
+FROM c GROUP BY ALL""",
     "volume_projection": f"{LEDGER_SQL}\nSELECT model_id, round(avg(cost), 5) AS cost_per_call, round(avg(cost) * 5000, 5) AS per_day, round(avg(cost) * 5000 * 30, 5) AS per_month FROM priced GROUP BY ALL",
     "usage_from_conversations": f"""
 WITH t AS (SELECT *, {ESTIMATE_SQL} AS own FROM conversations),

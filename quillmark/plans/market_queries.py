@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import FEATURES, TARGET, dataset, features, lookahead_leaks
 from quillmark.functions.statistics import corrected, forecast_metrics, max_drawdown, scan_summary, spearman, strategy_metrics
-from quillmark.operators.agents import learning_curve, walk_forward_agents
 from quillmark.operators.backtest import backtest, buy_and_hold, cost_sweep, model_positions
 from quillmark.operators.folds import fold_bounds
 from quillmark.operators.forecast import baseline_predictions, walk_forward_predict
 from quillmark.plans.evaluation import fold_metrics, scan, self_test, strategies
 from quillmark.session import table
-from quillmark.sources.bars import bars_from_trades, finalize, slice_dates, summary, symbols, synthetic
+from quillmark.sources.bars import bars_from_trades, finalize, slice_dates, summary, symbols
 
 TRAIN, TEST = 500, 126
 KEYS = ["symbol", "model"]
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars by return flag: price is the extended price a piece."""
-    trades = table(spark, sf_dir, "lineitem")
-    return bars_from_trades(trades, "l_returnflag", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity", ["l_orderkey", "l_linenumber"])
+def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+    """Daily bars by return flag (or another column): price is the extended price a piece."""
+    trades = table(spark, sf_dir, "lineitem").withColumn("_symbol", F.col(symbol).cast("string"))
+    return bars_from_trades(trades, "_symbol", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity", ["l_orderkey", "l_linenumber"])
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -54,18 +53,24 @@ def bar_symbols(spark, sf_dir):
 
 def _features(*names: str, places: int = 6):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(features(bars(spark, sf_dir)).select("symbol", "date", *names), places)
+        return _rounded(features(bars(spark, sf_dir), columns=list(names)).select("symbol", "date", *names), places)
 
     return query
 
 
+def supplier_features(spark, sf_dir):
+    """Features of one series a supplier: as many groups as there are suppliers."""
+    names = ["ret_lag_1", "momentum_5", "vol_5", "ma_gap_10", "rsi_14", TARGET]
+    return _rounded(features(bars(spark, sf_dir, "l_suppkey"), columns=names).select("symbol", "date", *names))
+
+
 def complete_dataset(spark, sf_dir):
     return _rounded(dataset(bars(spark, sf_dir)).select("symbol", "date", "pos", "ret_lag_1", "rsi_14", "range_position_252", TARGET))
 
 
 def no_lookahead(spark, sf_dir):
-    """Leaks of the features (none) and of one that is yesterday's target made today's (all days before the cut that it can tell)."""
-    made = lookahead_leaks(bars(spark, sf_dir), features)
+    """Leaks of the features (none) and of a planted one, the target five days ahead, which differs on five days a symbol."""
+    made = lookahead_leaks(bars(spark, sf_dir), lambda b: features(b, horizon=5), columns=[*FEATURES, TARGET])
     return made.select("symbol", "feature", "n_rows")
 
 
@@ -154,11 +159,9 @@ def scan_summaries(spark, sf_dir):
     return _rounded(scan_summary(rows), 6)
 
 
-def _walk(models: list[str], agents: list[str] = ()):
+def _walk(models: list[str]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = dataset(bars(spark, sf_dir))
-        if agents:
-            return backtest(walk_forward_agents(data, list(agents), TRAIN, TEST), KEYS)
         return forecast_metrics(walk_forward_predict(data, models, train=TRAIN, test=TEST), KEYS)
 
     return query
@@ -172,14 +175,6 @@ def evaluation(spark, sf_dir):
     return strategies(bars(spark, sf_dir), ["zero", "ridge"], train=TRAIN, test=TEST)[1]
 
 
-def synthetic_prices(spark, sf_dir):
-    return synthetic(spark, [{"symbol": f"S{n}", "seed": n, "n_days": 1000, "signal": n * 0.25} for n in range(4)])
-
-
-def q_learning_curve(spark, sf_dir):
-    return learning_curve(dataset(bars(spark, sf_dir)), "q_learning")
-
-
 def controls(spark, sf_dir):
     return self_test(spark)
 
@@ -200,6 +195,7 @@ QUERIES = {
     "volume_features": _features("volume_z_21", "volume_trend"),
     "calendar_features": _features("dow_sin", "dow_cos", places=9),
     "target_returns": _features(TARGET, places=9),
+    "supplier_features": supplier_features,
     "complete_dataset": complete_dataset,
     "no_lookahead": no_lookahead,
     "walk_forward_folds": walk_forward_folds,
@@ -220,11 +216,8 @@ QUERIES = {
     "scan_summary": scan_summaries,
     "ridge_walk_forward": _walk(["ridge"]),
     "tree_walk_forward": _walk(["random_forest", "gradient_boosting"]),
-    "agents_walk_forward": _walk([], ["q_learning", "reinforce", "always_long"]),
     "ridge_scan": ridge_scan,
     "strategy_evaluation": evaluation,
-    "synthetic_prices": synthetic_prices,
-    "q_learning_curve": q_learning_curve,
     "self_test": controls,
 }
 
@@ -351,7 +344,11 @@ SELECT symbol, count(*) AS n_days, CAST(min(date) AS VARCHAR) AS first_date, CAS
     "calendar_features": _feature_sql("dow_sin", "dow_cos", places=9),
     "target_returns": _feature_sql(TARGET, places=9),
     "complete_dataset": f"{DATA_SQL}\nSELECT symbol, CAST(date AS VARCHAR) AS date, pos, round(ret_lag_1, 6) AS ret_lag_1, round(rsi_14, 6) AS rsi_14, round(range_position_252, 6) AS range_position_252, round({TARGET}, 6) AS {TARGET} FROM data",
-    "no_lookahead": "SELECT '' AS symbol, '' AS feature, 0::BIGINT AS n_rows WHERE false",
+    "no_lookahead": f"""{BARS_SQL},
+s AS (SELECT symbol, date, percent_rank() OVER w AS share FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+l AS (SELECT *, lead(share, 5) OVER (PARTITION BY symbol ORDER BY date) AS later FROM s)
+SELECT symbol, '{TARGET}' AS feature, count(*) AS n_rows FROM l WHERE share < 0.7::DOUBLE AND later >= 0.7::DOUBLE GROUP BY symbol""",
+    "supplier_features": _feature_sql("ret_lag_1", "momentum_5", "vol_5", "ma_gap_10", "rsi_14", TARGET).replace("SELECT l_returnflag AS symbol", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol", 1),
     "walk_forward_folds": f"{FOLDS_SQL}\nSELECT * FROM bounds",
     "zero_forecast": _baseline_sql("zero"),
     "mean_forecast": _baseline_sql("mean"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.tokens import calibrate, content_key, conversation_texts, count_tokens, estimate, flatten_blocks, symbol_density
@@ -44,22 +44,22 @@ def flattened_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of ten documents a request, with priorities from labels; the first is required.
-
-    As in the SQL, documents of 8000 characters or more and those without text are left out.
-    """
+    """Items of ten documents a request, with priorities from labels; the first is required."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     doc_id = F.col("doc_id")
     items = docs.join(labels, "doc_id", "left").select(
-        (doc_id / 10).cast("long").alias("request_id"), (doc_id % 10).cast("int").alias("ord"), F.concat(F.lit("doc"), doc_id.cast("string")).alias("name"), F.col("text").alias("content"), F.lit(0).cast("long").alias("tokens"),
+        (doc_id / 10).cast("long").alias("request_id"), (doc_id % 10).cast("int").alias("ord"), F.concat(F.lit("doc"), doc_id.cast("string")).alias("name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(0).cast("long").alias("tokens"),
         (F.coalesce("quality", F.lit(0)) * 2.0 + doc_id % 4).alias("priority"), (doc_id % 10 == 0).alias("required"), (F.col("source") < "src2").alias("stable"),
     )
-    return validated_items(items.where(F.length("content") < 8000))
+    return validated_items(items)
 
 
 def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    room = available_tokens(F.lit(4000), F.lit(200_000), reserve_output=500, overhead=100, headroom=0.05)
-    packed = pack(context_items(spark, sf_dir), room)
+    """Requests with a limit of 4000 tokens and twice what their required item takes."""
+    items = context_items(spark, sf_dir)
+    needed = F.coalesce(F.sum(F.when(F.col("required"), F.col("tokens"))).over(Window.partitionBy("request_id")), F.lit(0))
+    items = items.withColumn("limit", 4000 + 2 * needed)
+    packed = pack(items, available_tokens(F.col("limit"), F.col("limit"), reserve_output=500, overhead=100, headroom=0.05))
     return packed.select("request_id", "available", "used", "tokens_free", F.round("utilization", 9).alias("utilization"), F.array_join("included", ",").alias("included"), F.array_join("dropped", ",").alias("dropped"))
 
 
@@ -84,7 +84,8 @@ l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 i AS (
   SELECT doc_id // 10 AS request_id, doc_id % 10 AS ord, 'doc' || doc_id AS name, {ESTIMATE_SQL} AS tokens,
     coalesce(quality, 0) * 2.0::DOUBLE + doc_id % 4 AS priority, doc_id % 10 = 0 AS required, source < 'src2' AS stable
-  FROM documents LEFT JOIN l USING (doc_id) WHERE length(text) < 8000)"""
+  FROM (SELECT doc_id, coalesce(text, '') AS text, source FROM documents) LEFT JOIN l USING (doc_id)),
+room AS (SELECT request_id, floor((4000 + 2 * coalesce(sum(tokens) FILTER (required), 0) - 600) * (1 - 0.05::DOUBLE))::BIGINT AS available FROM i GROUP BY request_id)"""
 
 ORACLES = {
     "symbol_density": f"SELECT doc_id, round(coalesce({_SYMBOLS}::DOUBLE / nullif({_SYMBOLS} + {_WORDS}, 0), 0), 9) AS density FROM documents",
@@ -109,12 +110,12 @@ a AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY required DES
 w AS (
   SELECT request_id, rn, tokens AS used, [name] AS taken FROM (SELECT request_id, 0 AS rn, 0::BIGINT AS tokens, '' AS name FROM i GROUP BY request_id)
   UNION ALL
-  SELECT a.request_id, a.rn, CASE WHEN a.required OR (a.priority > 0 AND w.used + a.tokens <= 3230) THEN w.used + a.tokens ELSE w.used END,
-    CASE WHEN a.required OR (a.priority > 0 AND w.used + a.tokens <= 3230) THEN list_append(w.taken, a.name) ELSE w.taken END
-  FROM w JOIN a ON a.request_id = w.request_id AND a.rn = w.rn + 1),
+  SELECT a.request_id, a.rn, CASE WHEN a.required OR (a.priority > 0 AND w.used + a.tokens <= room.available) THEN w.used + a.tokens ELSE w.used END,
+    CASE WHEN a.required OR (a.priority > 0 AND w.used + a.tokens <= room.available) THEN list_append(w.taken, a.name) ELSE w.taken END
+  FROM w JOIN a ON a.request_id = w.request_id AND a.rn = w.rn + 1 JOIN room ON room.request_id = w.request_id),
 e AS (SELECT request_id, arg_max(used, rn) AS used, arg_max(taken, rn) AS taken FROM w GROUP BY request_id)
-SELECT request_id, 3230::BIGINT AS available, used, 3230 - used AS tokens_free, round(used / 3230, 9) AS utilization,
+SELECT request_id, available, used, available - used AS tokens_free, round(used / available, 9) AS utilization,
   coalesce(string_agg(name, ',' ORDER BY ord) FILTER (list_contains(taken, name)), '') AS included, coalesce(string_agg(name, ',' ORDER BY ord) FILTER (NOT list_contains(taken, name)), '') AS dropped
-FROM i JOIN e USING (request_id) GROUP BY request_id, used""",
+FROM i JOIN e USING (request_id) JOIN room USING (request_id) GROUP BY request_id, used, available""",
     "order_for_cache": f"WITH {_ITEMS}\nSELECT request_id, name, row_number() OVER (PARTITION BY request_id ORDER BY NOT stable, ord) AS cache_order FROM i",
 }

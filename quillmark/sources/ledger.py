@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.pricing import TOKENS, price, usage_from_api
 
-USAGE = "struct<" + ", ".join(f"{t}: bigint" for t in TOKENS) + ">"
-LINE = f"ts string, model string, usage {USAGE}, tags map<string, string>, request_id string, duration_ms double, batch boolean, speed string, _corrupt string"
+LINE = "ts string, model string, usage map<string, bigint>, tags map<string, string>, request_id string, duration_ms double, batch boolean, speed string, _corrupt string"
 RECORD = "ts string, ts_utc timestamp, model string, " + ", ".join(f"{t} bigint" for t in TOKENS) + ", tags map<string, string>, request_id string, duration_ms double, batch boolean, speed string"
 
 
@@ -21,17 +20,17 @@ def parse_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     A line is malformed when it is no JSON object, lacks ts, model or usage, has an unknown or a null key in usage, a
     number that is none, a time that cannot be read, or a null speed (a missing one is ``standard``).
     """
-    raw = F.from_json(line_col, "map<string, string>")
-    parsed = lines.where(F.trim(line_col) != "").select(
-        F.from_json(line_col, LINE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), raw.alias("raw"), F.from_json(raw["usage"], "map<string, string>").alias("raw_usage")
-    )
+    whole = lines.where(F.trim(line_col) != "")
+    # a generator, so that no filter or column below it parses the line again
+    parsed = whole.select(F.col(line_col).alias("_line"), F.inline(F.array(F.from_json(line_col, LINE, {"columnNameOfCorruptRecord": "_corrupt"}))))
     names = F.array(*map(F.lit, TOKENS))
-    usage_ok = (F.size(F.array_except(F.map_keys("raw_usage"), names)) == 0) & F.forall(F.map_values("raw_usage"), lambda v: v.isNotNull())
-    speed_ok = ~F.map_contains_key("raw", F.lit("speed")) | F.col("r.speed").isNotNull()
-    stamp = F.try_to_timestamp("r.ts")
-    good = parsed.where(F.col("raw").isNotNull() & F.col("r._corrupt").isNull() & F.col("r.model").isNotNull() & F.col("r.usage").isNotNull() & stamp.isNotNull() & usage_ok & speed_ok)
-    tokens = [F.coalesce(f"r.usage.{t}", F.lit(0)).cast("long").alias(t) for t in TOKENS]
-    return good.select("r.ts", stamp.alias("ts_utc"), "r.model", *tokens, F.coalesce("r.tags", F.create_map().cast("map<string,string>")).alias("tags"), "r.request_id", "r.duration_ms", F.coalesce("r.batch", F.lit(False)).alias("batch"), F.coalesce("r.speed", F.lit("standard")).alias("speed"))
+    usage_ok = (F.size(F.array_except(F.map_keys("usage"), names)) == 0) & F.forall(F.map_values("usage"), lambda v: v.isNotNull())
+    # a null speed is told from a missing one by the keys, which are only read where the word is there
+    null_speed = F.when(F.col("speed").isNull() & F.contains("_line", F.lit('"speed"')), F.array_contains(F.json_object_keys("_line"), "speed")).otherwise(False)
+    stamp = F.try_to_timestamp("ts")
+    good = parsed.where(F.col("_corrupt").isNull() & F.col("model").isNotNull() & F.col("usage").isNotNull() & stamp.isNotNull() & usage_ok & ~null_speed)
+    tokens = [F.coalesce(F.try_element_at("usage", F.lit(t)), F.lit(0)).cast("long").alias(t) for t in TOKENS]
+    return good.select("ts", stamp.alias("ts_utc"), "model", *tokens, F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), "request_id", "duration_ms", F.coalesce("batch", F.lit(False)).alias("batch"), F.coalesce("speed", F.lit("standard")).alias("speed"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

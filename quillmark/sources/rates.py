@@ -51,7 +51,7 @@ def register(rates: DataFrame, new: DataFrame, overwrite: bool = False) -> DataF
 def with_limits(rates: DataFrame, limits: DataFrame) -> DataFrame:
     """Override limits from rows (id, context_window, max_output_tokens); unknown ids and nulls are ignored, rates stay."""
     new = limits.groupBy("id").agg(F.max("context_window").alias("_context"), F.max("max_output_tokens").alias("_output"))
-    joined = rates.join(F.broadcast(new) if _small(new) else new, "id", "left")
+    joined = rates.join(F.broadcast(new) if is_small(new) else new, "id", "left")
     return joined.withColumns({"context_window": F.coalesce("_context", "context_window"), "max_output_tokens": F.coalesce("_output", "max_output_tokens")}).select(rates.columns)
 
 
@@ -78,11 +78,11 @@ def models(rates: DataFrame) -> DataFrame:
     return rates.dropDuplicates(["id"]).orderBy("id")
 
 
-def _small(df: DataFrame, rows: int = 10_000) -> bool:
+def is_small(df: DataFrame, rows: int = 10_000) -> bool:
     """Whether a table has few enough rows to be sent to every executor."""
     return len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """A broadcast hint for a table of a checked size; a larger one is joined by shuffling."""
-    return F.broadcast(df) if _small(df, rows) else df
+    return F.broadcast(df) if is_small(df, rows) else df

@@ -1,4 +1,4 @@
-import inspect
+import json
 import math
 from statistics import NormalDist
 
@@ -9,25 +9,41 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import FEATURES, TARGET, dataset, features, lookahead_leaks
 from quillmark.functions.statistics import binomial_p_value, corrected, forecast_metrics, max_drawdown, normal_cdf, strategy_metrics
-from quillmark.operators.agents import Environment, constant_policy, q_learning, reinforce, run_policy
 from quillmark.operators.backtest import backtest, position
-from quillmark.operators.folds import fold_bounds
+from quillmark.operators.folds import assigned, fold_bounds
 from quillmark.operators.forecast import MODELS, ridge, walk_forward_predict
-from quillmark.sources.bars import BarsError, finalize, load, one_symbol, parse_chart_json, parse_stooq_csv, read_csv, synthetic
+from quillmark.sources.bars import BarsError, control_series, finalize, load, one_symbol, parse_chart_json, parse_stooq_csv, read_csv, symbols, write_bars
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def bars(spark):
-    made = synthetic(spark, [{"symbol": "A", "n_days": 900, "seed": 13, "signal": 0.8}, {"symbol": "B", "n_days": 200, "seed": 14}])
+    made = control_series(spark, [("A", 900, 13, 0.8), ("B", 200, 14, 0.25)])
     return spark.createDataFrame(made.toPandas(), made.schema)
 
 
-def test_synthetic_series_repeat(spark, bars):
-    again = synthetic(spark, [{"symbol": "A", "n_days": 900, "seed": 13, "signal": 0.8}]).toPandas()
-    assert np.allclose(again.sort_values("date").close, bars.where("symbol = 'A'").toPandas().sort_values("date").close)
-    assert again.is_synthetic.all() and (again.high >= again.close).all() and (again.low <= again.open).all()
+def test_control_series(spark, bars):
+    again = control_series(spark.range(1).sparkSession, [("A", 900, 13, 0.8)]).toPandas().sort_values("date")
+    assert np.allclose(again.close, bars.where("symbol = 'A'").toPandas().sort_values("date").close)
+    assert again.is_synthetic.all() and (again.high >= again[["open", "close"]].max(axis=1)).all() and (again.low <= again[["open", "close"]].min(axis=1)).all()
+    days = pd.to_datetime(again.date)
+    assert (days.dt.weekday < 5).all() and days.is_unique
+    flat, driven = (control_series(spark, [("X", 5000, 3, s)]).toPandas().sort_values("date").close for s in (0.0, 0.8))
+    echo = [np.corrcoef(np.diff(np.log(c))[1:], np.diff(np.log(c))[:-1])[0, 1] for c in (flat, driven)]
+    assert abs(echo[0]) < 0.06 and echo[1] > 0.3
+
+
+def test_sources_in_order(spark, bars, tmp_path):
+    kept, csv = tmp_path / "kept", tmp_path / "AAA.csv"
+    csv.write_text("Date,Close\n2024-01-01,1.5\n")
+    assert load(spark, symbol="AAA", kept=str(kept), csv=str(csv)).first().source == "csv"
+    write_bars(bars, str(kept))
+    assert load(spark, symbol="a", kept=str(kept), csv=str(csv)).first().source == "control"
+    assert load(spark, symbol="AAA", kept=str(kept), csv=str(csv), max_age_days=-1).first().source == "csv"
+    with pytest.raises(BarsError, match="too old"):
+        load(spark, symbol="AAA", kept=str(kept), max_age_days=-1)
+    assert [r.symbol for r in symbols(bars, 1).collect()] == ["A"]
 
 
 def test_cleaning(spark, tmp_path):
@@ -85,6 +101,14 @@ def test_no_lookahead_and_a_planted_leak(bars):
     assert [r.feature for r in leaky] == ["vol_5"]
 
 
+def test_only_smoothed_features_leave_the_jvm(bars):
+    plan = lambda *names: features(bars, columns=list(names))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan("momentum_5", "volume_z_21", TARGET) and plan("macd_hist", "rsi_14").count("FlatMapGroupsIn") == 1
+    whole = features(bars).orderBy("symbol", "date").toPandas()
+    some = features(bars, columns=["atr_14", "macd", "vol_5"]).orderBy("symbol", "date").toPandas()
+    assert some.equals(whole[some.columns])
+
+
 def test_folds(spark):
     sizes = spark.createDataFrame([("A", 2000), ("B", 501), ("C", 502)], "symbol string, n long")
     rows = fold_bounds(sizes, 500, 250).orderBy("symbol", "fold").collect()
@@ -144,6 +168,50 @@ def test_corrections(spark):
     assert {r.i for r in found} >= set(range(10)) and len(found) <= 15
 
 
+def test_corrections_against_plain_python(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(12):
+        ps = rng.choice([0.0, 1e-300, 1e-9, 0.001, 0.02, 0.04, 0.05, 0.3, 1.0, None, float("nan")], 40).tolist() + (rng.uniform(size=60) ** (1 + g % 4)).tolist()
+        rows += [(g, n, None if p is None else float(p)) for n, p in enumerate(ps)]
+    found = {(r.g, r.n): (r.nominal, r.bonferroni, r.fdr) for r in corrected(spark.createDataFrame(rows, "g int, n int, p_value double"), by=["g"]).collect()}
+    for g in range(12):
+        mine = [(n, p) for h, n, p in rows if h == g]
+        known = sorted(p for _, p in mine if p is not None and p == p)
+        most = max([p for k, p in enumerate(known, 1) if p <= 0.05 * k / len(mine)], default=-1.0)
+        for n, p in mine:
+            there = p is not None and p == p
+            assert found[g, n] == (there and p < 0.05, there and p < 0.05 / len(mine), there and p <= most)
+    assert corrected(spark.createDataFrame([], "p_value double")).count() == 0
+
+
+def test_folds_of_a_row(spark):
+    sizes = spark.createDataFrame([("A", 400), ("B", 90)], "symbol string, n long")
+    rows = sizes.selectExpr("symbol", "explode(sequence(0, cast(n as int) - 1)) as pos")
+    for options in ({"train": 100, "test": 30}, {"train": 60, "test": 50, "step": 20, "embargo": 3}, {"train": 80, "test": 40, "expanding": True, "embargo": 0}):
+        bounds = fold_bounds(sizes, **options).collect()
+        wanted = sorted((b.symbol, p, b.fold, part) for b in bounds for part, a, z in (("train", b.train_start, b.train_end), ("test", b.test_start, b.test_end)) for p in range(a, z))
+        assert sorted((r.symbol, r.pos, r.fold, r.part) for r in assigned(rows, sizes, **options).collect()) == wanted
+
+
+def test_ridge_query_against_numpy(spark):
+    """The walk-forward ridge of the query, recomputed from the collected rows."""
+    from quillmark.plans import market_queries as q
+
+    data = dataset(q.bars(spark, SF)).toPandas().sort_values(["symbol", "pos"])
+    found = walk_forward_predict(spark.createDataFrame(data), ["ridge"], train=q.TRAIN, test=q.TEST).toPandas()
+    wanted = []
+    for _, rows in data.groupby("symbol"):
+        x, y = rows[FEATURES].to_numpy(float), rows[TARGET].to_numpy(float)
+        for start in range(0, len(rows) - q.TRAIN - 1, q.TEST):
+            train, test = slice(start, start + q.TRAIN), slice(start + q.TRAIN + 1, start + q.TRAIN + 1 + q.TEST)
+            mean, sd = x[train].mean(0), x[train].std(0)
+            z = np.c_[np.ones(q.TRAIN), (x[train] - mean) / np.where(sd > 0, sd, 1)]
+            w = np.linalg.solve(z.T @ z + np.diag([0.0] + [50.0] * len(FEATURES)), z.T @ y[train])
+            wanted.append(np.c_[np.ones(len(x[test])), (x[test] - mean) / np.where(sd > 0, sd, 1)] @ w)
+    assert np.allclose(found.sort_values(["symbol", "date"]).prediction, np.concatenate(wanted), rtol=1e-6, atol=1e-9)
+
+
 def days(spark, positions, returns):
     dates = pd.bdate_range("2024-01-01", periods=len(positions)).date
     return spark.createDataFrame([("s", d, float(p), float(r)) for d, p, r in zip(dates, positions, returns)], "k string, date date, position double, forward_return double")
@@ -163,26 +231,6 @@ def test_backtest(spark):
     assert [r[0] for r in p.select(position(F.col("p"), 0.005, allow_short=False)).collect()] == [1, 0, 0, 0]
 
 
-def test_environment():
-    env = Environment(np.zeros((3, 1)), np.array([0.01, -0.02, 0.03]), cost_bps=10)
-    assert [env.step(a)[1] for a in (2, 0, 0)] == pytest.approx([0.01 - 0.001, 0.02 - 0.002, -0.03])
-    with pytest.raises(RuntimeError):
-        env.step(1)
-    assert run_policy(env, constant_policy(1.0)(env, 0)) == [1.0, 1.0, 1.0]
-    with pytest.raises(ValueError):
-        Environment(np.zeros((2, 1)), np.zeros(3))
-
-
-@pytest.mark.parametrize("agent, share", [(q_learning, 0.6), (reinforce, 0.7)])
-def test_agents_solve_an_easy_market(agent, share):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 3))
-    forward = np.sign(x[:, 0]) * 0.01
-    env = Environment(x, forward, cost_bps=1)
-    held = np.array(run_policy(env, agent(env, 0)))
-    assert (held * forward).sum() > share * 0.01 * 300
-
-
 def test_controls(spark):
     from quillmark.plans.evaluation import self_test
 
@@ -190,26 +238,17 @@ def test_controls(spark):
 
 
 def test_scan(bars):
-    from quillmark.plans.evaluation import scan, scan_failures, scan_text
+    from quillmark.plans.evaluation import scan, scan_failures, scan_json, scan_text
 
     found = scan(bars, train=300, test=100, min_test_days=100)
     assert [r.symbol for r in found.collect()] == ["A"]
     assert [(r.symbol, "test days" in r.reason) for r in scan_failures(bars, found, min_test_days=100).collect()] == [("B", True)]
+    assert scan(bars, train=300, test=100, min_test_days=100, first_symbols=1).count() == 1
+    lines = [json.loads(r.value) for r in scan_json(found, scan_failures(bars, found, min_test_days=100)).collect()]
+    assert [x["kind"] for x in lines] == ["summary", "result", "failure"] and lines[0]["n_symbols"] == 1 and lines[1]["symbol"] == "A" and "fdr" in lines[1]
     assert "verdict" in scan_text(found) and math.isfinite(found.first().excess_sharpe)
 
 
-def test_agent_queries_train_in_full(spark, monkeypatch):
-    from quillmark.operators import agents
-    from quillmark.plans import market_queries
-
-    seen = []
-    monkeypatch.setattr(market_queries, "walk_forward_agents", lambda *a, **b: seen.append(inspect.signature(agents.walk_forward_agents).bind(*a, **b).arguments) or agents.walk_forward_agents(*a, **b))
-    market_queries.QUERIES["agents_walk_forward"](spark, SF)
-    assert seen[0].get("episodes") is None and seen[0]["agents"] == ["q_learning", "reinforce", "always_long"]
-    curve = market_queries.QUERIES["q_learning_curve"](spark, SF).groupBy("symbol").agg(F.count("*").alias("n"), F.max("episode").alias("last")).collect()
-    assert curve and all((r.n, r.last) == (60, 60) for r in curve)
-
-
 def test_evaluation_text_counts_all_rows(spark):
     from quillmark.plans.evaluation import evaluation_text
 
