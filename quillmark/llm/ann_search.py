@@ -11,6 +11,7 @@ query block, a candidate block and k rows a query.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,16 +68,23 @@ def _quantise(vectors):
 
 
 def cosine(a, b):
-    """Cosine of paired rows in double precision, summed over the components from first to last."""
+    """Cosine of paired rows in double precision, summed over the components from first to last.
+
+    Rows whose squares leave the range of doubles are scaled by their largest component first.
+    """
     import numpy as np
 
-    with np.errstate(over="ignore", invalid="ignore"):
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
         dot, aa, bb = (np.zeros(len(a)) for _ in range(3))
         for d in range(a.shape[1]):
             dot += a[:, d] * b[:, d]
             aa += a[:, d] * a[:, d]
             bb += b[:, d] * b[:, d]
-        return dot / (np.sqrt(aa) * np.sqrt(bb))
+        safe = (np.minimum(aa, bb) > 1e-280) & (np.maximum(aa, bb) < 1e280)
+        out = dot / (np.sqrt(aa) * np.sqrt(bb))
+    if not safe.all():
+        out[~safe] = cosine(*(x[~safe] / np.abs(x[~safe]).max(axis=1, keepdims=True) for x in (a, b)))
+    return out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
@@ -84,7 +92,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     A row is never its own neighbour (same id). Ties go to the smaller id, fewer than ``k`` candidates give fewer rows,
     vectors of another length than the query's are no candidates, and unusable vectors (see :func:`usable`) take no
-    part. Rows that repeat an id are candidates each; a query id that repeats is asked once, with its smallest vector.
+    part; an empty table gives an empty result, other columns are not read. Rows that repeat an id are candidates each; a query id that repeats is asked once, with its smallest vector.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -98,11 +106,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        best: dict[int, list[tuple]] = {}  # of the query block at hand
+        best: dict[int, list[tuple]] = {}  # a heap of (score, -id) for each query of the block at hand, the worst on top
         last, query = None, None
 
         def flat():
-            rows = [(q, i, -s) for q, held in best.items() for s, i in held]
+            rows = [(q, -i, s) for q, held in best.items() for s, i in held]
             best.clear()
             q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
@@ -126,13 +134,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                     floor = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(low), -9.0)
                     for n, x in enumerate(q_ids[cut]):
                         if (held := best.get(int(x))) is not None and len(held) == k:
-                            floor[n] = max(floor[n], -held[-1][0] - 1e-9)
+                            floor[n] = max(floor[n], held[0][0] - 1e-9)
                     who, what = np.nonzero((near + off >= floor[:, None]) & (near > -5))
                     exact = cosine(q_rows[cut][who], rows[what])
-                    for n in np.unique(who):
-                        mine = who == n
-                        q = int(q_ids[cut][n])
-                        best[q] = sorted([*best.get(q, []), *zip(-exact[mine], ids[what[mine]].tolist(), strict=True)])[:k]
+                    for q, s, i in zip(q_ids[cut][who].tolist(), exact.tolist(), ids[what].tolist(), strict=True):
+                        held = best.setdefault(q, [])
+                        if len(held) < k:
+                            heapq.heappush(held, (s, -i))
+                        elif (s, -i) > held[0]:
+                            heapq.heapreplace(held, (s, -i))
         yield flat()
 
     found = pairs.mapInArrow(tile, RESULT)

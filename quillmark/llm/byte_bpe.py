@@ -132,7 +132,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and with ``with_ids`` the ids and the decoded bytes.
 
     A null or empty text has no ids; its digests are those of no bytes. Rows with repeated or null ids are encoded like
-    any other. A text is encoded whole, however long. Other columns are not read.
+    any other. A text is encoded whole, however long. An empty table gives an empty result; other columns are not read.
     """
     exact, first = library_classes(pattern)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file

@@ -172,11 +172,37 @@ def repeated_starts(data, starts, length: int):
         i = i[symbols[order[i] + k] == symbols[order[i + 1] + k]]
     if length % stride:
         i = i[words[order[i] + length - 8] == words[order[i + 1] + length - 8]]
+    if not _agree(data, order[i], order[i + 1], length):  # two blocks with one hash: by the strings themselves
+        seen: dict[bytes, int] = {}
+        for s in starts.tolist():
+            seen[data[s : s + length].tobytes()] = seen.get(data[s : s + length].tobytes(), 0) + 1
+        return np.array([seen[data[s : s + length].tobytes()] > 1 for s in starts.tolist()], bool)
     found = np.zeros(len(data) + 1, bool)
     found[order[i]] = found[order[i + 1]] = True
     return found[starts]
 
 
+def _agree(data, a, b, length: int) -> bool:
+    """Whether the strings from ``a`` and ``b`` are equal, pair by pair; neighbouring pairs are compared once."""
+    import numpy as np
+
+    if not len(a):
+        return True
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((a, b - a))
+    a, apart = a[order], (b - a)[order]
+    new = np.r_[True, (apart[1:] != apart[:-1]) | (a[1:] > a[:-1] + length)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(a)] - 1
+    size = a[last] + length - a[first]
+    for k in range(0, len(first), 4096):  # so many runs at once
+        n = size[k : k + 4096]
+        at = np.repeat(a[first[k : k + 4096]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if (data[at] != data[at + np.repeat(apart[first[k : k + 4096]], n)]).any():
+            return False
+    return True
+
+
 def _pieces(text, length: int):
     """(offset, uint8 array) of overlapping pieces of a text's bytes; every string of ``length`` lies in one."""
     import numpy as np
@@ -406,7 +432,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Strings of ``length`` bytes (at least 32) are those of the UTF-8 text of one document; overlaps with itself count,
     and they are judged on the input. A null or empty text has no bytes. Repeated rows are places of their own, so both
-    lose what they share. Null ids are ids like others. Other columns are not read.
+    lose what they share. Null ids are ids like others. Texts may have any length: long ones are cut into pieces that
+    overlap by a string. An empty table gives an empty result. Other columns are not read.
     """
     if length < 2 * SEED_BYTES:
         raise ValueError("length is at least 32")

@@ -4,7 +4,8 @@ A document's pre-tokens stand in leaves of :data:`LEAF` pre-tokens, and a segmen
 An edit re-encodes only the leaves it touches, from the leaf of the character before it and before the white space that
 leads up to it (where a pre-token ends depends on the white space after it and on one character more) to the first old leaf border after it where pre-tokens of the new text
 end too; from there on both texts cut alike. The new pre-tokens take the places of the old leaves, and only
-sums above changed leaves are updated. The root is the count.
+sums above changed leaves are updated. Where they are more than twice as many as those leaves should hold, the leaves
+are split and the sums built anew, so leaves stay small however often a place is edited. The root is the count.
 """
 
 from __future__ import annotations
@@ -101,6 +102,7 @@ def apply_edits(text: str, leaf_chars: list[int], tree: list[int], edits: list[t
             before -= 1
         context.append(before)
     encoded, k, shift, leaf = 0, 0, 0, 0
+    split: list[tuple[int, int, list[int], list[int]]] = []  # leaves that have outgrown their size, with new ones for them
     while k < len(chosen):
         while leaf < len(leaf_chars) - 1 and borders[leaf + 1] <= context[k]:
             leaf += 1
@@ -130,11 +132,18 @@ def apply_edits(text: str, leaf_chars: list[int], tree: list[int], edits: list[t
         encoded += len(words)
         slots = stop - begin
         per = -(-len(words) // slots) if words else 1
+        if per > 2 * LEAF:
+            split.append((begin, stop, *leaves_of(words, count)))
         for n in range(slots):
             mine = words[n * per : (n + 1) * per]
             leaf_chars[begin + n] = sum(map(len, mine))
             set_leaf(tree, begin + n, sum(map(count.__getitem__, mine)))
         leaf = min(stop, len(leaf_chars) - 1)
+    if split:
+        tokens = tree[len(tree) // 2 :][: len(leaf_chars)]
+        for begin, stop, new_chars, new_tokens in reversed(split):
+            leaf_chars[begin:stop], tokens[begin:stop] = new_chars, new_tokens
+        tree[:] = build_tree(tokens)
     return edited, encoded
 
 
@@ -155,7 +164,8 @@ def _tools(ranks_path: str, pattern: str, spark):
 def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, leaf_chars, tree of every row; ``tree[1]`` is the count. A null text is an empty one.
 
-    A text is counted whole, however long; repeated rows and null ids are rows like others.
+    A text is counted whole, however long; repeated rows and null ids are rows like others. An empty table gives an
+    empty result; other columns are not read.
     """
     tools = _tools(ranks_path, pattern, docs.sparkSession)
 
@@ -174,7 +184,11 @@ def token_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
 
 def recount(trees: DataFrame, ranks_path: str, pattern: str, edits_col: str = "edits") -> DataFrame:
-    """Apply each row's edits: the columns of :func:`token_trees` for the edited texts, with n_before, n_encoded, n_edits."""
+    """Apply each row's edits: the columns of :func:`token_trees` for the edited texts, with n_before, n_encoded, n_edits.
+
+    Null edits are none, edits in one place apply by their order, and overlapping ones after the first are left out.
+    Rows stay as they are where nothing is edited; an empty table gives an empty result.
+    """
     tools = _tools(ranks_path, pattern, trees.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

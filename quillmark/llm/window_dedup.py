@@ -189,7 +189,8 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     Words are runs of anything but ASCII white space, unchanged. A word goes when a window that covers it also starts
-    in a document with a smaller id. Windows are judged on the input. A null text has no words. Rows with the same id
+    in a document with a smaller id. Windows are judged on the input. A null text has no words, and an empty table gives
+    an empty result; texts may have any length. Rows with the same id
     are one document in this respect, and rows without an id neither lose words nor make others lose them. Other
     columns are not read.
     """

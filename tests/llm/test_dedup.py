@@ -213,6 +213,9 @@ def test_windows(spark, monkeypatch, strings):
     rows += [(10 + n, "  ".join(rng.choice(passages) if rng.random() < 0.6 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 6)))) for n in range(60)]
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.window_dedup(table(spark, rows), width=13).collect()}
     assert found == brute_windows(rows, 13)
+    long = " ".join(rng.choice("abcdefgh") for _ in range(60_000))
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.window_dedup(table(spark, [(1, long), (2, "z " + long[:9000])]), width=13).collect()}
+    assert found == brute_windows([(1, long), (2, "z " + long[:9000])], 13)
     odd = window_dedup.window_dedup(table(spark, [(7, passages[0] * 3), (7, passages[0] * 3), (None, passages[0] * 3)])).collect()
     assert [r.n_removed for r in odd] == [0, 0, 0] and window_dedup.window_dedup(table(spark, [])).count() == 0
 
@@ -264,6 +267,38 @@ def test_bytes_of_a_bucket_over_a_task(spark, monkeypatch, deals):
     assert [r.n_removed for r in odd] == [70] * 40
 
 
+def test_bytes_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TEXT_BYTES", 100)  # small: texts are cut into many pieces
+    rng = random.Random(11)
+    shared = ["".join(rng.choice("abcdefghé ") for _ in range(n)) for n in (45, 130, 410)]
+    texts = ["".join(rng.choice("ijklmn ") for _ in range(rng.randrange(250))) + s + "".join(rng.choice("ijklmn ") for _ in range(rng.randrange(99))) for s in shared for _ in range(4)]
+    texts += ["é" * 300, shared[2] + shared[0], "x" * 5000]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(table(spark, list(enumerate(texts))), length=40).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_bytes(texts, 40)
+    assert suffix_dedup.suffix_dedup(table(spark, []), length=40).count() == 0
+
+
+def test_bytes_of_the_query(spark):
+    """The whole table of the query against every 400-byte string."""
+    from quillmark.llm.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op9_suffix_dedup"](spark, folder).collect()}
+    wanted = {r.doc_id: (*x[:3], hashlib.sha256(x[3]).hexdigest()) for r, x in zip(rows, brute_bytes([r.text for r in rows], 400), strict=True)}
+    assert found == wanted and any(x[1] for x in wanted.values())
+
+
+def test_strings_are_compared_by_their_bytes(monkeypatch):
+    """With symbols that are all alike only the bytes can tell."""
+    monkeypatch.setattr(suffix_dedup, "symbols_at", lambda words, length: (np.zeros(len(words), np.uint64), 8))
+    monkeypatch.setattr(suffix_dedup, "words_at", lambda data: np.zeros(len(data), np.uint64))
+    data = np.frombuffer(b"abcdefgh" * 3 + b"x" * 40 + bytes(range(100)), np.uint8)
+    starts = np.arange(len(data) - 15)
+    strings = [data[s : s + 16].tobytes() for s in starts]
+    assert suffix_dedup.repeated_starts(data, starts, 16).tolist() == [strings.count(s) > 1 for s in strings]
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(150):

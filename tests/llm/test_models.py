@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmark.llm import token_counts as tc
 from quillmark.llm.ann_search import nearest
 from quillmark.llm.byte_bpe import Merger, decode_ids, encode_documents, merge_words, rank_slots, read_ranks
-from quillmark.llm.language_id import fit, identify, predict
+from quillmark.llm.language_id import fit, held_out, identify, predict
 from quillmark.llm.mixing import budgets, mix
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -80,6 +81,28 @@ def test_edits_keep_counts(ranks):
             assert text == wanted and sum(chars) == len(text) and tree[1] == sum(count[w] for w in words)
 
 
+def test_leaves_stay_small(ranks):
+    count, cut = tc.Counter(ranks), regex.compile(P.PATTERN)
+    rng, text = random.Random(8), "start "
+    chars, tokens = tc.leaves_of(cut.findall(text), count)
+    tree = tc.build_tree(tokens)
+    made = []
+    for n in range(300):  # always at about the same place
+        text, encoded = tc.apply_edits(text, chars, tree, [(5, 5, f" word {rng.choice('abc')}{n}, and" * rng.choice([1, 2, 30]))], cut.finditer, count)
+        made.append(encoded)
+        assert sum(chars) == len(text) and tree[1] == sum(count[w] for w in cut.findall(text))
+    borders = np.cumsum([0, *chars])
+    assert max(len(cut.findall(text[a:b])) for a, b in zip(borders, borders[1:])) <= 2 * tc.LEAF + 1
+    assert max(made) < 400 < len(cut.findall(text)) / 10
+
+
+def test_nothing_gives_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, tree int")
+    assert tc.recount(tc.redactions(tc.token_trees(none, RANKS, P.PATTERN)), RANKS, P.PATTERN).count() == 0
+    assert encode_documents(none, RANKS, P.PATTERN).count() == 0
+    assert identify(none).count() == 0
+
+
 def test_recount(spark, library):
     rows = [(1, "mail a.b@c.de now, " + "word " * 400 + "password=hunter2 +1 (988) 555-2485 end"), (2, None), (3, "plain"), (None, "x@y.zz"), (3, "plain")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, tree int")
@@ -118,6 +141,9 @@ def test_neighbours(spark):
         assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items() if v}
         assert all(abs(a[1] - b[1]) < 1e-9 for q in got for a, b in zip(got[q], wanted[q], strict=True))
     assert nearest(table.limit(0), table.limit(0)).count() == 0
+    wide = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [-1.0, -1.0]), (4, [3.0, 3.0])], "vec_id long, embedding array<double>")
+    found = nearest(wide, wide.where("vec_id = 0"), k=4).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [2, 4, 1, 3] and [r.score for r in found] == pytest.approx([1, 1, 0.5**0.5, -1])
 
 
 def test_languages(spark):
@@ -134,6 +160,38 @@ def test_languages(spark):
     assert {(r.lang_pred, r.score) for r in empty} == {("und", 0.0)}
 
 
+def grams(text):
+    """Letter trigrams around each letter, other characters as one mark."""
+    kept = [c if c.isalpha() else "\0" for c in text.lower()]
+    padded = ["\0", *kept, "\0"]
+    return [tuple(padded[i : i + 3]) for i in range(len(kept)) if kept[i] != "\0"]
+
+
+def test_languages_against_plain_sets(spark):
+    """Sets of trigrams instead of filters: the same languages, and scores within what false positives may change."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r.doc_id for r in docs.where(held_out(F.col("doc_id"))).collect()}
+    counts = {}
+    for r in rows:
+        if r.doc_id not in held and r.text is not None and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    own = {x: sorted((g for g, p in s.items() if p >= 0.2 * max(t.get(g, 0) for t in share.values())), key=lambda g: (-counts[x][g], (ord(g[0]) * (g[0] != "\0"), ord(g[1]), ord(g[2]) * (g[2] != "\0"))))[:4000] for x, s in share.items()}
+    own = {x: set(s) for x, s in own.items()}
+    found = {r.doc_id: r for r in identify(docs).collect()}
+    assert {i for i, r in found.items() if r.held_out} == held
+    for r in rows:
+        mine = grams(r.text or "")
+        if not mine:
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0.0)
+            continue
+        scores = {x: sum(g in s for g in mine) / len(mine) for x, s in own.items()}
+        best = max(sorted(scores), key=scores.get)
+        assert found[r.doc_id].score == pytest.approx(scores[best], abs=0.02)
+        assert scores[found[r.doc_id].lang_pred] >= scores[best] - 0.02
+
+
 def fill(budget, rooms, weights):
     """Water filling by hand: whole numbers, children that cannot take their share first."""
     open_, out = {k for k in rooms if weights[k] > 0 and rooms[k] > 0}, {}
