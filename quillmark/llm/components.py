@@ -71,10 +71,12 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", roots: bool = True)
     component are left out. Each round is one exchange and a written table, and only its row count and checksum come to
     the driver. Rounds end when nothing changes, so when every component is one star.
     """
-    ends = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    at = stored(_contract(ends, False), "links")
+    ends = stored(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v"), "links")
+    blocks = -(-ends.count() // BLOCK)
+    at = stored(_contract(ends.coalesce(max(1, blocks)), False), "links")
+    discard(ends)
     before = None
-    while True:
+    while blocks > 1:
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         after = stored(_contract(both.repartition(shuffle_parts(at.sparkSession), "u"), True), "links")
         discard(at)

@@ -11,9 +11,9 @@ either, so their first two common tokens lie in the first ``n - need + 2`` token
 
 Documents that share an index key are candidates. Short lists give all their pairs. In a long list, sorted by how
 frequent a set's tokens are, each member first meets the first one, its hub, only. Members that are then still in
-another component than their hub meet all members around that hub, as tiles: blocks of sketches that bound in how many
-tokens two sets differ, compared as matrices and dealt over tasks by block pair; of each row only the nearest candidates
-leave a tile, more of them in later rounds, until nothing is left out. Candidates are verified on the whole sets, so
+another component than their hub meet all members around the hubs of that component, as tiles: blocks of sketches that
+bound in how many tokens two sets differ, compared as matrices and dealt over tasks by block pair; of each row only the
+nearest candidates leave a tile, more of them in later rounds, until nothing is left out. Candidates are verified on the whole sets, so
 nothing but the speed depends on the table of frequent tokens, whose size is fixed.
 """
 
@@ -282,8 +282,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Pairs (hub, node_a, node_b, cut) around a hub, in different parts, whose sketches do not rule a link out.
 
-    Rows of ``members_of``: hub, node, part, and ``outside``, whether the part is not the hub's. Hubs without members
-    outside drop out. Members are dealt by hash into tiles of about :data:`TILE`; a tile of outside members meets every
+    Rows of ``members_of``: hub (a component), node, part, and ``outside``, whether the part is not the hub's. Hubs
+    without members outside drop out. Members are dealt by hash into tiles of about :data:`TILE`; a tile of outside members meets every
     tile of its hub, each pair of tiles in a place of its own. Each row gives its ``nearest`` candidates of a tile;
     ``cut`` tells where there were more.
     """
@@ -432,13 +432,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = met.where("alike").select(F.explode(F.array(*[F.struct(F.col(f"node_{x}").alias("node"), F.col(f"class_{x}").alias("class_id"), F.col(f"n_{x}").alias("n"), F.col(x).alias("name")) for x in "ab"])).alias("end")).select("end.*")
     labels = connected(_verify(met.where("alike").select("node_a", "node_b"), ends, texts, width, percent), "node_a", "node_b", roots=False)
 
-    # members that are still in another component than their hub meet the others around it, once a hub and not once a list
+    # members that are still in another component than their hub meet the others around it, not once a list
     stars = [met.where(f"hub_{h}").select(F.col(f"node_{h}").alias("hub"), F.col(f"node_{m}").alias("node")) for h, m in ("ab", "ba")]
     around = stars[0].union(stars[1])
     for nearest in NEAREST:
         of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
         placed = around.join(of_hub, "hub", "left").join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"))
-        placed = stored(placed.select("hub", "node", "part", (F.col("part") != F.col("hub_part")).alias("outside")), "placed")
+        # hubs of one component are one from here on, so a member stands once beside all of them
+        placed = stored(placed.select(F.col("hub_part").alias("hub"), "node", "part", (F.col("part") != F.col("hub_part")).alias("outside")).distinct(), "placed")
         if placed.where("outside").isEmpty():
             break
         rest = stored(_tiles(placed, classes, percent, nearest), "rest")

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from quillmark.llm import jaccard_join, suffix_dedup, window_dedup
+from quillmark.llm import components, jaccard_join, suffix_dedup, window_dedup
 from quillmark.llm.components import connected
 from quillmark.llm.exact_dedup import exact_dedup
 from quillmark.llm.jaccard_join import differing, jaccard_components, shingle_set, sketch
@@ -39,7 +39,9 @@ def test_exact(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [1_000_000, 20])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)  # small: several blocks, so rounds
     rng = random.Random(1)
     links = [(n, n + 1) for n in range(0, 60)] + [(100, n) for n in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (None, 3)]
     parent = {}
@@ -55,6 +57,7 @@ def test_components(spark):
             parent[y] = x
     found = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {x: root(x) for x in parent}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_components(rows, width, percent):
