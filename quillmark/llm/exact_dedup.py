@@ -5,18 +5,17 @@ than once are kept as block bitmaps. Second pass: every row probes its block; a
 twice is certainly alone and passes straight through. The others are grouped by SHA-256.
 
 The bitmaps are broadcast. Their size is at most ``max_filter_bits`` / 8 bytes, whatever the corpus; beyond what one
-filter serves, the digests are cut into slices by hash and each slice has a filter of its own of that size.
+filter serves, the digests are written in slices by hash, and slice by slice is read once, with a filter of its own of
+that size, and its rows are written: one plan of one shape for each, however many there are.
 Everything is built from DataFrame functions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, stored
+from .shared import ascii_lower, discard, shuffle_parts, stored
 
 BLOCK_BITS = 32_768
 
@@ -46,25 +45,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = max(rows.count() * bits_per_row, BLOCK_BITS)
     slices = -(-wanted // max_filter_bits)
     blocks = max(1, -(-wanted // slices // BLOCK_BITS))
+    if slices == 1:
+        return _named(_judged(rows, blocks, keep))
+    cut = F.pmod(F.shiftrightunsigned(F.xxhash64("digest"), 40), F.lit(slices)).cast("int")
+    # one slice goes to few files
+    sliced = stored(rows.withColumn("slice", cut).repartition(shuffle_parts(rows.sparkSession), "slice", F.pmod("doc_id", F.lit(64))), "slices", by="slice")
+    discard(rows)
+    done = [stored(_judged(sliced.where(F.col("slice") == n).drop("slice"), blocks, keep), "judged") for n in range(slices)]
+    discard(sliced)
+    folders = sorted({file.rsplit("/", 1)[0] for part in done for file in part.inputFiles()})
+    return _named(rows.sparkSession.read.schema(done[0].schema).parquet(*folders))
+
+
+def _judged(rows: DataFrame, blocks: int, keep: str) -> DataFrame:
+    """doc_id, keep_id, group_size, digest of the rows of one slice.
+
+    A group of copies is joined with its one row of results; where it is large, Spark splits it over tasks.
+    """
     first, second = F.xxhash64("digest"), F.xxhash64("digest", F.lit(7))
-    hashed = rows.select(
+    part = rows.select(
         "doc_id",
         "digest",
         F.pmod(first, F.lit(blocks)).alias("block"),
-        F.pmod(F.shiftrightunsigned(first, 40), F.lit(slices)).alias("slice"),
         F.pmod(second, F.lit(BLOCK_BITS)).cast("int").alias("bit_a"),
         F.pmod(F.shiftrightunsigned(second, 30), F.lit(BLOCK_BITS)).cast("int").alias("bit_b"),
     )
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
-    parts = []
-    for n in range(slices):
-        part = hashed.where(F.col("slice") == n)
-        hits = part.select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
-        twice = hits.groupBy("block", "bit").agg(F.count("*").alias("n")).where("n > 1")
-        bitmaps = twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits"))
-        probed = part.join(F.broadcast(bitmaps), "block", "left").select("doc_id", "digest", (_probe("bits", "bit_a") & _probe("bits", "bit_b")).alias("maybe"))
-        alone = probed.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-        again = probed.where("maybe").select("doc_id", "digest")
-        groups = again.groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-        parts += [alone, again.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")]
-    return reduce(DataFrame.unionByName, parts).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    hits = part.select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
+    twice = hits.groupBy("block", "bit").agg(F.count("*").alias("n")).where("n > 1")
+    bitmaps = twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits"))
+    probed = part.join(F.broadcast(bitmaps), "block", "left").select("doc_id", "digest", (_probe("bits", "bit_a") & _probe("bits", "bit_b")).alias("maybe"))
+    alone = probed.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    again = probed.where("maybe").select("doc_id", "digest")
+    groups = again.groupBy("digest").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+    return alone.unionByName(again.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest"))
+
+
+def _named(judged: DataFrame) -> DataFrame:
+    return judged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

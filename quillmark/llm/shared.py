@@ -32,15 +32,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in folders by a column if asked, and return the table read back.
 
     This cuts the lineage: a lost executor costs the tasks at hand, not the steps before the table. Results are read
     from such tables when an action runs; :func:`clear` deletes them once the results are written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillmark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,10 +52,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` once nothing reads it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quillmark-" in folder:
+    for name in {part for file in df.inputFiles() for part in file.split("/") if part.startswith("quillmark-")}:
+        for folder in [x for x in _written if x.endswith(f"/{name}")]:
             _delete(df.sparkSession, folder)
-            _written.difference_update([x for x in _written if folder.endswith(x.rsplit("/", 1)[1])])
+            _written.remove(folder)
 
 
 def clear(spark: SparkSession) -> int:

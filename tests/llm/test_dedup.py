@@ -37,6 +37,10 @@ def test_exact(spark):
     assert exact_dedup(table(spark, []).limit(0)).count() == 0
     plan = exact_dedup(table(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    many = [(n, f"text {n % 700}") for n in range(1500)]
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(table(spark, many), max_filter_bits=2**15, bits_per_row=100).collect()}
+    sizes = {k: len([n for n in range(1500) if n % 700 == k]) for k in range(700)}
+    assert found == {n: (max(m for m in range(n % 700, 1500, 700)), sizes[n % 700]) for n in range(1500)}
 
 
 @pytest.mark.parametrize("block", [1_000_000, 20])
