@@ -103,7 +103,7 @@ def flush_cache(counted: DataFrame, path: str) -> None:
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, text) of whole files as UTF-8, bytes that are none replaced; unreadable paths are an error."""
+    """(path, text) of whole files as UTF-8, bytes that are none replaced; files without a byte give no row, absent paths are an error."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 

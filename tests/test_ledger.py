@@ -154,3 +154,14 @@ def test_stream_totals(spark, tmp_path):
     query = windowed_totals(calls).writeStream.outputMode("update").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("hours").agg(F.sum("calls")).first()[0] >= 2
+
+
+def test_cache_verdicts(spark):
+    from quillmark.functions.pricing import cache_projection
+    from quillmark.operators.report import cache_verdicts
+
+    rows = [("claude-opus-5", 30_000, 5, "1h", 1), ("claude-opus-5", 900, 1, "5m", 1)]
+    scenarios = spark.createDataFrame(rows, "model string, prefix_tokens long, requests long, ttl string, writes long")
+    found = cache_verdicts(cache_projection(scenarios, rate_table(spark), DAY)).orderBy("requests").collect()
+    assert [(r.verdict, r.too_short) for r in found] == [("send fresh", True), ("cache", False)]
+    assert "does not pay" in found[0].advice and "1024" in found[0].advice and "0.3900 less" in found[1].advice

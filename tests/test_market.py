@@ -250,9 +250,12 @@ def test_scan(bars):
 
 
 def test_evaluation_text_counts_all_rows(spark):
-    from quillmark.plans.evaluation import evaluation_text
+    from quillmark.plans.evaluation import evaluation_json, evaluation_text
 
     rows = spark.range(250).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit("ridge").alias("model"), *[F.lit(0.01).alias(c) for c in ("directional_accuracy", "p_value", "information_coefficient", "rmse", "total_return", "sharpe", "max_drawdown", "annual_turnover")], (F.col("id") < 240).alias("beats_benchmark"))
+    lines = evaluation_json(rows.where("symbol in ('S1', 'S245')"), rows.where("symbol in ('S1', 'S245')")).orderBy("symbol").collect()
+    one, other = (json.loads(r.value) for r in lines)
+    assert one["beats_benchmark"] == one["significant_forecasts"] == ["ridge"] and other["beats_benchmark"] == [] and one["forecasts"]["ridge"]["p_value"] == 0.01
     text = evaluation_text(rows, rows, False)
     assert "verdict: 250 forecasts better than chance, 240 strategies" in text
     assert "(50 more forecasts)" in text and "(50 more strategies)" in text

@@ -58,3 +58,23 @@ def test_cache_order(spark):
     rows = [(1, n, name, None, 1, 1.0, False, stable) for n, (name, stable) in enumerate([("question", False), ("system", True), ("timestamp", False), ("tools", True)])]
     found = order_for_cache(spark.createDataFrame(rows, ITEM)).orderBy("cache_order").collect()
     assert [r.name for r in found] == ["system", "tools", "question", "timestamp"]
+
+
+def test_files_and_kept_counts(spark, tmp_path):
+    from quillmark.functions.tokens import count_files, flush_cache, read_cache
+
+    (tmp_path / "a.txt").write_bytes(b"good text \xff\xfe end")
+    (tmp_path / "b.txt").write_bytes("naïve".encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    kept = str(tmp_path / "kept")
+    exact = lambda misses: misses.selectExpr("key", "cast(length(text) as bigint) as tokens")
+    assert read_cache(spark, kept).count() == 0
+    counted = count_files(spark, str(tmp_path / "*.txt"), read_cache(spark, kept), "m", exact=exact)
+    rows = {r.path[-5:]: (r.text, r.tokens, r.found) for r in counted.collect()}
+    assert rows["a.txt"][0].startswith("good text \ufffd") and rows["a.txt"][0].endswith(" end")
+    assert rows["b.txt"] == ("naïve", 5, "exact") and "c.txt" not in rows  # an empty file has nothing to count
+    flush_cache(counted, kept)
+    again = count_files(spark, str(tmp_path / "*.txt"), read_cache(spark, kept), "m")
+    assert {r.found for r in again.collect()} == {"cached"}
+    flush_cache(again, kept)
+    assert read_cache(spark, kept).count() == 2
