@@ -112,9 +112,9 @@ def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1,
 
 
 def dataset(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1) -> DataFrame:
-    """Complete rows only, numbered by ``pos`` from 0 in each symbol."""
+    """Complete rows only, numbered by ``pos`` from 0 in each symbol, with each symbol's number of them, ``n_pos``."""
     whole = features(bars, price_column, horizon).dropna(how="any")
-    return whole.withColumn("pos", F.row_number().over(by_day()) - 1)
+    return whole.withColumns({"pos": F.row_number().over(by_day()) - 1, "n_pos": F.count("*").over(Window.partitionBy("symbol"))})
 
 
 def lookahead_leaks(bars: DataFrame, make, cut_share: float = 0.7, rtol: float = 1e-9, atol: float = 1e-12, columns: list[str] | None = None) -> DataFrame:

@@ -43,6 +43,14 @@ def model_positions(predictions: DataFrame, threshold: float = 0.0, allow_short:
     return predictions.select("symbol", "model", "date", position(F.col("prediction"), threshold, allow_short).alias("position"), simple_returns(F.col("actual")).alias("forward_return"))
 
 
+def with_buy_and_hold(predictions: DataFrame, model: str, threshold: float = 0.0, allow_short: bool = True) -> DataFrame:
+    """Positions of all models, and buy-and-hold on the days of ``model``, from one reading of the forecasts."""
+    own = F.struct(F.col("model"), position(F.col("prediction"), threshold, allow_short).alias("position"))
+    held = F.struct(F.lit("buy_and_hold").alias("model"), F.lit(1.0).alias("position"))
+    each = F.inline(F.when(F.col("model") == model, F.array(own, held)).otherwise(F.array(own)))
+    return predictions.select("symbol", "date", simple_returns(F.col("actual")).alias("forward_return"), each).select("symbol", "model", "date", "position", "forward_return")
+
+
 def buy_and_hold(predictions: DataFrame) -> DataFrame:
     """Position 1 on the out-of-sample days of each symbol."""
     days = predictions.groupBy("symbol", "date").agg(F.first("actual").alias("actual"))

@@ -23,17 +23,16 @@ def fold_bounds(sizes: DataFrame, train: int = TRAIN, test: int = TEST, step: in
     return folds.select("symbol", F.col("fold").cast("int").alias("fold"), start.alias("train_start"), end.alias("train_end"), (end + embargo).alias("test_start"), F.least(end + embargo + test, F.col("n")).alias("test_end"))
 
 
-def assigned(rows: DataFrame, sizes: DataFrame, train: int = TRAIN, test: int = TEST, step: int | None = None, expanding: bool = False, embargo: int = EMBARGO) -> DataFrame:
-    """Rows (symbol, pos, ...) once for each fold that uses them, with ``fold`` and ``part`` train or test.
+def assigned(rows: DataFrame, train: int = TRAIN, test: int = TEST, step: int | None = None, expanding: bool = False, embargo: int = EMBARGO) -> DataFrame:
+    """Rows (symbol, pos, n_pos, ...) once for each fold that uses them, with ``fold`` and ``part`` train or test.
 
-    Bounds are those of :func:`fold_bounds`. The folds of a position are a range of numbers, so a row is copied for its
-    own folds only and never meets the others. ``sizes`` (symbol, n) is one row a symbol.
+    Bounds are those of :func:`fold_bounds`, where ``n_pos`` is the symbol's number of rows. The folds of a position are a
+    range of numbers, so a row is copied for its own folds only, without a join, and never meets the others.
     """
     step = step or test
     if train <= 0 or test <= 0 or step < 0 or embargo < 0:
         raise ValueError("sizes are positive, step and embargo not negative")
-    pos, last = F.col("pos").cast("long"), F.col("_last")
-    known = sizes.where(F.col("n") > train + embargo).select("symbol", F.floor((F.col("n") - 1 - train - embargo) / step).cast("long").alias("_last"))
+    pos, last = F.col("pos").cast("long"), F.floor((F.col("n_pos") - 1 - train - embargo) / step).cast("long")
 
     def folds(first, end):
         """Fold numbers from first to end; none where that is no range."""
@@ -50,4 +49,4 @@ def assigned(rows: DataFrame, sizes: DataFrame, train: int = TRAIN, test: int =
         return lambda f: F.struct(f.cast("int").alias("fold"), F.lit(part).alias("part"))
 
     entries = F.concat(F.transform(trained, entry("train")), F.transform(tested, entry("test")))
-    return rows.join(known, "symbol").select(*rows.columns, F.inline(entries))
+    return rows.where(F.col("n_pos") > train + embargo).select(*[c for c in rows.columns if c != "n_pos"], F.inline(entries))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.features import FEATURES, TARGET
-from quillmark.operators.folds import assigned, fold_bounds
+from quillmark.operators.folds import assigned
 
 RESULT = "symbol string, model string, fold int, date date, prediction double, actual double"
 RIDGE_ALPHA = 50.0
@@ -143,10 +143,9 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
             model = (model, MODELS[model])
         chosen.append(model)
     columns = features or FEATURES
-    sizes = data.groupBy("symbol").agg(F.count("*").alias("n"))
     if strict:
-        sizes = sizes.withColumn("n", F.when(F.col("n") > train + embargo, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("too few rows: "), "symbol")).cast("long")))
-    rows = assigned(data.select("symbol", "date", "pos", *columns, TARGET), sizes, train, test, step, expanding, embargo)
+        data = data.withColumn("n_pos", F.when(F.col("n_pos") > train + embargo, F.col("n_pos")).otherwise(F.raise_error(F.concat(F.lit("too few rows: "), "symbol")).cast("long")))
+    rows = assigned(data.select("symbol", "date", "pos", "n_pos", *columns, TARGET), train, test, step, expanding, embargo)
 
     def run(pdf):
         import numpy as np
@@ -169,10 +168,10 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
 
 
 def baseline_predictions(data: DataFrame, train: int = 750, test: int = 126, step: int | None = None, expanding: bool = False, embargo: int = 1) -> DataFrame:
-    """Zero, mean and persistence forecasts without leaving the JVM: the mean of each fold's training rows is joined back."""
-    sizes = data.groupBy("symbol").agg(F.count("*").alias("n"))
-    rows = assigned(data.select("symbol", "date", "pos", "ret_lag_1", TARGET), sizes, train, test, step, expanding, embargo)
-    means = rows.where("part = 'train'").groupBy("symbol", "fold").agg(F.avg(TARGET).alias("m"))
-    tested = rows.where("part = 'test'").join(means, ["symbol", "fold"])
+    """Zero, mean and persistence forecasts without leaving the JVM: the mean of a fold's training rows stands beside its
+    test rows, in one pass over the data."""
+    rows = assigned(data.select("symbol", "date", "pos", "n_pos", "ret_lag_1", TARGET), train, test, step, expanding, embargo)
+    trained = F.avg(F.when(F.col("part") == "train", F.col(TARGET))).over(Window.partitionBy("symbol", "fold"))
+    tested = rows.withColumn("m", trained).where("part = 'test'")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in (("zero", F.lit(0.0)), ("mean", F.col("m")), ("persistence", F.col("ret_lag_1")))]))
     return tested.select("symbol", "fold", "date", F.col(TARGET).alias("actual"), each.alias("x")).select("symbol", "x.model", "fold", "date", "x.prediction", "actual")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import dataset
 from quillmark.functions.statistics import ALPHA, corrected, forecast_metrics, scan_summary, strategy_metrics
-from quillmark.operators.backtest import COST_BPS, backtest, buy_and_hold, model_positions
+from quillmark.operators.backtest import COST_BPS, backtest, with_buy_and_hold
 from quillmark.operators.forecast import BASELINES, walk_forward_predict
 from quillmark.sources.bars import symbols
 
@@ -31,8 +31,8 @@ def strategies(bars: DataFrame, models: list[str], cost_bps: float = COST_BPS, t
     """
     data = dataset(bars)
     predictions = walk_forward_predict(data, models, **folds)
-    traded = model_positions(predictions.where(~F.col("model").isin(*BASELINES)), threshold, allow_short)
-    traded = traded.unionByName(buy_and_hold(predictions))
+    first = models[0] if isinstance(models[0], str) else models[0][0]
+    traded = with_buy_and_hold(predictions, first, threshold, allow_short).where(~F.col("model").isin(*BASELINES))
     figures = strategy_metrics(backtest(traded, KEYS, cost_bps), KEYS)
     benchmark = F.max(F.when(F.col("model") == "buy_and_hold", F.col("sharpe"))).over(Window.partitionBy("symbol"))
     figures = figures.withColumn("benchmark_sharpe", benchmark).withColumn("excess_sharpe", F.col("sharpe") - F.col("benchmark_sharpe")).withColumn("beats_benchmark", (F.col("model") != "buy_and_hold") & (F.col("excess_sharpe") > 0))
@@ -48,7 +48,7 @@ def scan(bars: DataFrame, model: str = "ridge", train: int = 500, test: int = 12
         bars = bars.join(symbols(bars, first_symbols), "symbol", "left_semi")
     predictions = walk_forward_predict(dataset(bars), [model], train=train, test=test, **folds)
     scored = forecast_metrics(predictions, ["symbol"]).where(F.col("n") >= min_test_days)
-    both = model_positions(predictions, threshold, allow_short).unionByName(buy_and_hold(predictions))
+    both = with_buy_and_hold(predictions, model, threshold, allow_short)
     figures = strategy_metrics(backtest(both, KEYS, cost_bps), KEYS)
     own = figures.where(F.col("model") != "buy_and_hold").select("symbol", F.col("sharpe").alias("strategy_sharpe"), F.col("total_return").alias("strategy_return"), "annual_turnover")
     held = figures.where("model = 'buy_and_hold'").select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("total_return").alias("benchmark_return"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.features import FEATURES, TARGET, dataset, features, lookahead_leaks
 from quillmark.functions.statistics import corrected, forecast_metrics, max_drawdown, scan_summary, spearman, strategy_metrics
-from quillmark.operators.backtest import backtest, buy_and_hold, cost_sweep, model_positions
+from quillmark.operators.backtest import backtest, cost_sweep, model_positions, with_buy_and_hold
 from quillmark.operators.folds import fold_bounds
 from quillmark.operators.forecast import baseline_predictions, walk_forward_predict
 from quillmark.plans.evaluation import fold_metrics, scan, self_test, strategies
@@ -135,7 +135,7 @@ def cost_sweeps(spark, sf_dir):
 
 
 def benchmark_compare(spark, sf_dir):
-    both = _persistence(spark, sf_dir).unionByName(buy_and_hold(_baselines(spark, sf_dir)))
+    both = with_buy_and_hold(_baselines(spark, sf_dir).where("model = 'persistence'"), "persistence", 0.01)
     figures = strategy_metrics(backtest(both, KEYS), KEYS)
     own, held = figures.where("model = 'persistence'"), figures.where("model = 'buy_and_hold'").select("symbol", F.col("sharpe").alias("benchmark_sharpe"))
     return _rounded(own.join(held, "symbol").select("symbol", "sharpe", "benchmark_sharpe", (F.col("sharpe") - F.col("benchmark_sharpe")).alias("excess_sharpe"), (F.col("sharpe") > F.col("benchmark_sharpe")).alias("beats_benchmark")), 5)

@@ -187,11 +187,11 @@ def test_corrections_against_plain_python(spark):
 
 def test_folds_of_a_row(spark):
     sizes = spark.createDataFrame([("A", 400), ("B", 90)], "symbol string, n long")
-    rows = sizes.selectExpr("symbol", "explode(sequence(0, cast(n as int) - 1)) as pos")
+    rows = sizes.selectExpr("symbol", "n as n_pos", "explode(sequence(0, cast(n as int) - 1)) as pos")
     for options in ({"train": 100, "test": 30}, {"train": 60, "test": 50, "step": 20, "embargo": 3}, {"train": 80, "test": 40, "expanding": True, "embargo": 0}):
         bounds = fold_bounds(sizes, **options).collect()
         wanted = sorted((b.symbol, p, b.fold, part) for b in bounds for part, a, z in (("train", b.train_start, b.train_end), ("test", b.test_start, b.test_end)) for p in range(a, z))
-        assert sorted((r.symbol, r.pos, r.fold, r.part) for r in assigned(rows, sizes, **options).collect()) == wanted
+        assert sorted((r.symbol, r.pos, r.fold, r.part) for r in assigned(rows, **options).collect()) == wanted
 
 
 def test_ridge_query_against_numpy(spark):
