@@ -9,7 +9,7 @@ either, so their first two common tokens lie in the first ``n - need + 2`` token
   frequent has a second one that is frequent too. Long sets would have too many pairs; the frequent tokens of their size
   classes are indexed one by one.
 
-Documents that share an index key are candidates. Short lists give all their pairs. In a long list, sorted by how
+Documents that share an index key are candidates. Short lists give all pairs that sizes and places in the order allow. In a long list, sorted by how
 frequent a set's tokens are, each member first meets the first one, its hub, only. Members that are then still in
 another component than their hub meet all members around the hubs of that component, as tiles: blocks of sketches that
 bound in how many tokens two sets differ, compared as matrices and dealt over tasks by block pair; of each row only the
@@ -30,8 +30,8 @@ from .repeat_filter import may_repeat, members
 from .shared import discard, shuffle_parts, stored
 from .words import Hasher, mix, word_hashes
 
-#: Lists up to this length give all their pairs at once.
-SHORT_LIST = 8
+#: Lists up to this length give all their pairs at once, less those that sizes and places in the order rule out.
+SHORT_LIST = 48
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
 #: Members of a hub in a tile, and bytes of a sketch there; longer ones are folded.
@@ -129,7 +129,11 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """Index rows (key, weight, n, name) of every distinct set of a task; the weight says how frequent its tokens are."""
+    """Index rows (key, weight, left, n, name) of every distinct set of a task.
+
+    The weight says how frequent a set's tokens are. ``left`` is how many tokens two sets can share at most by this one's
+    count if the key's tokens are the first they share: those and all that follow in the order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -154,8 +158,10 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
             weight = int(level.sum(dtype=np.int64) * 64 // n)
             tokens, rare = tokens[order], level[order] == 0
             single = tokens[: n - need + 1]
-            keys = [single[rare[: n - need + 1]]]
+            place = np.arange(len(tokens))
+            keys, left = [single[rare[: n - need + 1]]], [n - place[: len(single)][rare[: n - need + 1]]]
             if not rare.all():
+                single_left = n - place[: len(single)][~rare[: n - need + 1]]
                 single = single[~rare[: n - need + 1]]
                 home = int(np.log(n) / ratio)
                 for bucket in (home, home + 1):  # linked sets differ by one size class at most
@@ -163,14 +169,17 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                         some = tokens[~rare]
                         i, j = np.triu_indices(len(some), 1)
                         keys.append(combine(some[i], some[j], bucket))
+                        left.append(n + 1 - place[~rare][j])
                         if need < 2:  # such sets may share no more than one token
                             keys.append(combine(single, single, bucket))
+                            left.append(single_left)
                     else:
                         keys.append(combine(single, single, bucket))
-            return np.concatenate(keys), weight
+                        left.append(single_left)
+            return np.concatenate(keys), np.concatenate(left), weight
 
         for batch in batches:
-            keys, weights, ns, names = [], [], [], []
+            keys, lefts, weights, ns, names = [], [], [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 if not len(tokens) or (name := fingerprint(tokens)) in seen:
@@ -178,17 +187,19 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                found, weight = index(tokens)
+                found, left, weight = index(tokens)
                 keys.append(found)
+                lefts.append(left)
                 weights.append(weight)
                 ns.append(len(tokens))
                 names.append(name)
             if keys:
                 sizes = [len(k) for k in keys]
                 columns = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(x, kind), sizes) for x, kind in ((weights, np.int16), (ns, np.int32), (names, np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "n", "name"])
+                columns.insert(2, np.concatenate(lefts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "left", "n", "name"])
 
-    return docs.mapInArrow(run, "key long, weight short, n int, name long")
+    return docs.mapInArrow(run, "key long, weight short, left int, n int, name long")
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -211,19 +222,35 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             new = np.r_[True, (name[1:] != name[:-1]) | (hub[1:] != hub[:-1]) | (n[1:] != n[:-1])] & ((name != hub) | (n != n_hub))
             return out(name[new], n[new], hub[new], n_hub[new], True)
 
-        def emit(key, n, name):
+        def pairs(i, j, left, n, name):
+            """Those that may link and of which the key may be the first they share; once for each pair."""
+            n_i, n_j = n[i].astype(np.int64), n[j].astype(np.int64)
+            fits = (100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j)) & ((100 + percent) * np.minimum(left[i], left[j]).astype(np.int64) >= percent * (n_i + n_j))
+            i, j = i[fits], j[fits]
+            swap = name[i] > name[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.lexsort((name[j], name[i]))
+            i, j = i[order], j[order]
+            new = np.r_[True, (name[i[1:]] != name[i[:-1]]) | (name[j[1:]] != name[j[:-1]])] if len(i) else np.zeros(0, bool)
+            return out(name[i[new]], n[i[new]], name[j[new]], n[j[new]], False)
+
+        def emit(key, left, n, name):
             """Of complete lists."""
             new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])]
-            key, n, name = key[new], n[new], name[new]
+            key, left, n, name = key[new], left[new], n[new], name[new]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             length = np.diff(np.r_[start, len(key)])
             size = np.repeat(length, length)
             rank = np.arange(len(key)) - np.repeat(start, length)
+            at = np.flatnonzero((size > 1) & (size <= SHORT_LIST))
+            found = []
             for gap in range(1, SHORT_LIST):
-                i = np.flatnonzero((size <= SHORT_LIST) & (rank + gap < size))
-                i = i[100 * np.minimum(n[i], n[i + gap]).astype(np.int64) >= percent * np.maximum(n[i], n[i + gap]).astype(np.int64)]
-                if len(i):
-                    yield out(name[i], n[i], name[i + gap], n[i + gap], False)
+                at = at[rank[at] + gap < size[at]]
+                if not len(at):
+                    break
+                found.append((at, at + gap))
+            if found:
+                yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), left, n, name)
             i = np.flatnonzero(size > SHORT_LIST)
             if len(i):
                 hub = np.repeat(start, length)[i]
@@ -231,7 +258,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
 
         carry, long_key, hub = None, None, None
         for batch in batches:
-            key, n, name = (batch.column(k).to_numpy() for k in range(3))
+            key, left, n, name = (batch.column(k).to_numpy() for k in range(4))
             if not len(key):
                 continue
             if long_key is not None:  # the rest of a list that was already given out as long
@@ -240,21 +267,21 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
                     yield stars(name[:k], n[:k], np.full(k, hub[0]), np.full(k, hub[1]))
                 if k == len(key):
                     continue
-                key, n, name, long_key = key[k:], n[k:], name[k:], None
+                key, left, n, name, long_key = key[k:], left[k:], n[k:], name[k:], None
             if carry is not None:
-                key, n, name = (np.concatenate(x) for x in zip(carry, (key, n, name), strict=True))
+                key, left, n, name = (np.concatenate(x) for x in zip(carry, (key, left, n, name), strict=True))
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield from emit(key[:cut], n[:cut], name[:cut])
-            carry = key[cut:], n[cut:], name[cut:]
-            if len(carry[0]) > 50_000 and len(np.unique(carry[2])) > SHORT_LIST:
+                yield from emit(key[:cut], left[:cut], n[:cut], name[:cut])
+            carry = key[cut:], left[cut:], n[cut:], name[cut:]
+            if len(carry[0]) > 50_000 and len(np.unique(carry[3])) > SHORT_LIST:
                 yield from emit(*carry)
                 long_key, hub = key[-1], (name[cut], n[cut])
                 carry = None
         if carry is not None:
             yield from emit(*carry)
 
-    return postings.select("key", "n", "name").mapInArrow(run, "a long, n_a int, b long, n_b int, star boolean")
+    return postings.select("key", "left", "n", "name").mapInArrow(run, "a long, n_a int, b long, n_b int, star boolean")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

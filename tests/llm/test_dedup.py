@@ -79,7 +79,9 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), comp[i]) for i in ids}
 
 
-def test_jaccard_against_all_pairs(spark):
+@pytest.mark.parametrize("short", [48, 8])
+def test_jaccard_against_all_pairs(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrst")
     base = [word() for _ in range(60)]
@@ -117,6 +119,7 @@ def scattered(rng):
 def test_jaccard_at_any_threshold(spark, monkeypatch, percent, width, tile, nearest):
     monkeypatch.setattr(jaccard_join, "TILE", tile)  # small: several tiles around a hub
     monkeypatch.setattr(jaccard_join, "OUTLINE", 8)
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
     monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
     rows = scattered(random.Random(percent))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows), width=width, percent=percent, frequent_from=8).collect()}
