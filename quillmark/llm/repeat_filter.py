@@ -4,6 +4,8 @@ Tasks send the filter's bit positions of their hashes, packed by chunk of the fi
 sets, hit once and hit twice, so merging takes the chunk's size however many hashes arrive. The bits hit twice go to
 all executors. A hash whose bit is clear is certainly alone; one whose bit is set may be. When the hashes outnumber the
 bits, more hashes pass, and nothing else changes.
+
+Along with the bits, tasks can send how often they met their most frequent hashes, so that hot ones are known beforehand.
 """
 
 from __future__ import annotations
@@ -42,8 +44,23 @@ def pack(hashes, log_bits: int = LOG_BITS) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], names=["chunk", "positions"])
 
 
-def repeated(packed: DataFrame, log_bits: int = LOG_BITS, times: int = 2):
-    """Broadcast bits (as bytes) that were hit at least ``times`` (1 or 2) times, from rows of :func:`pack`."""
+def pack_often(hashes, least: int = 8) -> pa.RecordBatch:
+    """Hashes that a task met ``least`` times or more and how often, as rows that :func:`repeated` adds up."""
+    import numpy as np
+
+    found, n = np.unique(hashes, return_counts=True)
+    found, n = found[n >= least], n[n >= least].astype(np.uint64)
+    part = (found % np.uint64(2**LOG_CHUNKS)).astype(np.int64)
+    rows = [(-1 - c, np.stack([found[part == c], n[part == c]], axis=1).astype("<u8").tobytes()) for c in np.unique(part).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "positions"])
+
+
+def repeated(packed: DataFrame, log_bits: int = LOG_BITS, times: int = 2, hot_from: int | None = None):
+    """Broadcast bits (as bytes) that were hit at least ``times`` (1 or 2) times, from rows of :func:`pack`.
+
+    With ``hot_from`` also the hashes that :func:`pack_often` counted that often in all, at most one in ``hot_from``, as a
+    sorted uint64 array.
+    """
     import numpy as np
 
     size = 2 ** (log_bits - LOG_CHUNKS)
@@ -51,8 +68,13 @@ def repeated(packed: DataFrame, log_bits: int = LOG_BITS, times: int = 2):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
         twice: dict[int, np.ndarray] = {}
+        often: dict[int, int] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk < 0:
+                    for value, n in np.frombuffer(packed.as_buffer(), "<u8").reshape(-1, 2).tolist():
+                        often[value] = often.get(value, 0) + n
+                    continue
                 at = np.frombuffer(packed.as_buffer(), "<u4") & np.uint32(size - 1)
                 a = once.setdefault(chunk, np.zeros(size, bool))
                 b = twice.setdefault(chunk, np.zeros(size, bool))
@@ -61,13 +83,18 @@ def repeated(packed: DataFrame, log_bits: int = LOG_BITS, times: int = 2):
                 a[at] = True
         hit = once if times == 1 else twice
         chunks = sorted(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([np.packbits(hit[c], bitorder="little").tobytes() for c in chunks], pa.binary())], names=["chunk", "bits"])
+        hot = np.array([v for v, n in often.items() if n >= (hot_from or n + 1)], "<u8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([*chunks, -1], pa.int32()), pa.array([*(np.packbits(hit[c], bitorder="little").tobytes() for c in chunks), hot], pa.binary())], names=["chunk", "bits"])
 
-    bits = bytearray(2**log_bits // 8)
+    bits, hot = bytearray(2**log_bits // 8), []
     dealt = packed.repartition(min(2**LOG_CHUNKS, shuffle_parts(packed.sparkSession)), "chunk")
     for chunk, part in dealt.mapInArrow(merge, "chunk int, bits binary").collect():  # 2**log_bits / 8 bytes in all
-        bits[chunk * size // 8 : (chunk + 1) * size // 8] = part
-    return packed.sparkSession.sparkContext.broadcast(bytes(bits))
+        if chunk < 0:
+            hot.append(np.frombuffer(part, "<u8"))
+        else:
+            bits[chunk * size // 8 : (chunk + 1) * size // 8] = part
+    shared = packed.sparkSession.sparkContext.broadcast(bytes(bits))
+    return shared if hot_from is None else (shared, np.sort(np.concatenate([np.zeros(0, "<u8"), *hot])))
 
 
 def members(values: DataFrame, log_bits: int = LOG_BITS):

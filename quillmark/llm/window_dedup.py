@@ -5,7 +5,9 @@ consecutive windows with the same minimiser travel together as one packed string
 windows have equal minimisers, so they meet there. A filter of fixed size keeps strings at home whose minimiser occurs
 only once. In a bucket, the windows' 128-bit names are sorted, which counts equal windows exactly.
 
-A bucket that outgrows a task's memory gives its windows to an ordinary aggregation instead, spread by window.
+The strings of a hot minimiser, counted along with the filter, never go to one bucket: their windows are named where they
+are and go to an ordinary aggregation, which counts them in the tasks first. So do the windows of a bucket that outgrows
+a task's memory all the same.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeat_filter import PACKED, may_repeat, pack, repeated, runs, sliding_min
+from .repeat_filter import PACKED, may_repeat, pack, pack_often, repeated, runs, sliding_min
 from .shared import shuffle_parts, stored
 from .words import Hasher, mix, split_words, word_hashes
 
 #: Strings handled at once in a task; a single bucket beyond ten times that is spread by window.
 STRINGS = 30_000
+#: A minimiser of so many strings is hot.
+HOT_FROM = 100_000
 SPANS = "doc_id long, text_key long, first int, beyond int, name_a long, name_b long"
 
 
@@ -58,16 +62,40 @@ def _first_pass(docs: DataFrame, width: int, seed_words: int) -> DataFrame:
                     held.append(mins[runs(mins)[0]])
                     size += len(held[-1])
                 if size > 1_000_000:
-                    yield pack(np.concatenate(held))
+                    mins = np.concatenate(held)
+                    yield pack(mins)
+                    yield pack_often(mins)
                     held, size = [], 0
         if held:
-            yield pack(np.concatenate(held))
+            mins = np.concatenate(held)
+            yield pack(mins)
+            yield pack_often(mins)
 
     return docs.mapInArrow(run, PACKED)
 
 
-def _strings(docs: DataFrame, width: int, seed_words: int, filter_bits) -> DataFrame:
-    """Super-k-mers that may meet another: bucket, doc_id, text_key, first word, number of words, packed words."""
+def _hot_windows(docs: DataFrame, width: int, seed_words: int, hot) -> DataFrame:
+    """Windows of hot minimisers with their names, as spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        hasher = Hasher()
+        for batch in batches:
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes = word_hashes(text.as_py(), hasher, lower=False)
+                if len(hashes) < width:
+                    continue
+                at = np.flatnonzero(np.isin(_minimisers(hashes, width, seed_words), hot))
+                if len(at):
+                    names = [_names(hashes, width, salt)[at].view(np.int64) for salt in (2, 3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32)), pa.array((at + width).astype(np.int32)), *map(pa.array, names)], names=[f.split()[0] for f in SPANS.split(", ")])
+
+    return docs.mapInArrow(run, SPANS)
+
+
+def _strings(docs: DataFrame, width: int, seed_words: int, filter_bits, hot) -> DataFrame:
+    """Super-k-mers that may meet another, but for hot ones: bucket, doc_id, text_key, first word, number of words, packed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -81,7 +109,7 @@ def _strings(docs: DataFrame, width: int, seed_words: int, filter_bits) -> DataF
                     continue
                 mins = _minimisers(np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words)), width, seed_words)
                 start, end = runs(mins)
-                chosen = np.flatnonzero(may_repeat(bits, mins[start]))
+                chosen = np.flatnonzero(may_repeat(bits, mins[start]) & ~np.isin(mins[start], hot))
                 for bucket, a, b in zip(mins[start[chosen]].view(np.int64).tolist(), start[chosen].tolist(), (end[chosen] + width).tolist(), strict=True):
                     rows.append((bucket, doc_id, key, a, b - a, b" ".join(words[a:b])))
                 if len(rows) > 50_000:
@@ -198,10 +226,12 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    bits = repeated(_first_pass(known, width, seed_words))
-    dealt = _strings(known, width, seed_words, bits).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
+    bits, hot = repeated(_first_pass(known, width, seed_words), hot_from=HOT_FROM)
+    dealt = _strings(known, width, seed_words, bits, hot).repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
     spans = stored(_spans(dealt, width), "spans")
     named = spans.where("name_a IS NOT NULL")
+    if len(hot):
+        named = named.unionByName(_hot_windows(known, width, seed_words, hot))
     least = named.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("least"))
     late = named.join(least, ["name_a", "name_b"]).where("doc_id > least")
     found = spans.where("name_a IS NULL").select("doc_id", "text_key", "first", "beyond").union(late.select("doc_id", "text_key", "first", "beyond"))

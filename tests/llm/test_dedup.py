@@ -214,15 +214,18 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize("strings", [30_000, 3])
-def test_windows(spark, monkeypatch, strings):
+@pytest.mark.parametrize(("strings", "hot"), [(30_000, 100_000), (3, 100_000), (30_000, 12)])
+def test_windows(spark, monkeypatch, strings, hot):
     monkeypatch.setattr(window_dedup, "STRINGS", strings)  # small: a bucket outgrows its task
+    monkeypatch.setattr(window_dedup, "HOT_FROM", hot)  # small: some minimisers are hot
+    used, windows = [], window_dedup._hot_windows
+    monkeypatch.setattr(window_dedup, "_hot_windows", lambda *a: used.append(1) or windows(*a))
     rng = random.Random(2)
     passages = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(5, 40))) for _ in range(6)]
     rows = [(0, None), (1, ""), (2, "a " * 200)]
     rows += [(10 + n, "  ".join(rng.choice(passages) if rng.random() < 0.6 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 6)))) for n in range(60)]
-    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.window_dedup(table(spark, rows), width=13).collect()}
-    assert found == brute_windows(rows, 13)
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.window_dedup(table(spark, rows).coalesce(1), width=13).collect()}
+    assert found == brute_windows(rows, 13) and bool(used) == (hot < 100)
     long = " ".join(rng.choice("abcdefgh") for _ in range(60_000))
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in window_dedup.window_dedup(table(spark, [(1, long), (2, "z " + long[:9000])]), width=13).collect()}
     assert found == brute_windows([(1, long), (2, "z " + long[:9000])], 13)
