@@ -10,7 +10,7 @@ either, so their first two common tokens lie in the first ``n - need + 2`` token
   classes are indexed one by one.
 
 Documents that share an index key are candidates. Short lists give all pairs that sizes and places in the order allow. In a long list, sorted by how
-frequent a set's tokens are, each member first meets the first one, its hub, only. Members that are then still in
+frequent a set's tokens are and cut by size, each member first meets the first one of about its size, its hub, only. Members that are then still in
 another component than their hub meet all members around the hubs of that component, as tiles: blocks of sketches that
 bound in how many tokens two sets differ, compared as matrices and dealt over tasks by block pair; of each row only the
 nearest candidates leave a tile, more of them in later rounds, until nothing is left out. Candidates are verified on the whole sets, so
@@ -203,15 +203,21 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of short lists, and (star) of each member of a long list with its hub, the first one; from postings
-    sorted by key and falling weight.
+    """Pairs (a, b) of short lists, and (star) of each member of a long list with its hub, the first one of about its
+    size; from postings sorted by key and falling weight.
 
-    One pass in bounded memory: of a list longer than a batch only the hub is kept.
+    One pass in bounded memory: of a list longer than a batch only the hubs are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        ratio = np.log(100 / percent * 1.001)
+
+        def class_of(n):
+            """Size classes, of which linked sets are in the same or in neighbouring ones."""
+            return (np.log(n) / ratio).astype(np.int64)
+
         def out(a, n_a, b, n_b, star):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, n_a, b, n_b, np.full(len(a), star))], names=["a", "n_a", "b", "n_b", "star"])
 
@@ -234,15 +240,35 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             new = np.r_[True, (name[i[1:]] != name[i[:-1]]) | (name[j[1:]] != name[j[:-1]])] if len(i) else np.zeros(0, bool)
             return out(name[i[new]], n[i[new]], name[j[new]], n[j[new]], False)
 
+        def lengths(new):
+            """First row of each run's row, length of its run, and its place in it."""
+            start = np.flatnonzero(new)
+            length = np.diff(np.r_[start, len(new)])
+            first = np.repeat(start, length)
+            return first, np.repeat(length, length), np.arange(len(new)) - first
+
         def emit(key, left, n, name):
-            """Of complete lists."""
+            """Of complete lists. Long ones are cut by size: a member is in the part of its class and in that of the next."""
             new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])]
             key, left, n, name = key[new], left[new], n[new], name[new]
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            length = np.diff(np.r_[start, len(key)])
-            size = np.repeat(length, length)
-            rank = np.arange(len(key)) - np.repeat(start, length)
+            first, size, rank = lengths(np.r_[True, key[1:] != key[:-1]])
             at = np.flatnonzero((size > 1) & (size <= SHORT_LIST))
+            yield from short(at, size, rank, left, n, name)
+            at = np.flatnonzero(size > SHORT_LIST)
+            if not len(at):
+                return
+            part = class_of(n[at])
+            at, part = np.r_[at, at], np.r_[part, part + 1]
+            order = np.lexsort((rank[at], part, first[at]))
+            at, part = at[order], part[order]
+            first, size, rank = lengths(np.r_[True, (part[1:] != part[:-1]) | (first[at[1:]] != first[at[:-1]])])
+            left, n, name = left[at], n[at], name[at]
+            yield from short(np.flatnonzero((size > 1) & (size <= SHORT_LIST)), size, rank, left, n, name)
+            i = np.flatnonzero(size > SHORT_LIST)
+            if len(i):
+                yield stars(name[i], n[i], name[first[i]], n[first[i]])
+
+        def short(at, size, rank, left, n, name):
             found = []
             for gap in range(1, SHORT_LIST):
                 at = at[rank[at] + gap < size[at]]
@@ -251,12 +277,18 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
                 found.append((at, at + gap))
             if found:
                 yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), left, n, name)
-            i = np.flatnonzero(size > SHORT_LIST)
-            if len(i):
-                hub = np.repeat(start, length)[i]
-                yield stars(name[i], n[i], name[hub], n[hub])
 
-        carry, long_key, hub = None, None, None
+        def more(n, name):
+            """Rows of a list of which some were given out already: each meets the hubs of its two parts."""
+            part = class_of(n)
+            at, part = np.r_[np.arange(len(n)), np.arange(len(n))], np.r_[part, part + 1]
+            for p in np.unique(part).tolist():
+                i = at[part == p]
+                hub = hubs.setdefault(p, (name[i[0]], n[i[0]]))
+                yield stars(name[i], n[i], np.full(len(i), hub[0]), np.full(len(i), hub[1]))
+
+        carry, long_key = None, None
+        hubs: dict[int, tuple] = {}  # of the parts of the list of long_key
         for batch in batches:
             key, left, n, name = (batch.column(k).to_numpy() for k in range(4))
             if not len(key):
@@ -264,7 +296,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             if long_key is not None:  # the rest of a list that was already given out as long
                 k = int((key == long_key).sum())
                 if k:
-                    yield stars(name[:k], n[:k], np.full(k, hub[0]), np.full(k, hub[1]))
+                    yield from more(n[:k], name[:k])
                 if k == len(key):
                     continue
                 key, left, n, name, long_key = key[k:], left[k:], n[k:], name[k:], None
@@ -275,8 +307,9 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
                 yield from emit(key[:cut], left[:cut], n[:cut], name[:cut])
             carry = key[cut:], left[cut:], n[cut:], name[cut:]
             if len(carry[0]) > 50_000 and len(np.unique(carry[3])) > SHORT_LIST:
-                yield from emit(*carry)
-                long_key, hub = key[-1], (name[cut], n[cut])
+                long_key = key[-1]
+                hubs.clear()
+                yield from more(n[cut:], name[cut:])
                 carry = None
         if carry is not None:
             yield from emit(*carry)
