@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 #: Characters handled at once; longer texts are counted piece by piece.
-PIECE = 2_000_000
+PIECE = 500_000
 
 
 @dataclass
