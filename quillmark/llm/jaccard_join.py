@@ -34,8 +34,8 @@ from .words import Hasher, mix, word_hashes
 SHORT_LIST = 48
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
-#: Members of a hub in a tile, and bytes of a sketch there; longer ones are folded.
-TILE, OUTLINE = 4096, 128
+#: Bytes of an outline, a sketch folded where it is longer: what pairs are shuffled with at first. Members in a tile.
+OUTLINE, TILE = 256, 4096
 #: Candidates of a row that leave a tile, by round; the last round takes all.
 NEAREST = (16, 256, None)
 #: Tokens counted at once by a task when it looks for frequent ones.
@@ -317,10 +317,28 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.select("key", "left", "n", "name").mapInArrow(run, "a long, n_a int, b long, n_b int, star boolean")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _outlined(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``outline``, the sketch folded to :data:`OUTLINE` bytes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for x in batch.column(batch.schema.get_field_index("sketch")):
+                words = np.frombuffer(x.as_buffer(), "<u8")
+                while len(words) > OUTLINE // 8:
+                    words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+                out.append(words.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "outline"])
+
+    return classes.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", outline binary")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int, by: str) -> DataFrame:
     """Pairs (a, n_a, b, n_b, hub_a, hub_b) with the classes of both ends (node, class_id) and ``alike``: whether their
-    sizes and sketches do not rule a link out."""
-    left, right = (classes.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"node_{x}"), F.col("class_id").alias(f"class_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    sizes and their sketches or outlines (column ``by``) do not rule a link out."""
+    left, right = (classes.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"node_{x}"), F.col("class_id").alias(f"class_{x}"), F.col(by).alias(f"sketch_{x}")) for x in "ab")
     kept = ["a", "n_a", "node_a", "class_a", "b", "n_b", "node_b", "class_b", "hub_a", "hub_b"]
     both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select(*kept, "sketch_a", "sketch_b")
 
@@ -350,22 +368,7 @@ def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int
     count = {name: F.ceil(F.count_if(F.col("outside") == side) / TILE).cast("int").alias(name) for name, side in (("n_out", True), ("n_in", False))}
     sizes = members_of.groupBy("hub").agg(*count.values()).where("n_out > 0")
     tile = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), "n_out")).otherwise(F.col("n_out") + F.pmod(F.xxhash64("node"), "n_in")).cast("int")
-    dealt = members_of.join(sizes, "hub").withColumn("tile", tile).join(classes.select("node", "n", "sketch"), "node")
-    fold = dealt.select("hub", "tile", "n_out", "n_in", "node", "n", "part", "sketch")
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            out = []
-            for x in batch.column(7):
-                words = np.frombuffer(x.as_buffer(), "<u8")
-                while len(words) > OUTLINE // 8:
-                    words = words[: len(words) // 2] ^ words[len(words) // 2 :]
-                out.append(words.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out, pa.binary())], names=batch.schema.names)
-
-    rows = fold.mapInArrow(folded, fold.schema)
+    rows = members_of.join(sizes, "hub").withColumn("tile", tile).join(classes.select("node", "n", F.col("outline").alias("sketch")), "node")
     tiles = stored(rows.groupBy("hub", "tile", "n_out", "n_in").agg(F.collect_list(F.struct("node", "n", "part", "sketch")).alias("rows")), "tiles")
     total = F.col("n_out") + F.col("n_in") - 1
     left = tiles.where("tile < n_out").select("hub", F.col("tile").alias("i"), F.explode(F.sequence("tile", total)).alias("j"), F.col("rows").alias("left"))
@@ -480,17 +483,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast(_levels(top))
     # a class is the documents of one set; its number is fixed once the table is written
     classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stored(_outlined(classes.withColumn("node", F.monotonically_increasing_id())), "classes")
 
     dealt = _postings(texts.where("doc_id IS NOT NULL"), width, percent, frequent)
     lists = stored(_lists(dealt.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", F.desc("weight"), "n", "name"), percent), "lists")
     frequent.destroy()
     first = lists.select(*_ordered(), (F.col("star") & (F.col("a") > F.col("b"))).alias("hub_a"), (F.col("star") & (F.col("a") <= F.col("b"))).alias("hub_b"))
     first = first.groupBy("a", "n_a", "b", "n_b").agg(F.max("hub_a").alias("hub_a"), F.max("hub_b").alias("hub_b"))
-    met = stored(_alike(first, classes, percent), "met")
+    met = stored(_alike(first, classes, percent, "outline"), "met")
     discard(lists)
-    ends = met.where("alike").select(F.explode(F.array(*[F.struct(F.col(f"node_{x}").alias("node"), F.col(f"class_{x}").alias("class_id"), F.col(f"n_{x}").alias("n"), F.col(x).alias("name")) for x in "ab"])).alias("end")).select("end.*")
-    labels = connected(_verify(met.where("alike").select("node_a", "node_b"), ends, texts, width, percent), "node_a", "node_b", roots=False)
+    near = met.where("alike")
+    folded = F.greatest("n_a", "n_b") > 2 * OUTLINE  # their outlines may be shorter than their sketches
+    if not near.where(folded).isEmpty():
+        whole = near.where(folded).select("a", "n_a", "b", "n_b", "hub_a", "hub_b")
+        near = near.where(~folded).unionByName(stored(_alike(whole, classes, percent, "sketch").where("alike"), "near"))
+    ends = near.select(F.explode(F.array(*[F.struct(F.col(f"node_{x}").alias("node"), F.col(f"class_{x}").alias("class_id"), F.col(f"n_{x}").alias("n"), F.col(x).alias("name")) for x in "ab"])).alias("end")).select("end.*")
+    labels = connected(_verify(near.select("node_a", "node_b"), ends, texts, width, percent), "node_a", "node_b", roots=False)
 
     # members that are still in another component than their hub meet the others around it, not once a list
     stars = [met.where(f"hub_{h}").select(F.col(f"node_{h}").alias("hub"), F.col(f"node_{m}").alias("node")) for h, m in ("ab", "ba")]
@@ -505,7 +513,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rest = stored(_tiles(placed, classes, percent, nearest), "rest")
         if not rest.isEmpty():
             pairs = rest.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
-            ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(classes.drop("sketch"), "node")
+            ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(classes.drop("sketch", "outline"), "node")
             more = _verify(pairs, ends, texts, width, percent)
             labels = connected(labels.select(F.col("node").alias("node_a"), F.col("component").alias("node_b")).union(more), "node_a", "node_b", roots=False)
         open_hubs = rest.where("cut").select("hub").distinct()
