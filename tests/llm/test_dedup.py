@@ -118,7 +118,7 @@ def scattered(rng):
 @pytest.mark.parametrize(("percent", "width", "tile", "nearest"), [(30, 2, 7, (1, None)), (50, 1, 4096, (4, 64, None)), (85, 2, 7, (1, 2, None)), (100, 2, 4096, (4, None))])
 def test_jaccard_at_any_threshold(spark, monkeypatch, percent, width, tile, nearest):
     monkeypatch.setattr(jaccard_join, "TILE", tile)  # small: several tiles around a hub
-    monkeypatch.setattr(jaccard_join, "OUTLINE", 8)
+    monkeypatch.setattr(jaccard_join, "OUTLINE", 16)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
     monkeypatch.setattr(jaccard_join, "NEAREST", nearest)
     rows = scattered(random.Random(percent))
