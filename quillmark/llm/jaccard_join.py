@@ -32,6 +32,8 @@ from .words import Hasher, mix, word_hashes
 
 #: Lists up to this length give all their pairs at once, less those that sizes and places in the order rule out.
 SHORT_LIST = 48
+#: Pairs of lists that a task looks at together.
+PAIRS = 300_000
 #: Sets up to this size index pairs of frequent tokens.
 PAIR_SIZE = 250
 #: Bytes of an outline, a sketch folded where it is longer: what pairs are shuffled with at first. Members in a tile.
@@ -184,7 +186,7 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 if not len(tokens) or (name := fingerprint(tokens)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(name)
                 found, left, weight = index(tokens)
@@ -269,12 +271,16 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
                 yield stars(name[i], n[i], name[first[i]], n[first[i]])
 
         def short(at, size, rank, left, n, name):
-            found = []
+            found, held = [], 0
             for gap in range(1, SHORT_LIST):
                 at = at[rank[at] + gap < size[at]]
                 if not len(at):
                     break
                 found.append((at, at + gap))
+                held += len(at)
+                if held > PAIRS:
+                    yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), left, n, name)
+                    found, held = [], 0
             if found:
                 yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)), left, n, name)
 
