@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from .ann_search import nearest
 from .byte_bpe import encode_documents
+from .centroids import cluster_vectors
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import identify
 from .line_templates import line_dedup
 from .mixing import mix
+from .quality_rules import quality_rules
+from .spelling import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .token_counts import recount, redactions, token_trees
 from .window_dedup import window_dedup
@@ -82,6 +85,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), min_letters=7, min_count=2, ratio=10, noise=31)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
@@ -93,8 +108,12 @@ QUERIES = {
     "op8_ann_search": op8_ann_search,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language_id": op10_language_id,
+    "op11_centroids": op11_centroids,
+    "op12_spelling": op12_spelling,
+    "op13_quality_rules": op13_quality_rules,
 }
 
+
 def _level_sql(path: list[str], level: str, weight: str) -> str:
     """SQL of one level of the budget tree: from node budgets n_<parent> to n_<level>."""
     parent, own = ", ".join(path) or "1", ", ".join([*path, level])
@@ -145,7 +164,71 @@ FROM y
 """
 )
 
+def _lloyd_sql(rounds: int = 10, clusters: int = 8) -> str:
+    """SQL of the clustering query, each round in full."""
+    distance = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    def assigned(n: int) -> str:
+        return f"""
+a{n} AS MATERIALIZED (
+  SELECT row_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT v.row_id, c.cluster, {distance}::BIGINT AS d FROM v CROSS JOIN c{n} c) GROUP BY row_id)"""
+
+    def moved(n: int) -> str:
+        return f"""
+s{n} AS (SELECT cluster, i, sum(q[i])::BIGINT AS total, count(*) AS n FROM a{n - 1} JOIN v USING (row_id) CROSS JOIN range(1, 65) r(i) GROUP BY cluster, i),
+m{n} AS (SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY i) AS q FROM s{n} GROUP BY cluster),
+c{n} AS MATERIALIZED (SELECT c.cluster, coalesce(m{n}.q, c.q) AS q FROM c{n - 1} c LEFT JOIN m{n} USING (cluster))"""
+
+    steps = [assigned(0)] + [x for n in range(1, rounds + 1) for x in (moved(n), assigned(n))]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS q
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY draw NULLS LAST, q) - 1 AS cluster, q
+  FROM (SELECT sha256('3:' || vec_id) AS draw, q FROM v ORDER BY draw NULLS LAST, q LIMIT {clusters})),{",".join(steps)},
+f AS (SELECT v.vec_id, v.q, cluster, distance FROM a{rounds} JOIN v USING (row_id))
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY f.q) AS group_size
+FROM f JOIN c{rounds} c USING (cluster)
+"""
+
+
 ORACLES = {
+    "op11_centroids": _lloyd_sql(),
+    "op12_spelling": r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(doc_id || ':' || run, ''))) AS h FROM r),
+s AS (  -- each byte, then eight shifts
+  SELECT *, flatten([[('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(0, length(h) // 2)]) AS steps
+  FROM b),
+k AS (
+  SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, steps), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS crc
+  FROM s),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN doc_id IS NOT NULL AND crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM k)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM w, unnest(range(1, length(word) + 1)) u(i)),
+p AS (
+  SELECT x.word, y.word AS other, y.n FROM d x JOIN d y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.head || d.tail = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.head || d.tail = w.word),
+q AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, min(other) FILTER (n = most) AS best
+  FROM (SELECT *, max(n) OVER (PARTITION BY word) AS most FROM p) GROUP BY word),
+f AS MATERIALIZED (
+  SELECT w.word, CASE WHEN best_n >= 10 * w.n THEN best END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM w LEFT JOIN q USING (word)),
+t AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n
+FROM f JOIN t ON t.word = f.word JOIN f g ON g.word = t.root WHERE g.form IS NULL
+""",
     "op3_line_templates": r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 m AS (
