@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.scans import affine_scan, ewm_steps
+
 FEATURES = (
     [f"ret_lag_{k}" for k in (1, 2, 3, 5, 10)]
     + [f"momentum_{k}" for k in (5, 10, 21, 63)]
@@ -45,31 +47,30 @@ NEEDS = {"rsi_14": ("avg_gain", "avg_loss"), "atr_14": ("atr",), "macd": ("ema_1
 
 
 def smoothed(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` with exponentially weighted means, y = (1 - alpha) y + alpha x, in one pass over each symbol's days.
-
-    A group is one symbol's days, so it fits a task; groups that are already together are not shuffled again.
-    """
-
-    def run(pdf):
-        pdf = pdf.sort_values("date")
-        for name in names:
-            if name == "macd_signal":
-                pdf["macd"] = (pdf["ema_12"] - pdf["ema_26"]) / pdf["c"]
-            source, alpha, least = SMOOTH[name]
-            pdf[name] = pdf[source].ewm(alpha=alpha, min_periods=least, adjust=False).mean()
-        return pdf
-
-    added = [*names, *(["macd"] if "macd_signal" in names else [])]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + [f"`{n}` double" for n in added])
-    return df.groupBy("symbol").applyInPandas(run, schema).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in added})
+    """``df`` with exponentially weighted means, y = (1 - alpha) y + alpha x, scanned block by block: see
+    :func:`quillmark.functions.scans.affine_scan`."""
+    rounds = [[n for n in names if n != "macd_signal"], [n for n in names if n == "macd_signal"]]
+    kept = df.columns
+    for chosen in filter(None, rounds):
+        if chosen == ["macd_signal"]:
+            df = df.withColumn("macd", (F.col("ema_12") - F.col("ema_26")) / F.col("c"))
+        parts: dict[str, Column] = {}
+        for name in chosen:
+            source, alpha, _ = SMOOTH[name]
+            parts |= dict(zip((f"a__{name}", f"b__{name}", f"n__{name}"), ewm_steps(source, alpha, ["symbol"], "bar_pos"), strict=True))
+        found = affine_scan(df.withColumns(parts), ["symbol"], "bar_pos", {f"y__{n}": (f"a__{n}", f"b__{n}") for n in chosen})
+        kept = [*kept, *chosen]
+        enough = [F.when(F.col(f"n__{n}") >= max(SMOOTH[n][2], 1), F.col(f"y__{n}")).alias(n) for n in chosen]
+        df = found.select(*[c for c in kept if c not in chosen], *enough)
+    return df
 
 
 def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1, columns: list[str] | None = None) -> DataFrame:
     """symbol, date, the day's number ``bar_pos`` from 0, and ``columns``: by default the 26 features and the target
     ``horizon`` days ahead.
 
-    All windows share one partitioning and one sort by symbol and day. Only the smoothed features leave the JVM, in one
-    pass over the same groups, and only where they are asked for; nothing but what is asked for goes through it.
+    All windows share one partitioning and one sort by symbol and day. The smoothed features are scanned by blocks of days,
+    and only where they are asked for. Nothing leaves the JVM.
     """
     if horizon < 1:
         raise ValueError("horizon is at least 1")

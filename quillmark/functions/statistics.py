@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.scans import max_drawdown  # noqa: F401
+
 TRADING_DAYS = 252
 ALPHA = 0.05
 
@@ -82,10 +84,6 @@ def with_equity(df: DataFrame, by: list[str], order: str = "date", net: str = "n
     return grown.withColumn("drawdown", (peak - F.col("equity")) / peak)
 
 
-def max_drawdown(df: DataFrame, by: list[str], order: str = "date", net: str = "net_return") -> DataFrame:
-    return with_equity(df, by, order, net).groupBy(*by).agg(F.coalesce(F.max("drawdown"), F.lit(0.0)).alias("max_drawdown"))
-
-
 def strategy_metrics(returns: DataFrame, by: list[str], order: str = "date", periods: int = TRADING_DAYS) -> DataFrame:
     """Twelve figures of each group from net_return, position and cost by day."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -127,23 +125,30 @@ def corrected(tests: DataFrame, p: str = "p_value", alpha: float = ALPHA, by: li
 
     The step-up procedure rejects the ``k`` smallest, for the largest ``k`` with p(k) <= alpha k / n. Values are counted
     before they are shuffled and ordered bin by bin; the few counts of bins are summed up before, so no task orders a
-    whole group's tests. The bound of each group is joined back.
+    whole group's tests. The bound of each group is joined back, that of all tests is one value. The input is read for the
+    counts and for the result; write it first where it is dear.
     """
-    keys = by or ["_all"]
+    keys = by or []
     value = F.when(~F.isnan(p), F.col(p))
-    rows = tests if by else tests.withColumn("_all", F.lit(0))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # only values up to alpha can be rejected
-    counts = rows.where(value <= alpha).groupBy(*keys, value.alias("_p")).agg(F.count("*").alias("_count")).withColumn("_bin", _bin(F.col("_p")))
+    # only values up to alpha can be rejected; the others are counted together
+    counts = tests.groupBy(*keys, F.when(value <= alpha, value).alias("_p")).agg(F.count("*").alias("_count")).withColumn("_bin", F.coalesce(_bin(F.col("_p")), F.lit(2**31)))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_count").alias("_in"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
+    bins = bins.select(*[F.col(c).alias(f"_in_{c}") for c in keys], F.col("_bin").alias("_at"), F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("_n"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     k = F.col("_before") + F.sum("_count").over(inside)
-    reached = counts.join(bins, [*keys, "_bin"]).withColumn("_k", k).join(sizes, keys).where(F.col("_p") <= alpha * F.col("_k") / F.col("_n"))
-    bounds = sizes.join(reached.groupBy(*keys).agg(F.max("_p").alias("_most")), keys, "left")
+    same = [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in keys] + [F.col("_bin") == F.col("_at")]
+    met = counts.join(bins, same).withColumn("_k", k)
+    most = F.max(F.when(F.col("_p") <= alpha * F.col("_k") / F.col("_n"), F.col("_p")))
+    bounds = met.groupBy(*keys).agg(most.alias("_most"), F.max("_n").alias("_n"))
+    if by:
+        named = bounds.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_most", "_n")
+        rows = tests.join(named, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    else:
+        rows = tests.withColumn("_bound", bounds.select(F.struct("_most", "_n")).scalar()).select("*", "_bound.*")
     flags = {"nominal": is_significant(value, alpha), "bonferroni": F.coalesce(value < alpha / F.col("_n"), F.lit(False)), "fdr": F.coalesce(value <= F.col("_most"), F.lit(False))}
-    return rows.join(bounds, keys).select(*[F.col(c) for c in tests.columns], *[x.alias(n) for n, x in flags.items()])
+    return rows.select(*[F.col(c) for c in tests.columns], *[x.alias(n) for n, x in flags.items()])
 
 
 def scan_summary(scan: DataFrame, alpha: float = ALPHA) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources.snapshots import append_snapshot, compact, read_snapshot
+
 # Characters a token of prose and of dense text, the density of the latter, and the tolerance.
 CHARS_PROSE, CHARS_DENSE, DENSITY, TOLERANCE = 3.9, 3.0, 0.35, 0.15
 #: Words and symbols by Unicode, as both engines of the tests understand them.
@@ -14,23 +16,54 @@ WORD = "[\\p{L}\\p{N}_]+"
 SYMBOL = "[^\\p{L}\\p{N}_\\s\\x1c-\\x1f\\x{85}\\p{Z}]"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once for each row, however often ``then`` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _counts(text: Column) -> Column:
+    """Characters, symbols and words of a text. Words become one letter each first, so one pattern alone reads it whole."""
+    short = F.regexp_replace(text, WORD, "w")
+    return _once(short, lambda t: F.struct(F.length(text).alias("chars"), (F.length(t) - F.length(F.regexp_replace(t, f"{SYMBOL}+", ""))).alias("symbols"), F.length(F.regexp_replace(t, "[^w]+", "")).alias("words")))
+
+
+def _density(counts: Column) -> Column:
+    return F.coalesce(F.try_divide(counts["symbols"].cast("double"), counts["symbols"] + counts["words"]), F.lit(0.0))
+
+
 def symbol_density(text: Column) -> Column:
     """Share of symbols among symbols and words; 0 for a text with neither."""
-    symbols = F.regexp_count(text, F.lit(SYMBOL)).cast("double")
-    return F.coalesce(F.try_divide(symbols, symbols + F.regexp_count(text, F.lit(WORD))), F.lit(0.0))
+    return F.coalesce(_once(_counts(text), _density), F.lit(0.0))
 
 
-def estimate(text: Column, chars_per_token: Column | None = None) -> dict[str, Column]:
-    """tokens, low and high of a text; 0 tokens for an empty or null one. Halves round to even."""
-    text = F.coalesce(text, F.lit(""))
-    ratio = CHARS_PROSE - (CHARS_PROSE - CHARS_DENSE) * F.least(symbol_density(text) / DENSITY, F.lit(1.0))
+def _tokens(counts: Column, chars_per_token: Column | None) -> Column:
+    ratio = CHARS_PROSE - (CHARS_PROSE - CHARS_DENSE) * F.least(_density(counts) / DENSITY, F.lit(1.0))
     if chars_per_token is not None:
         ratio = F.coalesce(chars_per_token, ratio)
-    tokens = F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.rint(F.length(text) / ratio))).cast("long")
+    return F.when(counts["chars"] == 0, 0).otherwise(F.greatest(F.lit(1), F.rint(counts["chars"] / ratio))).cast("long")
+
+
+def _bounds(tokens: Column) -> dict[str, Column]:
     margin = F.when(tokens == 0, 0).otherwise(F.greatest(F.lit(1), F.rint(tokens * TOLERANCE))).cast("long")
     return {"tokens": tokens, "low": F.greatest(tokens - margin, F.lit(0)), "high": tokens + margin}
 
 
+def estimate(text: Column, chars_per_token: Column | None = None) -> dict[str, Column]:
+    """tokens, low and high of a text; 0 tokens for an empty or null one. Halves round to even.
+
+    Each of the three reads the text; :func:`with_estimate` gives all of them from one reading.
+    """
+    return _bounds(_once(_counts(F.coalesce(text, F.lit(""))), lambda c: _tokens(c, chars_per_token)))
+
+
+def with_estimate(df: DataFrame, text_col: str = "text", chars_per_token: Column | None = None) -> DataFrame:
+    """``df`` with tokens, low and high of a text, which is read once."""
+    tokens = estimate(F.col(text_col), chars_per_token)["tokens"]
+    # a generator, so that no column above it counts again
+    counted = df.select("*", F.inline(F.array(F.struct(tokens.alias("tokens")))))
+    return counted.withColumns({k: c for k, c in _bounds(F.col("tokens")).items() if k != "tokens"})
+
+
 def estimate_text(tokens: Column, low: Column, high: Column) -> Column:
     """``~1,234 tokens (1,049-1,419)``."""
     return F.format_string("~%s tokens (%s-%s)", F.format_number(tokens, 0), F.format_number(low, 0), F.format_number(high, 0))
@@ -89,17 +122,23 @@ def cache_additions(counted: DataFrame) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(key, tokens) of a kept cache; an absent one is empty. Of a key that several writers have added one count stays."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    kept = read_snapshot(spark, path)
+    if kept is None:
         return spark.createDataFrame([], "key string, tokens long")
-    return spark.read.schema("key string, tokens long").parquet(path).groupBy("key").agg(F.min("tokens").alias("tokens"))
+    return kept.groupBy("key").agg(F.min("tokens").alias("tokens"))
 
 
 def flush_cache(counted: DataFrame, path: str) -> None:
-    """Add new exact counts to a kept cache; nothing is written where there are none."""
+    """Add new exact counts to a kept cache; nothing is written where there are none. Writers don't disturb each other;
+    :func:`compact_cache` joins what they have added."""
     new = cache_additions(counted)
     if not new.isEmpty():
-        new.write.mode("append").parquet(path)
+        append_snapshot(new, path)
+
+
+def compact_cache(spark: SparkSession, path: str, parts: int = 1) -> None:
+    """Rewrite a kept cache in ``parts`` files."""
+    compact(spark, path, parts)
 
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.features import FEATURES, TARGET
-from quillmark.operators.folds import assigned
+from quillmark.operators.folds import assigned, piece, tested, training_sums
+from quillmark.operators.gram import RIDGE_ALPHA, ridge_predictions
+from quillmark.scratch import written
 
 RESULT = "symbol string, model string, fold int, date date, prediction double, actual double"
-RIDGE_ALPHA = 50.0
 
 
 def zero(train_x, train_y, test_x):
@@ -128,24 +129,48 @@ BASELINES = ("zero", "mean", "persistence")
 MODELS: dict[str, Callable] = {"zero": zero, "mean": mean, "persistence": persistence, "ridge": ridge, "random_forest": forest, "gradient_boosting": boosting}
 
 
-def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable]], train: int = 750, test: int = 126, step: int | None = None, expanding: bool = False, embargo: int = 1, features: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """Out-of-sample predictions of each model, one task a symbol and fold.
+def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable]], train: int = 750, test: int = 126, step: int | None = None, expanding: bool = True, embargo: int = 1, features: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Out-of-sample predictions of each model.
 
     ``data`` comes from :func:`quillmark.functions.features.dataset`. A model is a name of :data:`MODELS` or (name,
     function of train_x, train_y, test_x). All models see the same folds. Symbols too short for a fold give no rows, or
     raise an error if ``strict``.
+
+    Ridge and the baselines by name are computed from sums over pieces of the series, so no row is copied to the folds that
+    train on it. Other models are refitted in one task a symbol and fold, on copies of their rows.
     """
     chosen: list[tuple[str, Callable]] = []
+    summed: list[str] = []
     for model in models:
         if isinstance(model, str):
             if model not in MODELS:
                 raise ValueError(f"unknown model {model!r}; known are {', '.join(MODELS)}")
+            if model in BASELINES or model == "ridge":
+                summed.append(model)
+                continue
             model = (model, MODELS[model])
         chosen.append(model)
     columns = features or FEATURES
     if strict:
         data = data.withColumn("n_pos", F.when(F.col("n_pos") > train + embargo, F.col("n_pos")).otherwise(F.raise_error(F.concat(F.lit("too few rows: "), "symbol")).cast("long")))
-    rows = assigned(data.select("symbol", "date", "pos", "n_pos", *columns, TARGET), train, test, step, expanding, embargo)
+    # read for the sums and for the test rows, by each kind of model
+    data = written(data.select("symbol", "date", "pos", "n_pos", *dict.fromkeys([*columns, "ret_lag_1"] if "ret_lag_1" in data.columns else columns), TARGET), "dataset")
+    folds = {"train": train, "test": test, "step": step, "expanding": expanding, "embargo": embargo}
+    parts = []
+    if names := [m for m in summed if m in BASELINES]:
+        parts.append(_baselines(data, **folds).where(F.col("model").isin(*names)))
+    if "ridge" in summed:
+        parts.append(ridge_predictions(data, columns, **folds))
+    if chosen:
+        parts.append(_refitted(data, chosen, columns, folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _refitted(data: DataFrame, chosen: list[tuple[str, Callable]], columns: list[str], folds: dict) -> DataFrame:
+    rows = assigned(data.select("symbol", "date", "pos", "n_pos", *columns, TARGET), **folds)
 
     def run(pdf):
         import numpy as np
@@ -167,11 +192,15 @@ def walk_forward_predict(data: DataFrame, models: list[str | tuple[str, Callable
     return rows.repartition(parts, "symbol", "fold").groupBy("symbol", "fold").applyInPandas(run, RESULT)
 
 
-def baseline_predictions(data: DataFrame, train: int = 750, test: int = 126, step: int | None = None, expanding: bool = False, embargo: int = 1) -> DataFrame:
-    """Zero, mean and persistence forecasts without leaving the JVM: the mean of a fold's training rows stands beside its
-    test rows, in one pass over the data."""
-    rows = assigned(data.select("symbol", "date", "pos", "n_pos", "ret_lag_1", TARGET), train, test, step, expanding, embargo)
-    trained = F.avg(F.when(F.col("part") == "train", F.col(TARGET))).over(Window.partitionBy("symbol", "fold"))
-    tested = rows.withColumn("m", trained).where("part = 'test'")
+def baseline_predictions(data: DataFrame, train: int = 750, test: int = 126, step: int | None = None, expanding: bool = True, embargo: int = 1) -> DataFrame:
+    """Zero, mean and persistence forecasts without leaving the JVM: a fold's training mean comes from sums by piece."""
+    data = written(data.select("symbol", "date", "pos", "n_pos", "ret_lag_1", TARGET), "dataset")
+    return _baselines(data, train, test, step, expanding, embargo)
+
+
+def _baselines(data: DataFrame, train: int, test: int, step: int | None, expanding: bool, embargo: int) -> DataFrame:
+    pieces = data.groupBy("symbol", "n_pos", piece(F.col("pos"), train, test, step).alias("piece")).agg(F.sum(TARGET).alias("s"), F.count("*").alias("n"))
+    means = training_sums(pieces, ["s", "n"], ["symbol"], train, test, step, expanding, embargo).select("symbol", "fold", (F.col("s") / F.col("n")).alias("m"))
+    rows = tested(data.select("symbol", "date", "pos", "n_pos", "ret_lag_1", TARGET), train, test, step, embargo).join(means, ["symbol", "fold"])
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("prediction")) for n, v in (("zero", F.lit(0.0)), ("mean", F.col("m")), ("persistence", F.col("ret_lag_1")))]))
-    return tested.select("symbol", "fold", "date", F.col(TARGET).alias("actual"), each.alias("x")).select("symbol", "x.model", "fold", "date", "x.prediction", "actual")
+    return rows.select("symbol", "fold", "date", F.col(TARGET).alias("actual"), each.alias("x")).select("symbol", "x.model", "fold", "date", "x.prediction", "actual")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.pricing import TOKENS
@@ -45,7 +47,47 @@ def report(priced: DataFrame, group_by: str | None = "model", total: bool = True
 
 def top_groups(found: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` groups and the total."""
-    return found.where(~F.col("is_total")).limit(n).unionByName(found.where("is_total"))
+    return found.where(~F.col("is_total")).orderBy(F.desc("cost"), "group_key").limit(n).unionByName(found.where("is_total"))
+
+
+def report_lines(found: DataFrame, n: int = 20) -> DataFrame:
+    """place, line: a report for a reader, its ``n`` dearest groups, how many more there are, and the total."""
+    groups = found.where(~F.col("is_total"))
+    dearest = [F.desc("cost"), F.col("group_key")]
+    top = groups.orderBy(*dearest).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*dearest)))  # of n rows
+    amounts = [F.col("calls"), F.col("cost"), F.col("cost_per_call"), F.col("cache_hit_rate") * 100, F.col("savings")]
+    line = F.format_string("%s: %d calls, $%.4f ($%.4f each), %.1f%% of prompts cached, $%.4f saved", F.col("group_key"), *amounts)
+    more = groups.agg(F.count("*").alias("groups")).where(F.col("groups") > n).select(F.lit(n + 1).alias("place"), F.format_string("... %d more groups", F.col("groups") - n).alias("line"))
+    total = found.where("is_total").select(F.lit(n + 2).alias("place"), line.alias("line"))
+    return top.select("place", line.alias("line")).unionByName(more).unionByName(total)
+
+
+def report_text(found: DataFrame, n: int = 20) -> str:
+    """:func:`report_lines` as one text, with what caching has come to; ``n`` + 2 rows come to the driver."""
+    lines = [r.line for r in report_lines(found, n).orderBy("place").collect()]
+    total = found.where("is_total").first()
+    if total is None or not total.calls:
+        return "no calls"
+    written = total.cache_write_5m_tokens + total.cache_write_1h_tokens
+    if total.savings > 0:
+        lines.append(f"caching has saved ${total.savings:,.4f}, {total.savings / total.cost_uncached:.0%} of the price without it")
+    elif written:
+        lines.append("cache writes cost more than they save: does something change the cached prefix?")
+    return "\n".join(lines)
+
+
+def report_json(found: DataFrame) -> DataFrame:
+    """One JSON line a group and one for the total: key, calls, costs, savings, cache hit rate and tokens."""
+    fields = ["calls", "cost", "cost_per_call", F.col("savings").alias("cache_savings"), "cache_hit_rate", *TOKENS]
+    return found.select("is_total", "group_key", F.to_json(F.struct(F.col("group_key").alias("key"), *fields)).alias("value"))
+
+
+def report_dict(found: DataFrame, n: int = 1000) -> dict:
+    """The total, the ``n`` dearest groups, and the number of those left out, for a program that wants one value."""
+    lines = report_json(top_groups(found, n)).collect()
+    groups = [json.loads(r.value) for r in lines if not r.is_total]
+    total = next((json.loads(r.value) for r in lines if r.is_total), None)
+    return {"total": total, "groups": sorted(groups, key=lambda g: (-g["cost"], g["key"])), "more_groups": max(0, found.where(~F.col("is_total")).count() - n)}
 
 
 #: Fixed value: prefixes of fewer tokens are not cached by the service.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.features import dataset
 from quillmark.functions.statistics import ALPHA, corrected, forecast_metrics, scan_summary, strategy_metrics
 from quillmark.operators.backtest import COST_BPS, backtest, with_buy_and_hold
 from quillmark.operators.forecast import BASELINES, walk_forward_predict
+from quillmark.scratch import written
 from quillmark.sources.bars import symbols
 
 KEYS = ["symbol", "model"]
@@ -29,8 +30,7 @@ def strategies(bars: DataFrame, models: list[str], cost_bps: float = COST_BPS, t
     Strategies and buy-and-hold are compared on the same out-of-sample days. The benchmark's Sharpe ratio stands beside
     each strategy's.
     """
-    data = dataset(bars)
-    predictions = walk_forward_predict(data, models, **folds)
+    predictions = written(walk_forward_predict(dataset(bars), models, **folds), "predictions")  # each model is trained once
     first = models[0] if isinstance(models[0], str) else models[0][0]
     traded = with_buy_and_hold(predictions, first, threshold, allow_short).where(~F.col("model").isin(*BASELINES))
     figures = strategy_metrics(backtest(traded, KEYS, cost_bps), KEYS)
@@ -46,13 +46,17 @@ def scan(bars: DataFrame, model: str = "ridge", train: int = 500, test: int = 12
     """
     if first_symbols:
         bars = bars.join(symbols(bars, first_symbols), "symbol", "left_semi")
-    predictions = walk_forward_predict(dataset(bars), [model], train=train, test=test, **folds)
+    predictions = written(walk_forward_predict(dataset(bars), [model], train=train, test=test, **folds), "predictions")
     scored = forecast_metrics(predictions, ["symbol"]).where(F.col("n") >= min_test_days)
     both = with_buy_and_hold(predictions, model, threshold, allow_short)
     figures = strategy_metrics(backtest(both, KEYS, cost_bps), KEYS)
-    own = figures.where(F.col("model") != "buy_and_hold").select("symbol", F.col("sharpe").alias("strategy_sharpe"), F.col("total_return").alias("strategy_return"), "annual_turnover")
-    held = figures.where("model = 'buy_and_hold'").select("symbol", F.col("sharpe").alias("benchmark_sharpe"), F.col("total_return").alias("benchmark_return"))
-    rows = scored.select("symbol", F.col("n").alias("n_test_days"), "directional_accuracy", "p_value", "information_coefficient").join(own, "symbol").join(held, "symbol")
+    held = F.col("model") == "buy_and_hold"
+
+    def one(name: str, of: Column, alias: str) -> Column:
+        return F.max(F.when(of, F.col(name))).alias(alias)
+
+    sides = figures.groupBy("symbol").agg(one("sharpe", ~held, "strategy_sharpe"), one("total_return", ~held, "strategy_return"), one("annual_turnover", ~held, "annual_turnover"), one("sharpe", held, "benchmark_sharpe"), one("total_return", held, "benchmark_return"))
+    rows = scored.select("symbol", F.col("n").alias("n_test_days"), "directional_accuracy", "p_value", "information_coefficient").join(sides, "symbol")
     return rows.withColumn("excess_sharpe", F.col("strategy_sharpe") - F.col("benchmark_sharpe"))
 
 

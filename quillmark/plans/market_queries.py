@@ -12,7 +12,10 @@ from quillmark.functions.statistics import corrected, forecast_metrics, max_draw
 from quillmark.operators.backtest import backtest, cost_sweep, model_positions, with_buy_and_hold
 from quillmark.operators.folds import fold_bounds
 from quillmark.operators.forecast import baseline_predictions, walk_forward_predict
-from quillmark.plans.evaluation import fold_metrics, scan, self_test, strategies
+from quillmark.operators.gram import digitized, feature_correlations, gram_pieces, quantile_edges, top_features
+from quillmark.operators.ranks import medians, spearman_large
+from quillmark.plans.evaluation import fold_metrics, scan, strategies
+from quillmark.scratch import written
 from quillmark.session import table
 from quillmark.sources.bars import bars_from_trades, finalize, slice_dates, summary, symbols
 
@@ -79,6 +82,21 @@ def walk_forward_folds(spark, sf_dir):
     return fold_bounds(sizes, TRAIN, TEST)
 
 
+def rolling_folds(spark, sf_dir):
+    sizes = dataset(bars(spark, sf_dir)).groupBy("symbol").agg(F.count("*").alias("n"))
+    return fold_bounds(sizes, TRAIN, TEST, expanding=False)
+
+
+def rolling_mean(spark, sf_dir):
+    found = baseline_predictions(dataset(bars(spark, sf_dir)), TRAIN, TEST, expanding=False).where("model = 'mean'")
+    return _rounded(found.select("symbol", "fold", "date", "prediction", "actual"))
+
+
+def gram_sums(spark, sf_dir):
+    """Sums of products of (1, features, target) by series and piece, which all ridge regressions are made of."""
+    return _rounded(gram_pieces(dataset(bars(spark, sf_dir)), train=TRAIN, test=TEST).withColumn("total", F.round("total", 5)), 5)
+
+
 def _baselines(spark, sf_dir):
     return baseline_predictions(dataset(bars(spark, sf_dir)), TRAIN, TEST)
 
@@ -141,6 +159,36 @@ def benchmark_compare(spark, sf_dir):
     return _rounded(own.join(held, "symbol").select("symbol", "sharpe", "benchmark_sharpe", (F.col("sharpe") - F.col("benchmark_sharpe")).alias("excess_sharpe"), (F.col("sharpe") > F.col("benchmark_sharpe")).alias("beats_benchmark")), 5)
 
 
+def chosen_features(spark, sf_dir):
+    """The four features of each series and fold that go most with the target."""
+    found = top_features(feature_correlations(dataset(bars(spark, sf_dir)), train=TRAIN, test=TEST))
+    return _rounded(found.select("symbol", "fold", F.col("rank").cast("long").alias("rank"), "feature", "correlation"), 6)
+
+
+BINNED = ["ret_lag_1", "vol_21", "rsi_14", "volume_trend"]
+
+
+def feature_bins(spark, sf_dir):
+    """Days by bin of some features; borders are fifths of the first 500 rows of each series."""
+    data = dataset(bars(spark, sf_dir))
+    edges = quantile_edges(data.where(F.col("pos") < TRAIN), BINNED)
+    return digitized(data, edges, BINNED).groupBy("symbol", "feature", F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("days"))
+
+
+def spearman_lineitem(spark, sf_dir):
+    """Rank correlations over all rows of ``lineitem``, in one group and by return flag."""
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("all").alias("part"), F.col("l_returnflag").alias("flag"), "l_quantity", "l_extendedprice", "l_discount")
+    whole = spearman_large(rows, ["part"], "l_quantity", "l_extendedprice").select("part", F.lit("price").alias("beside"), "information_coefficient")
+    flags = spearman_large(rows, ["flag"], "l_quantity", "l_discount").select(F.col("flag").alias("part"), F.lit("discount").alias("beside"), "information_coefficient")
+    return _rounded(whole.unionByName(flags), 6)
+
+
+def lineitem_medians(spark, sf_dir):
+    """Medians over all rows of ``lineitem``, in one group and by ship mode, from histograms of at most 64 bins."""
+    rows = table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.lit("all"), F.col("l_returnflag"))).alias("part"), "l_extendedprice")
+    return _rounded(medians(rows, ["part"], "l_extendedprice", most=1000, bins=64), 6)
+
+
 def _tests(spark, sf_dir):
     """One test a part: p-values from part numbers, some of them tiny."""
     p = F.when(F.col("p_partkey") % 50 == 0, (F.col("p_partkey") % 97) * 1e-7).otherwise(((F.col("p_partkey") * 7919) % 10007) / 10007.0)
@@ -159,24 +207,20 @@ def scan_summaries(spark, sf_dir):
     return _rounded(scan_summary(rows), 6)
 
 
-def _walk(models: list[str]):
+def _walk(models: list[str], **folds):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = dataset(bars(spark, sf_dir))
-        return forecast_metrics(walk_forward_predict(data, models, train=TRAIN, test=TEST), KEYS)
+        return _rounded(forecast_metrics(walk_forward_predict(data, models, train=TRAIN, test=TEST, **folds), KEYS), 6)
 
     return query
 
 
 def ridge_scan(spark, sf_dir):
-    return corrected(scan(bars(spark, sf_dir)))
+    return _rounded(corrected(written(scan(bars(spark, sf_dir)), "scan")), 5)
 
 
 def evaluation(spark, sf_dir):
-    return strategies(bars(spark, sf_dir), ["zero", "ridge"], train=TRAIN, test=TEST)[1]
-
-
-def controls(spark, sf_dir):
-    return self_test(spark)
+    return _rounded(strategies(bars(spark, sf_dir), ["zero", "ridge"], train=TRAIN, test=TEST)[1], 5)
 
 
 QUERIES = {
@@ -199,13 +243,20 @@ QUERIES = {
     "complete_dataset": complete_dataset,
     "no_lookahead": no_lookahead,
     "walk_forward_folds": walk_forward_folds,
+    "rolling_folds": rolling_folds,
+    "gram_sums": gram_sums,
     "zero_forecast": _baseline("zero"),
     "mean_forecast": _baseline("mean"),
+    "rolling_mean_forecast": rolling_mean,
     "persistence_forecast": _baseline("persistence"),
     "forecast_metrics": forecast_figures,
     "fold_metrics": metrics_by_fold,
     "directional_p_value": directional_p_value,
     "spearman_ic": spearman_ic,
+    "spearman_lineitem": spearman_lineitem,
+    "lineitem_medians": lineitem_medians,
+    "chosen_features": chosen_features,
+    "feature_bins": feature_bins,
     "positions_threshold": positions_threshold,
     "backtest_equity": backtest_equity,
     "max_drawdown": drawdowns,
@@ -215,10 +266,10 @@ QUERIES = {
     "multiple_tests": corrections,
     "scan_summary": scan_summaries,
     "ridge_walk_forward": _walk(["ridge"]),
+    "ridge_rolling": _walk(["ridge"], expanding=False),
     "tree_walk_forward": _walk(["random_forest", "gradient_boosting"]),
     "ridge_scan": ridge_scan,
     "strategy_evaluation": evaluation,
-    "self_test": controls,
 }
 
 BARS_SQL = """
@@ -274,7 +325,7 @@ sizes AS (SELECT symbol, count(*) AS n FROM data GROUP BY symbol),
 folds AS (
   SELECT symbol, n, unnest(range(0, (n - 1 - {TRAIN} - 1) // {TEST} + 1)) AS fold FROM sizes WHERE n > {TRAIN} + 1),
 bounds AS (
-  SELECT symbol, fold::INT AS fold, fold * {TEST} AS train_start, fold * {TEST} + {TRAIN} AS train_end, fold * {TEST} + {TRAIN} + 1 AS test_start,
+  SELECT symbol, fold::INT AS fold, 0::BIGINT AS train_start, fold * {TEST} + {TRAIN} AS train_end, fold * {TEST} + {TRAIN} + 1 AS test_start,
     least(fold * {TEST} + {TRAIN} + 1 + {TEST}, n) AS test_end FROM folds)"""
 BASE_SQL = f"""{FOLDS_SQL},
 means AS (SELECT symbol, fold, avg({TARGET}) AS m FROM data JOIN bounds USING (symbol) WHERE pos >= train_start AND pos < train_end GROUP BY symbol, fold),
@@ -284,6 +335,67 @@ preds AS (
   UNION ALL SELECT symbol, 'mean', fold, date, m, actual FROM tested
   UNION ALL SELECT symbol, 'persistence', fold, date, ret_lag_1, actual FROM tested)"""
 
+#: The same with training sets that roll.
+ROLLING = ("0::BIGINT AS train_start", f"fold * {TEST} AS train_start")
+
+#: Ridge on standardised features: sums of products by fold, solved by elimination, one column after the other.
+RIDGE_SQL = f"""{BASE_SQL.replace("WITH trades", "WITH RECURSIVE trades", 1)},
+xs AS MATERIALIZED (SELECT symbol, date, pos, [{", ".join(FEATURES)}]::DOUBLE[] AS x, {TARGET} AS y FROM data),
+tr AS (SELECT symbol, fold, x, y FROM xs JOIN bounds USING (symbol) WHERE pos >= train_start AND pos < train_end),
+ms AS (
+  SELECT symbol, fold, list(m ORDER BY i) AS ms, list(CASE WHEN sd > 0 THEN sd ELSE 1 END ORDER BY i) AS ss, any_value(my) AS my
+  FROM (SELECT symbol, fold, i, avg(x[i]) AS m, stddev_pop(x[i]) AS sd, avg(y) AS my FROM tr CROSS JOIN range(1, {len(FEATURES) + 1}) r(i) GROUP BY symbol, fold, i)
+  GROUP BY symbol, fold),
+zs AS (SELECT symbol, fold, list_transform(range(1, {len(FEATURES) + 1}), lambda i: (x[i] - ms[i]) / ss[i]) AS z, y - my AS y FROM tr JOIN ms USING (symbol, fold)),
+half AS MATERIALIZED (SELECT symbol, fold, i, j, sum(z[i] * z[j]) AS v FROM zs CROSS JOIN range(1, {len(FEATURES) + 1}) a(i) CROSS JOIN range(1, {len(FEATURES) + 1}) b(j) WHERE i <= j GROUP BY ALL),
+ab AS (
+  SELECT symbol, fold, i, j, v + CASE WHEN i = j THEN 50 ELSE 0 END AS v FROM half
+  UNION ALL SELECT symbol, fold, j, i, v FROM half WHERE i < j
+  UNION ALL SELECT symbol, fold, i, {len(FEATURES) + 1}, sum(z[i] * y) FROM zs CROSS JOIN range(1, {len(FEATURES) + 1}) a(i) GROUP BY ALL),
+sys AS (SELECT symbol, fold, list(r ORDER BY i) AS m FROM (SELECT symbol, fold, i, list(v ORDER BY j) AS r FROM ab GROUP BY symbol, fold, i) GROUP BY symbol, fold),
+solved AS (
+  SELECT symbol, fold, 1 AS k, m FROM sys
+  UNION ALL
+  SELECT symbol, fold, k + 1, list_transform(range(1, {len(FEATURES) + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+    ELSE list_transform(range(1, {len(FEATURES) + 2}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END)
+  FROM solved WHERE k <= {len(FEATURES)}),
+ws AS (SELECT symbol, fold, list_transform(m, lambda r: r[{len(FEATURES) + 1}]) AS w FROM solved WHERE k = {len(FEATURES) + 1}),
+ridge AS MATERIALIZED (
+  SELECT symbol, 'ridge' AS model, fold, date, my + list_sum(list_transform(range(1, {len(FEATURES) + 1}), lambda i: (x[i] - ms[i]) / ss[i] * w[i])) AS prediction, y AS actual
+  FROM xs JOIN bounds USING (symbol) JOIN ms USING (symbol, fold) JOIN ws USING (symbol, fold) WHERE pos >= test_start AND pos < test_end)"""
+
+
+def _figures_sql(source: str) -> str:
+    """Every forecast figure of each symbol and model of a table of predictions."""
+    return f"""
+rk AS (
+  SELECT *, rank() OVER (PARTITION BY symbol, model ORDER BY actual) + (count(*) OVER (PARTITION BY symbol, model, actual) - 1) / 2 AS ra,
+    rank() OVER (PARTITION BY symbol, model ORDER BY prediction) + (count(*) OVER (PARTITION BY symbol, model, prediction) - 1) / 2 AS rp FROM {source}),
+fc AS (
+  SELECT symbol, model, count(*) AS n, sqrt(avg((actual - prediction) ** 2)) AS rmse, avg(abs(actual - prediction)) AS mae, avg((sign(actual) = sign(prediction))::INT) AS directional_accuracy,
+    coalesce(covar_pop(ra, rp) / nullif(stddev_pop(ra) * stddev_pop(rp), 0), 0) AS information_coefficient, 1 - sum((actual - prediction) ** 2) / nullif(var_pop(actual) * count(*), 0) AS r2,
+    (sum((sign(actual) = sign(prediction))::INT) - 0.5 - count(*) * 0.5) / sqrt(count(*) * 0.25) AS z
+  FROM rk GROUP BY symbol, model),
+pt AS (SELECT symbol, model, i, product(CASE WHEN i = 0 THEN z ELSE z * z / (2 * i + 1) END) OVER (PARTITION BY symbol, model ORDER BY i) AS t FROM fc CROSS JOIN range(0, 121) r(i)),
+ps AS (SELECT symbol, model, sum(t) AS t FROM pt GROUP BY symbol, model),
+figs AS (
+  SELECT fc.*, 1 - CASE WHEN z > 10 THEN 1.0 WHEN z < -10 THEN 0.0 ELSE 0.5 + t * exp(-z * z / 2) / sqrt(2 * pi()) END AS p_value FROM fc JOIN ps USING (symbol, model))"""
+
+
+_WALKED = "SELECT symbol, model, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(directional_accuracy, 6) AS directional_accuracy, round(information_coefficient, 6) AS information_coefficient, round(r2, 6) AS r2, round(p_value, 6) AS p_value FROM figs"
+#: Ridge and buy-and-hold traded at ten basis points on the same days.
+TRADED_SQL = f"""{RIDGE_SQL},
+pos AS (
+  SELECT symbol, model, date, CASE WHEN prediction > 0 THEN 1.0 WHEN prediction < 0 THEN -1.0 ELSE 0.0 END::DOUBLE AS position, exp(actual) - 1 AS fwd FROM ridge
+  UNION ALL SELECT symbol, 'buy_and_hold', date, 1.0::DOUBLE, exp(actual) - 1 FROM ridge),
+net AS (SELECT *, abs(position - lag(position, 1, 0.0::DOUBLE) OVER (PARTITION BY symbol, model ORDER BY date)) AS turnover, position * fwd - turnover * 10 / 10000 AS net, turnover * 10 / 10000 AS cost FROM pos),
+eq AS (SELECT *, product(1 + net) OVER (PARTITION BY symbol, model ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM net),
+dd AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY symbol, model ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS drawdown FROM eq),
+tf AS (
+  SELECT symbol, model, count(*) AS n_days, arg_max(equity, date) - 1 AS total_return, CASE WHEN arg_max(equity, date) > 0 THEN arg_max(equity, date) ** (252.0::DOUBLE / count(*)) - 1 END AS cagr, stddev_samp(net) * sqrt(252) AS annual_volatility, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe,
+    coalesce(avg(net) / nullif(stddev_samp(net) FILTER (net < 0), 0) * sqrt(252), 0) AS sortino, max(drawdown) AS max_drawdown, avg((net > 0)::INT) AS hit_rate, avg(abs(position)) AS exposure,
+    avg(turnover) * 252 AS annual_turnover, sum(cost) AS total_costs FROM dd GROUP BY symbol, model)"""
+
 
 def _baseline_sql(model: str) -> str:
     return f"{BASE_SQL}\nSELECT symbol, fold, CAST(date AS VARCHAR) AS date, round(prediction, 6) AS prediction, round(actual, 6) AS actual FROM preds WHERE model = '{model}'"
@@ -350,6 +462,29 @@ l AS (SELECT *, lead(share, 5) OVER (PARTITION BY symbol ORDER BY date) AS later
 SELECT symbol, '{TARGET}' AS feature, count(*) AS n_rows FROM l WHERE share < 0.7::DOUBLE AND later >= 0.7::DOUBLE GROUP BY symbol""",
     "supplier_features": _feature_sql("ret_lag_1", "momentum_5", "vol_5", "ma_gap_10", "rsi_14", TARGET).replace("SELECT l_returnflag AS symbol", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol", 1),
     "walk_forward_folds": f"{FOLDS_SQL}\nSELECT * FROM bounds",
+    "rolling_folds": f"{FOLDS_SQL.replace(*ROLLING)}\nSELECT * FROM bounds",
+    "rolling_mean_forecast": _baseline_sql("mean").replace(*ROLLING),
+    "gram_sums": f"""{DATA_SQL},
+v AS (SELECT symbol, 2 * (pos // {TEST}) + (pos % {TEST} >= {TRAIN % TEST})::INT AS piece, count(*) OVER (PARTITION BY symbol) AS n_pos, [1.0::DOUBLE, {", ".join(FEATURES)}, {TARGET}]::DOUBLE[] AS x FROM data),
+tri AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k FROM range(1, {len(FEATURES) + 3}) a(i), range(1, {len(FEATURES) + 3}) b(j) WHERE i <= j)
+SELECT symbol, n_pos, piece::BIGINT AS piece, k::INT AS "at", round(sum(x[i] * x[j]), 5) AS total FROM v CROSS JOIN tri GROUP BY ALL""",
+    "ridge_walk_forward": f"{RIDGE_SQL},{_figures_sql('ridge')}\n{_WALKED}",
+    "ridge_rolling": f"{RIDGE_SQL.replace(*ROLLING)},{_figures_sql('ridge')}\n{_WALKED}",
+    "strategy_evaluation": f"""{TRADED_SQL},
+b AS (SELECT symbol, sharpe AS benchmark_sharpe FROM tf WHERE model = 'buy_and_hold')
+SELECT symbol, model, n_days, round(total_return, 5) AS total_return, round(cagr, 5) AS cagr, round(annual_volatility, 5) AS annual_volatility, round(sharpe, 5) AS sharpe, round(sortino, 5) AS sortino, round(max_drawdown, 5) AS max_drawdown,
+  round(CASE WHEN max_drawdown > 0 THEN coalesce(cagr / max_drawdown, 0) ELSE 0 END, 5) AS calmar, round(hit_rate, 5) AS hit_rate, round(exposure, 5) AS exposure, round(annual_turnover, 5) AS annual_turnover, round(total_costs, 5) AS total_costs, round(benchmark_sharpe, 5) AS benchmark_sharpe,
+  round(sharpe - benchmark_sharpe, 5) AS excess_sharpe, model <> 'buy_and_hold' AND sharpe > benchmark_sharpe AS beats_benchmark
+FROM tf JOIN b USING (symbol)""",
+    "ridge_scan": f"""{TRADED_SQL},{_figures_sql('ridge')},
+sc AS (
+  SELECT f.symbol, n AS n_test_days, directional_accuracy, p_value, information_coefficient, o.sharpe AS strategy_sharpe, o.total_return AS strategy_return, o.annual_turnover, h.sharpe AS benchmark_sharpe, h.total_return AS benchmark_return
+  FROM figs f JOIN tf o ON o.symbol = f.symbol AND o.model = 'ridge' JOIN tf h ON h.symbol = f.symbol AND h.model = 'buy_and_hold' WHERE n >= 250),
+nn AS (SELECT *, count(*) OVER () AS tests, row_number() OVER (ORDER BY p_value) AS k FROM sc),
+km AS (SELECT *, max(CASE WHEN p_value <= 0.05::DOUBLE * k / tests THEN k END) OVER () AS kmax FROM nn)
+SELECT symbol, n_test_days, round(directional_accuracy, 5) AS directional_accuracy, round(p_value, 5) AS p_value, round(information_coefficient, 5) AS information_coefficient, round(strategy_sharpe, 5) AS strategy_sharpe,
+  round(strategy_return, 5) AS strategy_return, round(annual_turnover, 5) AS annual_turnover, round(benchmark_sharpe, 5) AS benchmark_sharpe, round(benchmark_return, 5) AS benchmark_return,
+  round(strategy_sharpe - benchmark_sharpe, 5) AS excess_sharpe, p_value < 0.05::DOUBLE AS nominal, p_value < 0.05::DOUBLE / tests AS bonferroni, coalesce(k <= kmax, false) AS fdr FROM km""",
     "zero_forecast": _baseline_sql("zero"),
     "mean_forecast": _baseline_sql("mean"),
     "persistence_forecast": _baseline_sql("persistence"),
@@ -365,6 +500,23 @@ z AS (SELECT *, (k - 0.5 - n * 0.5) / sqrt(n * 0.25) AS z FROM h),
 t AS (SELECT symbol, model, z, i, product(CASE WHEN i = 0 THEN z ELSE z * z / (2 * i + 1) END) OVER (PARTITION BY symbol, model ORDER BY i) AS t FROM z CROSS JOIN range(0, 121) r(i))
 SELECT symbol, model, round(1 - CASE WHEN z > 10 THEN 1.0 WHEN z < -10 THEN 0.0 ELSE 0.5 + sum(t) * exp(-z * z / 2) / sqrt(2 * pi()) END, 6) AS p_value FROM t GROUP BY symbol, model, z""",
     "spearman_ic": f"{_RANKS}\nSELECT symbol, round(coalesce(covar_pop(ra, rp) / nullif(stddev_pop(ra) * stddev_pop(rp), 0), 0), 6) AS information_coefficient FROM ranked GROUP BY symbol",
+    "spearman_lineitem": """
+WITH a AS (
+  SELECT 'all' AS part, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS y FROM lineitem),
+b AS (
+  SELECT l_returnflag AS part, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x,
+    rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS y FROM lineitem)
+SELECT part, 'price' AS beside, round(corr(x, y), 6) AS information_coefficient FROM a GROUP BY part UNION ALL SELECT part, 'discount', round(corr(x, y), 6) FROM b GROUP BY part""",
+    "lineitem_medians": "SELECT part, round(median(l_extendedprice), 6) AS median FROM (SELECT 'all' AS part, l_extendedprice FROM lineitem UNION ALL SELECT l_returnflag, l_extendedprice FROM lineitem) GROUP BY part",
+    "chosen_features": f"""{FOLDS_SQL},
+t AS (SELECT symbol, fold, feature, x, {TARGET} AS y FROM (SELECT symbol, pos, {TARGET}, unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) AS feature, unnest([{", ".join(FEATURES)}]::DOUBLE[]) AS x FROM data) JOIN bounds USING (symbol) WHERE pos >= train_start AND pos < train_end),
+c AS (SELECT symbol, fold, feature, coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0) AS r FROM t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY abs(r) DESC, feature) AS rank FROM c)
+SELECT symbol, fold, rank, feature, round(r, 6) AS correlation FROM k WHERE rank <= 4""",
+    "feature_bins": f"""{DATA_SQL},
+t AS (SELECT symbol, pos, unnest([{", ".join(f"'{c}'" for c in BINNED)}]) AS feature, unnest([{", ".join(BINNED)}]::DOUBLE[]) AS x FROM data),
+e AS (SELECT symbol, feature, quantile_cont(x, [0.2::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.8::DOUBLE]) AS edges FROM t WHERE pos < {TRAIN} GROUP BY ALL)
+SELECT symbol, feature, len(list_filter(edges, lambda b: x >= b))::BIGINT AS bin, count(*) AS days FROM t JOIN e USING (symbol, feature) GROUP BY ALL""",
     "positions_threshold": f"{_test_sql()}\nSELECT symbol, position, count(*) AS days FROM pos WHERE model = 'persistence' GROUP BY symbol, position",
     "backtest_equity": f"{_test_sql()}\nSELECT symbol, CAST(date AS VARCHAR) AS date, round(position, 5) AS position, round(turnover, 5) AS turnover, round(gross, 5) AS gross, round(cost, 5) AS cost, round(net, 5) AS net_return, round(CASE WHEN equity > 0 THEN ln(equity) END, 5) AS log_equity FROM eq",
     "max_drawdown": f"{_test_sql()}\nSELECT symbol, round(max_drawdown, 6) AS max_drawdown FROM fig",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.tokens import calibrate, content_key, conversation_texts, count_tokens, estimate, flatten_blocks, symbol_density
+from quillmark.functions.tokens import calibrate, content_key, conversation_texts, count_tokens, estimate, flatten_blocks, symbol_density, with_estimate
 from quillmark.operators.packing import available_tokens, order_for_cache, pack, validated_items
 from quillmark.plans.ledger_queries import ESTIMATE_SQL
 from quillmark.session import table
@@ -16,8 +16,7 @@ def symbol_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = estimate(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in e.items()])
+    return with_estimate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def calibrate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.snapshots import read_snapshot, update_snapshot
+
 SCHEMA = (
     "id string, context_window long, max_output_tokens long, rate_in double, rate_out double, "
     "fast_in double, fast_out double, promo_in double, promo_out double, promo_until date, aliases array<string>"
@@ -65,6 +67,29 @@ def read_limits(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", kind)).alias("id", "limits")).select("id", "limits.*")
 
 
+LIMITS = "id string, context_window long, max_output_tokens long"
+
+
+def refresh_limits(limits: DataFrame, path: str) -> int:
+    """Merge new limits into kept ones, and give the version that holds them: a null leaves a limit as it was, rows without
+    an id are none, and of rows that repeat an id the larger limit counts. Several may refresh at once; none is lost."""
+    new = limits.where("id IS NOT NULL").groupBy("id").agg(F.max("context_window").cast("long").alias("context_window"), F.max("max_output_tokens").cast("long").alias("max_output_tokens"))
+
+    def merged(kept: DataFrame | None) -> DataFrame:
+        if kept is None:
+            return new
+        old = kept.select("id", F.col("context_window").alias("_context"), F.col("max_output_tokens").alias("_output"))
+        return new.join(old, "id", "full").select("id", F.coalesce("context_window", "_context").alias("context_window"), F.coalesce("max_output_tokens", "_output").alias("max_output_tokens"))
+
+    return update_snapshot(limits.sparkSession, path, merged)
+
+
+def kept_limits(spark: SparkSession, path: str) -> DataFrame:
+    """Limits that :func:`refresh_limits` has kept; none where nothing has been."""
+    found = read_snapshot(spark, path)
+    return spark.createDataFrame([], LIMITS) if found is None else found
+
+
 def lookup_table(rates: DataFrame) -> DataFrame:
     """Rates by every name that finds them: ids, and aliases that are no id and not taken by an earlier row."""
     ids = rates.select(F.col("id").alias("model_key"), F.lit(0).alias("_rank"), "*")

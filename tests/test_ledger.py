@@ -165,3 +165,73 @@ def test_cache_verdicts(spark):
     found = cache_verdicts(cache_projection(scenarios, rate_table(spark), DAY)).orderBy("requests").collect()
     assert [(r.verdict, r.too_short) for r in found] == [("send fresh", True), ("cache", False)]
     assert "does not pay" in found[0].advice and "1024" in found[0].advice and "0.3900 less" in found[1].advice
+
+
+def test_report_for_readers(spark):
+    from quillmark.operators.report import report_dict, report_text
+
+    rows = [("claude-opus-5", 1000 * n, n, 100 * n, 10 * n, 0, False, "standard", "2024-01-01T00:00:00+00:00", {"k": f"v{n}"}) for n in range(1, 8)]
+    calls = priced_ledger(spark.createDataFrame(rows, KIND + ", ts string, tags map<string,string>"), rate_table(spark), DAY)
+    found = report(calls, "tag:k")
+    text = report_text(found, 3).splitlines()
+    assert [x.split(":")[0] for x in text[:3]] == ["v7", "v6", "v5"] and text[3] == "... 4 more groups" and text[4].startswith("TOTAL: 7 calls") and "caching has saved" in text[5]
+    assert "more groups" not in report_text(found, 7)
+    whole = report_dict(found, 2)
+    assert [g["key"] for g in whole["groups"]] == ["v7", "v6"] and whole["more_groups"] == 5 and whole["total"]["calls"] == 7 and whole["total"]["input_tokens"] == 28_000
+    assert report_text(report(calls.limit(0), "model")) == "no calls"
+    writes = priced_ledger(spark.createDataFrame([("claude-opus-5", 0, 1, 0, 100, 0, False, "standard", "2024-01-01T00:00:00+00:00", {"k": "v"})], KIND + ", ts string, tags map<string,string>"), rate_table(spark), DAY)
+    assert "cost more than they save" in report_text(report(writes, "model"))
+
+
+def request_events(seed: int, requests: int = 40):
+    """Events of requests, some failed, some with a lost event, in the order in which they were made."""
+    import random
+
+    rng, rows, start = random.Random(seed), [], dt.datetime(2024, 1, 1)
+    for n in range(requests):
+        at = start + dt.timedelta(seconds=20 * n)
+        size = rng.randint(1, 5)
+        mine = [(f"r{n}", 0, "start", at, "claude-opus-5", 100 + n, 1, None, None, None)]
+        mine += [(f"r{n}", k, "delta", at + dt.timedelta(seconds=k), None, None, 10 * k, k if k % 2 else None, None, None) for k in range(1, size)]
+        mine.append((f"r{n}", size, "error" if n % 7 == 3 else "end", at + dt.timedelta(seconds=size, milliseconds=250), None, None, 10 * size + 5, None, None, None))
+        if n % 5 == 4:
+            mine.pop(rng.randrange(len(mine)))
+        rows += mine
+    return rows
+
+
+def test_records_from_events(spark):
+    from quillmark.streaming.requests import EVENT, records_from_events
+
+    rows = request_events(1)
+    found = {r.request_id: r for r in records_from_events(spark.createDataFrame(rows * 2 + [(None, 0, "start", dt.datetime(2024, 1, 1), "m", 1, 1, 1, 1, 1), ("r1", None, "end", None, None, 1, 1, 1, 1, 1)], EVENT)).collect()}
+    assert set(found) == {f"r{n}" for n in range(40) if n % 7 != 3 and n % 5 != 4}
+    mine = [x for x in rows if x[0] == "r6"]
+    assert found["r6"].model == "claude-opus-5" and found["r6"].input_tokens == 106 and found["r6"].output_tokens == mine[-1][6] and found["r6"].cache_write_1h_tokens == 0
+    assert found["r6"].duration_ms == pytest.approx((mine[-1][3] - mine[0][3]).total_seconds() * 1000)
+    assert priced_ledger(spark.createDataFrame(list(found.values())), rate_table(spark), DAY).count() == len(found)
+    assert records_from_events(spark.createDataFrame([], EVENT)).count() == 0
+
+
+def test_streamed_requests(spark, tmp_path):
+    """Events in mixed files, late and twice, give the records of the whole table; dropped state gives none later."""
+    import random
+
+    from quillmark.streaming.requests import EVENT, records_from_events, stream_records
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = request_events(2)
+    rng = random.Random(2)
+    mixed = sorted(rows + rng.sample(rows, 30), key=lambda r: r[3].timestamp() + rng.uniform(0, 120))
+    whole = {tuple(r) for r in records_from_events(spark.createDataFrame(rows, EVENT)).collect()}
+    source = tmp_path / "events"
+    columns = [c.split()[0] for c in EVENT.split(", ")]
+    source.mkdir()
+    late = ("r0", 99, "delta", dt.datetime(2024, 1, 1), None, None, 1, None, None, None)
+    for n in range(4):
+        part = mixed[n * len(mixed) // 4 : (n + 1) * len(mixed) // 4] + ([late] if n == 3 else [])
+        (source / f"{n}.json").write_text("\n".join(json.dumps({k: v.isoformat() if isinstance(v, dt.datetime) else v for k, v in zip(columns, r)}) for r in part))
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(str(source))
+    stream_records(events, "5 minutes", 30).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(found) == len(set(found)) and set(found) == whole
