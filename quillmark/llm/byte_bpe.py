@@ -4,10 +4,10 @@ A text is cut by the tokenizer's pattern. Each distinct word of a task is encode
 pieces, and a fold merges the neighbouring pair of lowest rank, leftmost first, until no pair has a rank. Decoding
 concatenates the binary pieces of the ids.
 
-Two forms of the fold are given. :func:`merge_words` is a column expression of higher-order functions over the byte
-arrays of a table of distinct words, with the ranks as a literal array of hash slots; it serves a vocabulary, where
-each word occurs once. :func:`encode_documents` runs the same fold inside Arrow batches, next to the documents, so
-that occurrences of words are never shuffled; README.md has the figures that decide between them.
+Words are counted in the tasks first, and only distinct ones are shuffled. The commonest of them, a bounded number, are
+folded once by :func:`merge_words`, a column expression of higher-order functions over their bytes with the ranks as a
+literal array of hash slots, and what comes out travels to the tasks, where texts look their words up. Words beyond that
+table are merged where they stand, by the same fold. No occurrence of a word is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words remembered by one Python worker; the memory is emptied when full, so it stays bounded.
-MEMORY_WORDS = 300_000
+from .shared import shuffle_parts, stored
+
+#: Rare words remembered by one Python worker; the memory is emptied when full, so it stays bounded.
+MEMORY_WORDS = 200_000
+#: Commonest words that are folded once and sent to the tasks, and the letters that they have at most.
+VOCABULARY_WORDS, VOCABULARY_LETTERS = 100_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,9 +68,9 @@ def library_classes(pattern: str) -> tuple[str, int]:
 class Merger:
     """Word to packed ids (little-endian unsigned 32-bit), with a bounded memory."""
 
-    def __init__(self, ranks: dict[bytes, int], memory_words: int = MEMORY_WORDS):
-        self.ranks, self.memory_words = ranks, memory_words
-        self.known: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int], memory_words: int = MEMORY_WORDS, vocabulary: dict[str, bytes] | None = None):
+        self.ranks, self.memory_words, self.vocabulary = ranks, memory_words, vocabulary or {}
+        self.known: dict[str, bytes] = dict(self.vocabulary)
 
     def encode_word(self, word: bytes) -> list[int]:
         ranks = self.ranks
@@ -115,8 +119,9 @@ class Merger:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > self.memory_words:
+        if len(known) > len(self.vocabulary) + self.memory_words:
             known.clear()
+            known.update(self.vocabulary)
         out = []
         for word in words:
             ids = known.get(word)
@@ -128,33 +133,73 @@ class Merger:
         return b"".join(out)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cutter(pattern: str, exact: str, first: int):
+    """Text to its words. Texts without a character that the engines see differently take the plain, faster pattern."""
+    import re
+
+    import regex
+
+    plain, careful = regex.compile(pattern).findall, regex.compile(exact, regex.V1).findall
+    unsure = re.compile(f"[\\U{min(first, 0x10FFFF):08x}-\U0010ffff]").search
+    return lambda text: (careful if unsure(text) else plain)(text)
+
+
+def count_pattern_words(docs: DataFrame, pattern: str, text_col: str = "text", most_letters: int = VOCABULARY_LETTERS, held: int = 200_000) -> DataFrame:
+    """word, n: distinct words of ``most_letters`` letters or fewer and their occurrences, counted in the tasks first."""
+    exact, first = library_classes(pattern)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        cut, total = cutter(pattern, exact, first), Counter()
+
+        def flat():
+            found = {w: n for w, n in total.items() if len(w) <= most_letters}
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                total.update(cut(text.as_py() or ""))
+                if len(total) > held:
+                    yield flat()
+        yield flat()
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold_vocabulary(words: DataFrame, ranks_path: str, most: int = VOCABULARY_WORDS) -> dict[str, bytes]:
+    """Packed ids of the ``most`` commonest words (ties: by word), each folded once by :func:`merge_words`."""
+    spark = words.sparkSession
+    chosen = stored(words.orderBy(F.desc("n"), "word").limit(most).select("word"), "vocabulary")
+    slots = rank_slots(spark, ranks_path).scalar()
+    folded = chosen.repartition(shuffle_parts(spark), "word").select("word", merge_words(F.col("word").cast("binary"), slots).alias("ids"))
+    return {r.word: b"".join(i.to_bytes(4, "little") for i in r.ids) for r in folded.collect()}  # at most ``most`` words
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, vocabulary_words: int = VOCABULARY_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and with ``with_ids`` the ids and the decoded bytes.
 
     A null or empty text has no ids; its digests are those of no bytes. Rows with repeated or null ids are encoded like
     any other. A text is encoded whole, however long. An empty table gives an empty result; other columns are not read.
     """
     exact, first = library_classes(pattern)
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(fold_vocabulary(count_pattern_words(docs, pattern, text_col), ranks_path, vocabulary_words))  # a bounded number of short words
+    ranks = context.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import numpy as np
-        import regex
 
-        # texts without a character that the engines see differently take the plain, faster pattern
-        plain, careful, merge = regex.compile(pattern).findall, regex.compile(exact, regex.V1).findall, Merger(ranks.value)
-        unsure = re.compile(f"[\\U{min(first, 0x10FFFF):08x}-\U0010ffff]").search
+        cut, merge = cutter(pattern, exact, first), Merger(ranks.value, vocabulary=vocabulary.value)
         pieces = np.empty(max(ranks.value.values()) + 1, object)
         for piece, rank in ranks.value.items():
             pieces[rank] = piece
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column(1):
-                text = text.as_py() or ""
-                ids = merge((careful if unsure(text) else plain)(text))
+                ids = merge(cut(text.as_py() or ""))
                 decoded = b"".join(pieces[np.frombuffer(ids, "<u4")])
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
             columns = list(zip(*rows, strict=True)) or [()] * (3 + 2 * with_ids)

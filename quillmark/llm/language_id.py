@@ -71,8 +71,8 @@ def _codes(text: str):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 4000, grams_per_language: int = 4000, share: float = 0.2, slots: int = 2**20, most_languages: int = 512) -> LanguageModel:
     """Learn from rows with a text and a language; rows where either or the id is null are left out.
 
-    At most ``most_languages`` labels are learned, those with the most rows, so that the model's size has a bound also
-    where labels are dirty. Repeated rows are all in the sample or all out of it.
+    Every label is learned; more than ``most_languages`` of them are an error, so that dirty labels neither let the model
+    grow without a bound nor go unlearned. Repeated rows are all in the sample or all out of it.
 
     A trigram enters a language's filter when it is among its ``grams_per_language`` most frequent and its relative
     frequency there is at least ``share`` of its largest in any language.
@@ -80,8 +80,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     import numpy as np
 
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    sizes = dict(sorted((r[0], r[1]) for r in labels.collect()))
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(labels) > most_languages:
+        raise ValueError(f"more than {most_languages} labels; clean them or raise most_languages")
+    sizes = dict(sorted((r[0], r[1]) for r in labels))
     languages = list(sizes)
     if not languages:
         return LanguageModel([], [], [])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.scratch import scratch_root
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,20 +20,8 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 _written: set[str] = set()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests, a notebook) gets a new local folder; on a cluster, where executors
-    would write to their own disks, its absence is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quillmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: Folders written since the innermost :func:`scope` of this caller began.
+_scope: ContextVar[set[str] | None] = ContextVar("_scope", default=None)
 
 
 def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -42,6 +34,8 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = f"{scratch_root(spark)}/quillmark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
     _written.add(path)
+    if (mine := _scope.get()) is not None:
+        mine.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +44,29 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[set[str]]:
+    """Tables that are stored inside are deleted at the end, but for those that :func:`keep` has taken out. Results must be
+    written or collected by then. Other callers' tables are left alone."""
+    mine: set[str] = set()
+    token = _scope.set(mine)
+    try:
+        yield mine
+    finally:
+        _scope.reset(token)
+        for path in mine & _written:
+            _delete(spark, path)
+            _written.discard(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, a table made by :func:`stored`, which outlives the scope that it was stored in."""
+    for name in {part for file in df.inputFiles() for part in file.split("/") if part.startswith("quillmark-")}:
+        mine = _scope.get() or set()
+        mine -= {x for x in mine if x.endswith(f"/{name}")}
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` once nothing reads it any more."""
     for name in {part for file in df.inputFiles() for part in file.split("/") if part.startswith("quillmark-")}:

@@ -216,7 +216,13 @@ def recount(trees: DataFrame, ranks_path: str, pattern: str, edits_col: str = "e
 
 
 def redactions(trees: DataFrame) -> DataFrame:
-    """``trees`` with a column ``edits``: the spans that :data:`REDACTIONS` replace, as one list a row."""
+    """``trees`` with a column ``edits``: the spans that :data:`REDACTIONS` replace, as one list a row (a column of that name
+    is replaced, others pass as they are).
+
+    A null or empty text has no edits. Each rule's spans are listed, in the order of rules; where spans meet, the one that
+    begins first is applied, of two that begin together the one that ends first, and what it covers is not edited again.
+    """
+    trees = trees.drop("edits")
     names = trees.columns
     at = names.index("text")
 

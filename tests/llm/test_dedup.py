@@ -37,6 +37,10 @@ def test_exact(spark):
     assert exact_dedup(table(spark, []).limit(0)).count() == 0
     plan = exact_dedup(table(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    again = rows * 3 + [(None, f"alone {n}") for n in range(40)] + [(n, f"pair {n % 20}") for n in range(40)] * 2
+    whole = sorted((tuple(r) for r in exact_dedup(table(spark, again)).collect()), key=str)
+    for slices in (5, 60):
+        assert sorted((tuple(r) for r in exact_dedup(table(spark, again), max_filter_bits=2**15, bits_per_row=2**15 * slices // len(again)).collect()), key=str) == whole
     many = [(n, f"text {n % 700}") for n in range(1500)]
     found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(table(spark, many), max_filter_bits=2**15, bits_per_row=100).collect()}
     sizes = {k: len([n for n in range(1500) if n % 700 == k]) for k in range(700)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import token_counts as tc
 from quillmark.llm.ann_search import nearest
-from quillmark.llm.byte_bpe import Merger, decode_ids, encode_documents, merge_words, rank_slots, read_ranks
+from quillmark.llm.byte_bpe import Merger, count_pattern_words, decode_ids, encode_documents, fold_vocabulary, merge_words, rank_slots, read_ranks
 from quillmark.llm.language_id import fit, held_out, identify, predict
 from quillmark.llm.mixing import budgets, mix
 
@@ -228,3 +228,76 @@ def test_mixing(spark):
     assert abs(sum(r.selected_tokens for r in found) - total * 60 // 100) <= 3
     assert all(0 <= r.extra_tokens <= r.n_tokens for r in found) and {r.lang for r in found} == {"a", "b", "(none)"}
     assert mix(docs.limit(0), ["lang"], {}).count() == 0
+
+
+def brute_leaf(rows, leaf, epochs, rest, seed=17):
+    """(extra_tokens by row) of one leaf: rows in the order of their draws, until ``rest`` is used up."""
+    draw = lambda r: hashlib.md5("-".join([str(seed), str(epochs), "" if r[0] is None else str(r[0])]).encode()).hexdigest()
+    out = []
+    for r in sorted(rows, key=lambda r: (draw(r), -1 if r[0] is None else r[0], r[1])):
+        out.append((r[0], r[1], max(min(r[1], rest), 0)))
+        rest -= out[-1][2]
+    return out
+
+
+@pytest.mark.parametrize("percent,most", [(35, 4), (90, 3), (250, 6), (300, 2)])
+def test_mixing_by_brute_force(spark, percent, most):
+    """Several epochs, leaves of thousands of rows, many rows of one draw in the slice where a pass ends."""
+    rng = random.Random(percent)
+    rows = [(n, rng.randint(0, 9), "ab"[n % 5 == 0]) for n in range(9000)] + [(4, 3, "a")] * 300 + [(4, 2, "a")] * 300 + [(None, 5, "b")] * 200
+    docs = spark.createDataFrame([(i, "w " * n, x) for i, n, x in rows], "doc_id long, text string, lang string")
+    found = mix(docs, ["lang"], {"lang": {"a": 1, "b": 2}}, budget_percent=percent, max_epochs=most).collect()
+    sizes = {x: sum(n for _, n, y in rows if y == x) for x in "ab"}
+    given = fill(sum(sizes.values()) * percent // 100, {x: most * s for x, s in sizes.items()}, {"a": 1, "b": 2})
+    for leaf in "ab":
+        epochs, rest = divmod(given[leaf], sizes[leaf])
+        wanted = Counter((i, n, epochs, extra, epochs * n + extra) for i, n, extra in brute_leaf([(i, n) for i, n, x in rows if x == leaf], leaf, epochs, rest))
+        assert Counter((r.doc_id, r.n_tokens, r.epochs, r.extra_tokens, r.selected_tokens) for r in found if r.lang == leaf) == wanted
+
+
+def test_very_long_texts(spark, library):
+    """Five megabytes in one text: encoded, decoded, counted and counted again after edits."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) for _ in range(900_000)) + " mail me@here.org " + "y" * 200_000
+    assert len(text.encode()) > 5_000_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    ids = np.array(library.encode_ordinary(text), "<u4")
+    one = encode_documents(docs, RANKS, P.PATTERN).where("doc_id = 1").first()
+    assert one.n_tokens == len(ids) and one.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and one.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    two = tc.recount(tc.redactions(tc.token_trees(docs, RANKS, P.PATTERN)), RANKS, P.PATTERN).where("doc_id = 1").first()
+    assert two.n_before == len(ids) and two.n_edits == 1 and two.tree[1] == len(library.encode_ordinary(two.text)) and two.n_encoded < 2000
+
+
+def test_words_are_folded_once(spark, library):
+    """The commonest words by higher-order functions, the others in place: the same ids, whatever the table holds."""
+    rows = [(n, t) for n, t in enumerate([*ODD, "common common common rare", "the cat, the hat; the 123 mat\n", "\u00fcber " * 5])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, word string")
+    counted = {r.word: r.n for r in count_pattern_words(docs, P.PATTERN, held=3).collect()}
+    cut = regex.compile(P.PATTERN).findall
+    assert counted == {w: n for w, n in Counter(x for _, t in rows for x in cut(t or "")).items() if len(w) <= 40}
+    found = fold_vocabulary(count_pattern_words(docs, P.PATTERN), RANKS, 50)
+    assert len(found) == 50 and all(np.frombuffer(ids, "<u4").tolist() == library._encode_single_piece(w) for w, ids in found.items())
+    for most in (1, 7, 1000):
+        for r in encode_documents(docs, RANKS, P.PATTERN, vocabulary_words=most).collect():
+            ids = np.array(library.encode_ordinary(dict(rows)[r.doc_id] or ""), "<u4")
+            assert r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+
+
+def test_languages_of_odd_rows(spark):
+    """Ties go to the first name, repeated rows and rows without an id get a prediction each, too many labels are an error."""
+    rows = [(n, "qqq qqq", x) for n, x in enumerate(["zz", "aa", "mm"] * 4)] + [(1, "qqq qqq", "aa"), (1, "qqq qqq", "aa"), (None, "qqq", "aa"), (None, None, "aa"), (90, "qqq", None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string, lang_pred string")
+    found = identify(docs).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found} == {"aa", "und"} and sum(r.lang_pred == "und" for r in found) == 1
+    assert sum(r.doc_id is None for r in found) == 2 and not any(r.held_out for r in found if r.doc_id is None)
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        fit(docs, most_languages=2)
+    many = spark.createDataFrame([(n, f"w{chr(0x4E00 + n)}{chr(0x4E00 + n)}", f"l{n:03d}") for n in range(150)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang_pred) for r in predict(many, fit(many)).collect()} == {(n, f"l{n:03d}") for n in range(150)}
+
+
+def test_redactions_replace_their_column(spark):
+    trees = tc.token_trees(spark.createDataFrame([(1, "a@b.cc"), (2, None)], "doc_id long, text string"), RANKS, P.PATTERN).withColumn("edits", F.lit("old")).withColumn("mark", F.lit(9))
+    found = tc.redactions(trees).orderBy("doc_id").collect()
+    assert [len(r.edits) for r in found] == [1, 0] and found[0].mark == 9

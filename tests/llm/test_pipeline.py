@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 def plain(rows):
@@ -105,3 +105,28 @@ def test_rejected_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mixed = docs.select(*cp.COLUMNS).union(docs.limit(1).select(F.lit(9999).cast("long"), F.lit("13 !!"), "lang", "source", "n_chars"))
     assert cp.identify_language(spark, mixed, SF).where("doc_id = 9999").count() == 0
+
+
+def test_scopes_delete_their_own_tables(spark):
+    from quillmark.llm import shared
+
+    outer = shared.stored(spark.range(3), "outer")
+    with shared.scope(spark):
+        inner = shared.stored(spark.range(4), "inner")
+        kept = shared.keep(shared.stored(inner, "kept"))
+        with shared.scope(spark):
+            shared.stored(inner, "deep")
+    there = {p.rsplit("/", 1)[1].split("-")[1] for p in shared._written}
+    assert {"outer", "kept"} <= there and not {"inner", "deep"} & there
+    assert kept.count() == 4 and outer.count() == 3
+    shared.discard(kept)
+    shared.discard(outer)
+
+
+def test_a_run_leaves_one_table_behind(spark):
+    from quillmark.llm import shared
+
+    before = set(shared._written)
+    assert cp.run(spark, SF).count() > 0
+    left = {p.rsplit("/", 1)[1].split("-")[1] for p in shared._written - before}
+    assert "mixing" in left and not left & {"language_id", "line_templates", "jaccard_join"}
