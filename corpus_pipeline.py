@@ -16,7 +16,7 @@ from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.language_id import fit, held_out, predict
 from quillmark.llm.line_templates import line_dedup
 from quillmark.llm.mixing import mix
-from quillmark.llm.shared import stored
+from quillmark.llm.shared import discard, keep, scope, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays when at least this share of its letter trigrams, less what chance gives, belongs to its language.
@@ -95,8 +95,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. Once a stage is written, its input and its inner tables are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
