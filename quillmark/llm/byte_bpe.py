@@ -26,7 +26,7 @@ from .shared import shuffle_parts, stored
 #: Rare words remembered by one Python worker; the memory is emptied when full, so it stays bounded.
 MEMORY_WORDS = 200_000
 #: Commonest words that are folded once and sent to the tasks, and the letters that they have at most.
-VOCABULARY_WORDS, VOCABULARY_LETTERS = 100_000, 40
+VOCABULARY_WORDS, VOCABULARY_LETTERS = 20_000, 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,8 +172,9 @@ def fold_vocabulary(words: DataFrame, ranks_path: str, most: int = VOCABULARY_WO
     """Packed ids of the ``most`` commonest words (ties: by word), each folded once by :func:`merge_words`."""
     spark = words.sparkSession
     chosen = stored(words.orderBy(F.desc("n"), "word").limit(most).select("word"), "vocabulary")
-    slots = rank_slots(spark, ranks_path).scalar()
-    folded = chosen.repartition(shuffle_parts(spark), "word").select("word", merge_words(F.col("word").cast("binary"), slots).alias("ids"))
+    slots = F.broadcast(rank_slots(spark, ranks_path).withColumn("one", F.lit(1)))  # one row
+    dealt = chosen.repartition(shuffle_parts(spark), "word").withColumn("one", F.lit(1)).join(slots, "one")
+    folded = dealt.select("word", merge_words(F.col("word").cast("binary"), F.col("slots")).alias("ids"))
     return {r.word: b"".join(i.to_bytes(4, "little") for i in r.ids) for r in folded.collect()}  # at most ``most`` words
 
 
