@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders written by :func:`written` in this process that are not deleted yet.
+_written: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -29,4 +33,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     and a lost executor costs the tasks at hand."""
     path = f"{scratch_root(df.sparkSession)}/quillmark-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that :func:`written` has left, and say how many; call it when results are written or collected."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

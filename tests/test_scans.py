@@ -81,3 +81,59 @@ def test_as_of_join(spark, bucket):
     with pytest.raises(ValueError):
         asof_join(e, h, ["k"], "t", "since", how="outer")
     assert asof_join(e, h.select("k", "since"), ["k"], "t", "since", bucket).where(F.col("since") > F.col("t")).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from quillmark import scratch
+
+    kept = scratch.written(spark.range(5), "x")
+    assert kept.count() == 5 and scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+
+
+@pytest.mark.parametrize("most,bins", [(10_000, 1024), (4, 8)])
+def test_ranks_and_medians(spark, most, bins):
+    from quillmark.functions.statistics import spearman
+    from quillmark.operators.ranks import medians, spearman_large, value_ranks
+
+    rng = np.random.default_rng(most)
+    rows = [(g, float(v), float(w)) for g, n in (("a", 60), ("b", 33), (None, 10), ("one", 1)) for v, w in zip(rng.choice([0.0, -1.5, 2.0, 1e300, -1e-300, 7.25, 3.5], n), rng.normal(size=n), strict=True)] + [("a", None, 1.0), ("a", float("nan"), 1.0)]
+    table = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    by = {}
+    for g, v, w in rows:
+        if v is not None and v == v:
+            by.setdefault(g, []).append((v, w))
+    for k, name in enumerate(("v", "w")):
+        found = {r.g: r.median for r in medians(table.where("v IS NOT NULL AND NOT isnan(v)"), ["g"], name, most, bins).collect()}
+        assert found == pytest.approx({g: float(np.median([x[k] for x in xs])) for g, xs in by.items()}, rel=1e-12)
+    clean = table.where("NOT isnan(v)")
+    ranks = {(r.g, r.v): r["rank"] for r in value_ranks(clean, ["g"], "v").collect()}
+    for g, xs in by.items():
+        wanted = pd.Series([x[0] for x in xs]).rank()
+        assert all(ranks[g, x[0]] == r for x, r in zip(xs, wanted, strict=True))
+    large, small = ({r.g: r.information_coefficient for r in f(table, ["g"], "v", "w").collect()} for f in (spearman_large, spearman))
+    assert large == pytest.approx(small, abs=1e-12)
+    assert medians(table.limit(0), ["g"], "v").count() == 0
+
+
+def test_features_that_go_with_the_target(spark):
+    from quillmark.functions.features import TARGET
+    from quillmark.operators.gram import digitized, feature_correlations, quantile_edges, top_features
+
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=300)
+    x = np.c_[y + rng.normal(size=300), rng.normal(size=300), np.full(300, 2.5)]
+    data = spark.createDataFrame([("s", dt.date(2024, 1, 1) + dt.timedelta(days=n), n, 300, *map(float, x[n]), float(y[n])) for n in range(300)], f"symbol string, date date, pos int, n_pos long, a double, b double, c double, {TARGET} double")
+    for expanding in (True, False):
+        found = {(r.fold, r.feature): r.correlation for r in feature_correlations(data, ["a", "b", "c"], 100, 50, expanding=expanding).collect()}
+        assert {f for f, _ in found} == {0, 1, 2, 3}
+        for fold, name in found:
+            part = slice(0 if expanding else 50 * fold, 100 + 50 * fold)
+            wanted = 0.0 if name == "c" else np.corrcoef(x[part, "abc".index(name)], y[part])[0, 1]
+            assert found[fold, name] == pytest.approx(wanted, abs=1e-9)
+    assert {r.feature for r in top_features(feature_correlations(data, ["a", "b", "c"], 100, 50), 1).collect()} == {"a"}
+    edges = quantile_edges(data, ["a", "c"], 4)
+    bins = {(r.date, r.feature): r.bin for r in digitized(data, edges, ["a", "c"]).collect()}
+    wanted = np.digitize(x[:, 0], np.quantile(x[:, 0], [0.25, 0.5, 0.75]))
+    assert [bins[dt.date(2024, 1, 1) + dt.timedelta(days=n), "a"] for n in range(300)] == wanted.tolist() and {b for (_, f), b in bins.items() if f == "c"} == {3}
+    about = quantile_edges(data, ["a"], 4, accuracy=1000).first().edges
+    assert all(abs((x[:, 0] <= e).mean() - s) < 0.01 for e, s in zip(about, (0.25, 0.5, 0.75), strict=True))
