@@ -183,20 +183,19 @@ def rate_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of the rates of the ledger's models, hundreds each, from parts: model_id, since, version, rate_in, rate_out.
-    Some begin at one time."""
+    """Versions of the rates of the ledger's models, hundreds each, from parts: model_id, since, version, rate (a whole number
+    for each token read; one written costs five times as much). Some begin at one time."""
     part = F.col("p_partkey")
     names = F.array(*[F.lit(m) for m in HISTORY_MODELS])
     minute = (part * 7919 % 43_200).cast("long")
-    return table(spark, sf_dir, "part").select(F.get(names, (part % len(HISTORY_MODELS)).cast("int")).alias("model_id"), F.timestamp_seconds(F.lit(HISTORY_START) + minute * 60).alias("since"), part.alias("version"), (F.col("p_retailprice") / 100).alias("rate_in"), (F.col("p_retailprice") / 20).alias("rate_out"))
+    return table(spark, sf_dir, "part").select(F.get(names, (part % len(HISTORY_MODELS)).cast("int")).alias("model_id"), F.timestamp_seconds(F.lit(HISTORY_START) + minute * 60).alias("since"), part.alias("version"), F.round(F.col("p_retailprice") * 100).cast("long").alias("rate"))
 
 
 def rates_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call at the rates in force when it was made; calls before a model's first version have none."""
     calls = normalize_model(usage_ledger(spark, sf_dir), rate_table(spark)).withColumnRenamed("model_key", "model_id")
     met = asof_join(calls, rate_history(spark, sf_dir), ["model_id"], "ts_utc", "since", how="left")
-    cost = (F.col("input_tokens") * F.col("rate_in") + F.col("output_tokens") * F.col("rate_out")) / 1_000_000
-    return _rounded(met.select("event_id", "model_id", "version", cost.alias("cost")), 5)
+    return met.select("event_id", "model_id", "version", (F.col("rate") * (F.col("input_tokens") + 5 * F.col("output_tokens"))).alias("cost_units"))
 
 
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,6 +387,6 @@ SELECT 'c' || conv_id AS request_id, input_tokens, output_tokens::BIGINT AS outp
 h AS (
   SELECT ['{"', '".join(HISTORY_MODELS)}'][p_partkey % {len(HISTORY_MODELS)} + 1] AS model_id, TIMESTAMP '2024-01-02' + to_minutes((p_partkey * 7919 % 43200)::BIGINT) AS since, max(p_partkey) AS version, arg_max(p_retailprice, p_partkey) AS price
   FROM part GROUP BY ALL)
-SELECT event_id, n.model_id, version, round((input_tokens * (price / 100) + output_tokens * (price / 20)) / 1000000, 5) AS cost
+SELECT event_id, n.model_id, version, round(price * 100)::BIGINT * (input_tokens + 5 * output_tokens) AS cost_units
 FROM named n ASOF LEFT JOIN h ON n.model_id = h.model_id AND n.called_at >= h.since""",
 }
