@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.byte_bpe import encode_documents
 from quillmark.llm.catalog import MIX_LEVELS, MIX_WEIGHTS, PATTERN, RANKS, with_domain
+from quillmark.llm.exact_dedup import with_maybe
 from quillmark.llm.jaccard_join import jaccard_components
 from quillmark.llm.language_id import fit, held_out, predict
 from quillmark.llm.line_templates import line_dedup
@@ -41,10 +42,12 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     ``n_chars`` is counted anew where lines went. Null and empty texts pass.
     """
-    found = line_dedup(docs, depth=4, min_documents=10, carry=COLUMNS)
+    # of a text that is kept as it was, all but whether it was null is in ``kept``: no text travels twice
+    marked = docs.withColumn("no_text", F.col("text").isNull())
+    found = line_dedup(marked, depth=4, min_documents=10, carry=["lang", "source", "n_chars", "no_text"])
     left = (F.col("n_dropped") == 0) | F.col("kept").rlike("[^\\x20\\x09-\\x0D]")
     changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("carried.text"))
+    text = F.when(~F.col("carried.no_text"), F.col("kept"))
     n_chars = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("carried.n_chars"))
     return found.where(left).select("doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
@@ -62,12 +65,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     judged = rows.join(best, "component").withColumn("stays", F.struct("doc_id", "text_key") == F.col("best"))
     odd = stored(judged.where("NOT stays OR n > 1").select("doc_id", "text_key", "stays"), "judged")
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    whole = keyed.join(odd, ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
+    screened = with_maybe(keyed, odd, ["doc_id", "text_key"])
+    maybe = screened.where("maybe")  # only their texts are shuffled
+    whole = screened.where("NOT maybe").select(*COLUMNS).unionByName(maybe.join(odd, ["doc_id", "text_key"], "left_anti").select(*COLUMNS))
     twins = odd.where("stays").select("doc_id", "text_key")
     if twins.isEmpty():
         return whole
     order = Window.partitionBy("doc_id", "text_key").orderBy("lang", "source", "n_chars")
-    first = keyed.join(twins, ["doc_id", "text_key"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    first = maybe.join(twins, ["doc_id", "text_key"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return whole.unionByName(first.select(*COLUMNS))
 
 

@@ -12,6 +12,8 @@ Everything is built from DataFrame functions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,22 @@ def _probe(bits: str, position: str) -> Column:
     return F.expr(f"coalesce(getbit(cast(conv(hex(substring({bits}, {position} div 8 + 1, 1)), 16, 10) as int), {position} % 8) = 1, false)")
 
 
+def with_maybe(rows: DataFrame, keys: DataFrame, on: Sequence[str], bits_per_key: int = 16, max_filter_bits: int = 2**29) -> DataFrame:
+    """``rows`` with a column ``maybe``: false where the values of ``on`` are certainly not in ``keys``, so that only the other
+    rows need to meet them. ``keys`` is read twice.
+
+    Each key sets two bits of one block bitmap. The bitmaps are broadcast, at most ``max_filter_bits`` / 8 bytes; with more keys
+    than these serve, more rows are true.
+    """
+    blocks = max(1, min(keys.count() * bits_per_key, max_filter_bits) // BLOCK_BITS)
+    first, second = F.xxhash64(*on), F.xxhash64(*on, F.lit(7))
+    places = {"_block": F.pmod(first, F.lit(blocks)), "_a": F.pmod(second, F.lit(BLOCK_BITS)).cast("int"), "_b": F.pmod(F.shiftrightunsigned(second, 30), F.lit(BLOCK_BITS)).cast("int")}
+    bits = keys.withColumns(places).select("_block", F.explode(F.array("_a", "_b")).alias("_bit"))
+    bitmaps = bits.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("_bits"))
+    probed = rows.withColumns(places).join(F.broadcast(bitmaps), "_block", "left")
+    return probed.select(*[F.col(c) for c in rows.columns], (_probe("_bits", "_a") & _probe("_bits", "_b")).alias("maybe"))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and SHA-256 of the normalised text of every row; a null text counts as empty."""
     normal = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))

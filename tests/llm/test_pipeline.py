@@ -130,3 +130,37 @@ def test_a_run_leaves_one_table_behind(spark):
     assert cp.run(spark, SF).count() > 0
     left = {p.rsplit("/", 1)[1].split("-")[1] for p in shared._written - before}
     assert "mixing" in left and not left & {"language_id", "line_templates", "jaccard_join"}
+
+
+def test_texts_are_shuffled_once_and_only_where_they_may_go(spark, monkeypatch):
+    carried = []
+    dedup = cp.line_dedup
+    monkeypatch.setattr(cp, "line_dedup", lambda *a, **k: carried.extend(k["carry"]) or dedup(*a, **k))
+    docs = spark.createDataFrame([(i, f"text of {i} " + " ".join(f"{i}w{j}" for j in range(40)), "en", "src0", 5) for i in range(400)] + [(1000, "text of 7 " + " ".join(f"7w{j}" for j in range(40)), "en", "src0", 5), (1001, None, "en", "src0", 0), (1002, "", "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert plain(cp.drop_template_lines(spark, docs, SF).where("doc_id > 1000").collect()) == plain(docs.where("doc_id > 1000").collect())
+    assert "text" not in carried
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cp.drop_near_copies(spark, docs, SF)
+        kept = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plain(kept) == plain([r for r in docs.collect() if r.doc_id != 1000])
+    assert "getbit" in plan.split("LeftAnti", 1)[1]  # rows that are certainly kept do not meet the join
+
+
+def test_maybe_is_true_for_every_key(spark):
+    from quillmark.llm.exact_dedup import with_maybe
+
+    rows = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"), F.lit("x").alias("other"))
+    keys = rows.where("a % 50 = 3").select("a", "b")
+    found = with_maybe(rows, keys, ["a", "b"])
+    assert found.columns == ["a", "b", "other", "maybe"]
+    assert found.where("maybe").join(keys, ["a", "b"]).count() == 400 and found.count() == 20_000
+    assert found.where("maybe").count() < 1_500
+    assert with_maybe(rows, keys.limit(0), ["a", "b"]).where("maybe").count() == 0
+    # a filter too small for its keys lets more rows pass, and no key is lost
+    small = with_maybe(rows, rows.select("a", "b"), ["a", "b"], max_filter_bits=1)
+    assert small.where("maybe").count() == 20_000
