@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.scans import affine_scan, ewm_steps
+from quillmark.functions.scans import STEPS, affine_scan, block_of, ewm_steps
 
 FEATURES = (
     [f"ret_lag_{k}" for k in (1, 2, 3, 5, 10)]
@@ -29,9 +29,14 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def rolling(x: Column, k: int, what: str) -> Column:
+def by_block():
+    """The same order, which also sorts each symbol's blocks of days (``_block``): steps in a block need no sort of their own."""
+    return Window.partitionBy("symbol").orderBy("_block", "date")
+
+
+def rolling(x: Column, k: int, what: str, days=None) -> Column:
     """mean, std (of a sample), min or max of the last ``k`` days; null unless all ``k`` are there."""
-    frame = by_day().rowsBetween(1 - k, 0)
+    frame = (days or by_day()).rowsBetween(1 - k, 0)
     function = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[what]
     return F.when(F.count(x).over(frame) == k, function(x).over(frame))
 
@@ -46,69 +51,74 @@ SMOOTH = {"avg_gain": ("gain", 1 / 14, 14), "avg_loss": ("loss", 1 / 14, 14), "a
 NEEDS = {"rsi_14": ("avg_gain", "avg_loss"), "atr_14": ("atr",), "macd": ("ema_12", "ema_26"), "macd_hist": ("ema_12", "ema_26", "macd_signal")}
 
 
-def smoothed(df: DataFrame, names: list[str]) -> DataFrame:
+def smoothed(df: DataFrame, names: list[str], parts: int | None = None) -> DataFrame:
     """``df`` with exponentially weighted means, y = (1 - alpha) y + alpha x, scanned block by block: see
-    :func:`quillmark.functions.scans.affine_scan`."""
+    :func:`quillmark.functions.scans.affine_scan`. ``df`` has the numbers of blocks in ``_block``."""
     rounds = [[n for n in names if n != "macd_signal"], [n for n in names if n == "macd_signal"]]
     kept = df.columns
     for chosen in filter(None, rounds):
         if chosen == ["macd_signal"]:
             df = df.withColumn("macd", (F.col("ema_12") - F.col("ema_26")) / F.col("c"))
-        parts: dict[str, Column] = {}
+        steps: dict[str, Column] = {}
         for name in chosen:
             source, alpha, _ = SMOOTH[name]
-            parts |= dict(zip((f"a__{name}", f"b__{name}", f"n__{name}"), ewm_steps(source, alpha, ["symbol"], "bar_pos"), strict=True))
-        found = affine_scan(df.withColumns(parts), ["symbol"], "bar_pos", {f"y__{n}": (f"a__{n}", f"b__{n}") for n in chosen})
+            steps |= dict(zip((f"a__{name}", f"b__{name}", f"n__{name}"), ewm_steps(source, alpha, ["symbol"], "bar_pos", ["_block", "date"]), strict=True))
+        found = affine_scan(df.withColumns(steps), ["symbol"], "date", {f"y__{n}": (f"a__{n}", f"b__{n}") for n in chosen}, blocks="_block", parts=parts)
         kept = [*kept, *chosen]
         enough = [F.when(F.col(f"n__{n}") >= max(SMOOTH[n][2], 1), F.col(f"y__{n}")).alias(n) for n in chosen]
         df = found.select(*[c for c in kept if c not in chosen], *enough)
     return df
 
 
-def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1, columns: list[str] | None = None) -> DataFrame:
+def features(bars: DataFrame, price_column: str = "adj_close", horizon: int = 1, columns: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """symbol, date, the day's number ``bar_pos`` from 0, and ``columns``: by default the 26 features and the target
     ``horizon`` days ahead.
 
     All windows share one partitioning and one sort by symbol and day. The smoothed features are scanned by blocks of days,
-    and only where they are asked for. Nothing leaves the JVM.
+    and only where they are asked for. Nothing leaves the JVM. ``parts`` is the number of tasks that symbols are dealt to, for
+    tables of many symbols; by default Spark's settings decide.
     """
     if horizon < 1:
         raise ValueError("horizon is at least 1")
     wanted = list(columns or [*FEATURES, TARGET])
     c = F.col("c")
-    base = bars.select("symbol", "date", F.col(price_column).alias("c"), "high", "low", "close", "volume")
-    lagged = base.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(by_day())), "change": c - F.lag(c).over(by_day()), "close_before": F.lag("close").over(by_day()), "v": zero_null(F.col("volume")), "bar_pos": F.row_number().over(by_day()) - 1})
+    means = [m for m in SMOOTH if any(m in NEEDS.get(f, ()) for f in wanted)]
+    days = by_block() if means else by_day()
+    block = [block_of(F.col("date"), dict(bars.dtypes)["date"], STEPS).alias("_block")] if means else []
+    base = bars.select("symbol", "date", *block, F.col(price_column).alias("c"), "high", "low", "close", "volume")
+    if parts:
+        base = base.repartition(parts, "symbol")
+    lagged = base.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(days)), "change": c - F.lag(c).over(days), "close_before": F.lag("close").over(days), "v": zero_null(F.col("volume")), "bar_pos": F.row_number().over(days) - 1})
     r, v = F.col("r"), F.col("v")
-    out: dict[str, Column] = {f"ret_lag_{k}": F.lag(r, k - 1).over(by_day()) if k > 1 else r for k in (1, 2, 3, 5, 10)}
+    out: dict[str, Column] = {f"ret_lag_{k}": F.lag(r, k - 1).over(days) if k > 1 else r for k in (1, 2, 3, 5, 10)}
     for k in (5, 10, 21, 63):
-        out[f"momentum_{k}"] = F.ln(c / F.lag(c, k).over(by_day())) / zero_null(rolling(r, k, "std") * math.sqrt(k))
-    out |= {"vol_5": rolling(r, 5, "std"), "vol_21": rolling(r, 21, "std"), "vol_ratio": rolling(r, 5, "std") / zero_null(rolling(r, 21, "std"))}
+        out[f"momentum_{k}"] = F.ln(c / F.lag(c, k).over(days)) / zero_null(rolling(r, k, "std", days) * math.sqrt(k))
+    out |= {"vol_5": rolling(r, 5, "std", days), "vol_21": rolling(r, 21, "std", days), "vol_ratio": rolling(r, 5, "std", days) / zero_null(rolling(r, 21, "std", days))}
     for k in (10, 21, 63):
-        out[f"ma_gap_{k}"] = (c - rolling(c, k, "mean")) / zero_null(rolling(c, k, "std"))
-    low, high = rolling(F.col("low"), 252, "min"), rolling(F.col("high"), 252, "max")
+        out[f"ma_gap_{k}"] = (c - rolling(c, k, "mean", days)) / zero_null(rolling(c, k, "std", days))
+    low, high = rolling(F.col("low"), 252, "min", days), rolling(F.col("high"), 252, "max", days)
     out["range_position_252"] = (c - low) / zero_null(high - low)
     spread = F.col("high") - F.col("low")
     out["intraday_range"] = spread / c
     out["close_location"] = F.coalesce((F.col("close") - F.col("low")) / zero_null(spread), F.lit(0.5))
     lv = F.ln(v)
-    out["volume_z_21"] = (lv - rolling(lv, 21, "mean")) / zero_null(rolling(lv, 21, "std"))
-    out["volume_trend"] = F.ln(rolling(v, 5, "mean") / zero_null(rolling(v, 21, "mean")))
+    out["volume_z_21"] = (lv - rolling(lv, 21, "mean", days)) / zero_null(rolling(lv, 21, "std", days))
+    out["volume_trend"] = F.ln(rolling(v, 5, "mean", days) / zero_null(rolling(v, 21, "mean", days)))
     angle = 2 * math.pi * F.weekday("date") / 5.0
     out |= {"dow_sin": F.sin(angle), "dow_cos": F.cos(angle)}
-    out[TARGET] = F.ln(F.lead(c, horizon).over(by_day()) / c)
+    out[TARGET] = F.ln(F.lead(c, horizon).over(days) / c)
     smooth_in = {
         "gain": F.when(F.col("change").isNotNull(), F.greatest("change", F.lit(0.0))),
         "loss": F.when(F.col("change").isNotNull(), F.greatest(-F.col("change"), F.lit(0.0))),
         "true_range": F.greatest(spread, F.abs(F.col("high") - F.col("close_before")), F.abs(F.col("low") - F.col("close_before"))),
         "c": c,
     }
-    means = [m for m in SMOOTH if any(m in NEEDS.get(f, ()) for f in wanted)]
-    table = lagged.select("symbol", "date", "bar_pos", *[x.alias(n) for n, x in out.items() if n in wanted], *([smooth_in[n].alias(n) for n in smooth_in if n == "c" or any(SMOOTH[m][0] == n for m in means)] if means else []))
+    table = lagged.select("symbol", "date", "bar_pos", *["_block" for _ in block], *[x.alias(n) for n, x in out.items() if n in wanted], *([smooth_in[n].alias(n) for n in smooth_in if n == "c" or any(SMOOTH[m][0] == n for m in means)] if means else []))
     if means:
         strength = F.col("avg_gain") / zero_null(F.col("avg_loss"))
         macd = (F.col("ema_12") - F.col("ema_26")) / c
         final = {"rsi_14": F.coalesce(100 - 100 / (1 + strength), F.lit(50.0)) / 100, "macd": macd, "macd_hist": macd - F.col("macd_signal"), "atr_14": F.col("atr") / c}
-        table = smoothed(table, means).withColumns({n: x for n, x in final.items() if n in wanted})
+        table = smoothed(table, means, parts).withColumns({n: x for n, x in final.items() if n in wanted})
     return table.select("symbol", "date", "bar_pos", *[finite(F.col(f)).alias(f) for f in wanted])
 
 

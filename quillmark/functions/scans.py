@@ -7,6 +7,8 @@ series may be anywhere; no task needs a whole series.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,19 @@ from pyspark.sql import functions as F
 BLOCK, STEPS = 256, 64
 
 
-def affine_scan(df: DataFrame, by: list[str], index: str, steps: dict[str, tuple[str, str]], block: int = STEPS) -> DataFrame:
+def affine_scan(df: DataFrame, by: list[str], index: str, steps: dict[str, tuple[str, str]], block: int = STEPS, blocks: str | None = None, parts: int | None = None) -> DataFrame:
     """``df`` with a column for each of ``steps``, name: (a, b), that holds y = a y + b after each row, from y = 0.
 
     ``index`` numbers the rows of each group of ``by`` from 0; no ``a`` is zero, and products of ``block`` of them stay
     within the range of doubles. In a block, the steps up to a row compose to the product of their ``a`` and that product
     times the sum of b / product so far. Each block hands on one pair; the pairs of earlier blocks give the state before it,
     which is joined back. Only the pairs of a group, one for each ``block`` rows, meet in one place.
+
+    ``blocks`` names a column that numbers blocks instead, by ranges of ``index``, which need not be a number then: rows that are
+    sorted by group, block and index need no other sort. The join goes to ``parts`` tasks if given.
     """
     names = list(steps)
-    rows = df.withColumn("_block", F.floor(F.col(index) / block).cast("long"))
+    rows = df.withColumn("_block", F.col(blocks) if blocks else F.floor(F.col(index) / block).cast("long"))
     running = Window.partitionBy(*by, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_a{k}": F.product(F.col(steps[n][0])).over(running) for k, n in enumerate(names)})
     rows = rows.withColumns({f"_b{k}": F.col(f"_a{k}") * F.sum(F.col(steps[n][1]) / F.col(f"_a{k}")).over(running) for k, n in enumerate(names)})
@@ -37,16 +42,24 @@ def affine_scan(df: DataFrame, by: list[str], index: str, steps: dict[str, tuple
 
     states = pairs.withColumn("_before", F.aggregate(F.collect_list("_pair").over(before), zero, after))
     there = states.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_block").alias("_at"), "_before.*")
-    met = rows.join(there, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_block") == F.col("_at")])
+    if parts:
+
+        def keys(of: str, at: str) -> list[Column]:
+            return [key for c in by for key in (F.coalesce(F.col(of + c).cast("string"), F.lit("")), F.isnull(of + c))] + [F.col(at)]
+
+        met = rows.repartition(parts, *keys("", "_block")).join(there.repartition(parts, *keys("_of_", "_at")), [a == b for a, b in zip(keys("", "_block"), keys("_of_", "_at"), strict=True)])
+    else:
+        met = rows.join(there, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_block") == F.col("_at")])
     return met.select(*df.columns, *[(F.col(f"_a{k}") * F.col(f"_y{k}") + F.col(f"_b{k}")).alias(n) for k, n in enumerate(names)])
 
 
-def ewm_steps(x: str, alpha: float, by: list[str], index: str) -> tuple[Column, Column, Column]:
+def ewm_steps(x: str, alpha: float, by: list[str], index: str, order: Sequence[str] = ()) -> tuple[Column, Column, Column]:
     """Pairs of an exponentially weighted mean of column ``x``, y = (1 - alpha) y + alpha x, and how many values so far.
 
     The first value is the first mean. A missing value keeps the mean, and what came before it weighs less afterwards.
+    ``order`` names columns that give the order of ``index``, where rows are sorted by them already.
     """
-    order = Window.partitionBy(*by).orderBy(index)
+    order = Window.partitionBy(*by).orderBy(*(order or [index]))
     seen = F.count(x).over(order.rowsBetween(Window.unboundedPreceding, 0))
     last = F.max(F.when(F.col(x).isNotNull(), F.col(index))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     old = F.pow(F.lit(1 - alpha), F.col(index) - last)

@@ -23,10 +23,14 @@ TRAIN, TEST = 500, 126
 KEYS = ["symbol", "model"]
 
 
-def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+#: Trades of a task where there are many series.
+TASK_ROWS = 250_000
+
+
+def bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag", parts: int | None = None) -> DataFrame:
     """Daily bars by return flag (or another column): price is the extended price a piece."""
     trades = table(spark, sf_dir, "lineitem").withColumn("_symbol", F.col(symbol).cast("string"))
-    return bars_from_trades(trades, "_symbol", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity", ["l_orderkey", "l_linenumber"])
+    return bars_from_trades(trades, "_symbol", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity", ["l_orderkey", "l_linenumber"], parts)
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -62,9 +66,13 @@ def _features(*names: str, places: int = 6):
 
 
 def supplier_features(spark, sf_dir):
-    """Features of one series a supplier: as many groups as there are suppliers."""
+    """Features of one series a supplier: as many groups as there are suppliers.
+
+    The number of tasks grows with the table (its footers tell its rows), so that a task's memory does not.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
     names = ["ret_lag_1", "momentum_5", "vol_5", "ma_gap_10", "rsi_14", TARGET]
-    return _rounded(features(bars(spark, sf_dir, "l_suppkey"), columns=names).select("symbol", "date", *names))
+    return _rounded(features(bars(spark, sf_dir, "l_suppkey", parts), columns=names, parts=parts).select("symbol", "date", *names))
 
 
 def complete_dataset(spark, sf_dir):

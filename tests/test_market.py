@@ -282,3 +282,37 @@ def test_evaluation_text_counts_all_rows(spark):
     text = evaluation_text(rows, rows, False)
     assert "verdict: 250 forecasts better than chance, 240 strategies" in text
     assert "(50 more forecasts)" in text and "(50 more strategies)" in text
+
+
+def test_supplier_features_sort_once_a_step_and_deal_by_rows(spark, monkeypatch):
+    from quillmark.plans import market_queries as mq
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    few = mq.supplier_features(spark, SF)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=false" in plan
+    # trades by symbol and day, bars by symbol, then both sides of the join: one sort each, however many windows there are
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("+- Sort [") + plan.count(":- Sort [") == 6
+    monkeypatch.setattr(mq, "TASK_ROWS", 250)
+    many = mq.supplier_features(spark, SF)
+    trades = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert f", {-(-trades // 250)}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    key = lambda r: (r.symbol, r.date)
+    assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_scan_by_given_blocks_and_parts_keeps_a_null_group(spark):
+    from quillmark.functions.scans import affine_scan
+
+    rows = [(g, n, 0.5 + (n % 3) / 10, float(n)) for g in ("x", "", None) for n in range(50)]
+    table = spark.createDataFrame(rows, "g string, n int, a double, b double").withColumn("_block", F.floor(F.col("n") / 7).cast("long"))
+    found = affine_scan(table, ["g"], "n", {"y": ("a", "b")}, blocks="_block", parts=5)
+    assert found.rdd.getNumPartitions() == 5
+    y = {g: 0.0 for g in ("x", "", None)}
+    got = sorted(found.collect(), key=lambda r: r.n)
+    assert len(got) == 150
+    for r in got:
+        y[r.g] = r.a * y[r.g] + r.b
+        assert abs(r.y - y[r.g]) < 1e-9
