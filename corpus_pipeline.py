@@ -66,8 +66,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     odd = stored(judged.where("NOT stays OR n > 1").select("doc_id", "text_key", "stays"), "judged")
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     screened = with_maybe(keyed, odd, ["doc_id", "text_key"])
-    maybe = screened.where("maybe")  # only their texts are shuffled
-    whole = screened.where("NOT maybe").select(*COLUMNS).unionByName(maybe.join(odd, ["doc_id", "text_key"], "left_anti").select(*COLUMNS))
+    maybe = screened.where("maybe")  # only their texts are shuffled, and the keys are hashed, so that no text is sorted
+    whole = screened.where("NOT maybe").select(*COLUMNS).unionByName(maybe.join(odd.hint("shuffle_hash"), ["doc_id", "text_key"], "left_anti").select(*COLUMNS))
     twins = odd.where("stays").select("doc_id", "text_key")
     if twins.isEmpty():
         return whole
