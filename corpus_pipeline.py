@@ -7,6 +7,8 @@ repeat, each row has its own fate.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from quillmark.llm.language_id import fit, held_out, predict
 from quillmark.llm.line_templates import line_dedup
 from quillmark.llm.mixing import mix
 from quillmark.llm.shared import discard, keep, scope, stored
+from quillmark.session import configure
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays when at least this share of its letter trigrams, less what chance gives, belongs to its language.
@@ -25,6 +28,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.2
 
 
+def _configured(stage):
+    """A stage that also has the library's settings (zones, batches of bounded size) where it is run by itself."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run
+
+
+@_configured
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; a missing label is filled in.
 
@@ -37,6 +51,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
+@_configured
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; one of nothing but such lines goes.
 
@@ -52,6 +67,7 @@ def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.where(left).select("doc_id", text.alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
+@_configured
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id (and then the smallest hash of its text).
 
@@ -76,12 +92,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return whole.unionByName(first.select(*COLUMNS))
 
 
+@_configured
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that one pass at most of the target mixture takes; those without words are never taken."""
     chosen = mix(with_domain(docs), MIX_LEVELS, MIX_WEIGHTS, budget_percent=80, max_epochs=1, seed=17, carry=COLUMNS)
     return chosen.where("selected_tokens > 0").select(*[F.col(f"carried.{c}").alias(c) for c in COLUMNS])
 
 
+@_configured
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and digests of ids and decoded bytes."""
     return encode_documents(docs, RANKS, PATTERN, with_ids=True).drop("decoded")

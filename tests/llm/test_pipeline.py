@@ -164,3 +164,24 @@ def test_maybe_is_true_for_every_key(spark):
     # a filter too small for its keys lets more rows pass, and no key is lost
     small = with_maybe(rows, rows.select("a", "b"), ["a", "b"], max_filter_bits=1)
     assert small.where("maybe").count() == 20_000
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 4_000, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 1_000)).alias("text"))  # 20 MB
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    docs = spark.createDataFrame([(1, "of the and to in", "en", "src0", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for name, stage in cp.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, SF)  # by itself, on a session that was made elsewhere
+            found = texts.mapInArrow(sizes, "n long, size long").agg(F.sum("n"), F.max("size")).first()
+            assert found[0] == 4_000 and found[1] < 5_000_000, name
+    finally:
+        spark.conf.set(key, before)
