@@ -102,7 +102,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_configured
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and digests of ids and decoded bytes."""
-    return encode_documents(docs, RANKS, PATTERN, with_ids=True).drop("decoded")
+    return encode_documents(docs, RANKS, PATTERN, with_ids=True, with_decoded=False)
 
 
 STAGES = [

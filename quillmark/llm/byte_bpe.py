@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Words remembered by one Python worker; the memory is emptied when full, so it stays bounded.
 MEMORY_WORDS = 300_000
+#: Bytes of ids and decoded texts that leave a task together; a batch of texts comes to several times its size as Python objects.
+OUT_BYTES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,16 +132,20 @@ class Merger:
         return b"".join(out)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and with ``with_ids`` the ids and the decoded bytes.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and with ``with_ids`` the ids and the decoded bytes; these
+    only with ``with_decoded`` where that is given.
 
     A null or empty text has no ids; its digests are those of no bytes. Rows with repeated or null ids are encoded like
     any other. A text is encoded whole, however long. An empty table gives an empty result; other columns are not read.
     """
-    exact, first = library_classes(pattern)
+    exact, first_unsure = library_classes(pattern)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary file
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded binary" * with_decoded
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * (with_ids + with_decoded)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
@@ -146,20 +154,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
         # texts without a character that the engines see differently take the plain, faster pattern
         plain, careful, merge = regex.compile(pattern).findall, regex.compile(exact, regex.V1).findall, Merger(ranks.value)
-        unsure = re.compile(f"[\\U{min(first, 0x10FFFF):08x}-\U0010ffff]").search
+        unsure = re.compile(f"[\\U{min(first_unsure, 0x10FFFF):08x}-\U0010ffff]").search
         pieces = np.empty(max(ranks.value.values()) + 1, object)
         for piece, rank in ranks.value.items():
             pieces[rank] = piece
+
+        def packed(ids, rows):
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(1):
+            first, size = 0, 0
+            for at, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 ids = merge((careful if unsure(text) else plain)(text))
                 decoded = b"".join(pieces[np.frombuffer(ids, "<u4")])
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids, decoded) if with_ids else ())))
-            columns = list(zip(*rows, strict=True)) or [()] * (3 + 2 * with_ids)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[f.split()[0] for f in schema.split(", ")])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *(ids,) * with_ids, *(decoded,) * with_decoded))
+                size += len(ids) * with_ids + len(decoded) * with_decoded
+                if size > OUT_BYTES:
+                    yield packed(batch.column(0).slice(first, len(rows)), rows)
+                    rows, first, size = [], at + 1, 0
+            if rows:
+                yield packed(batch.column(0).slice(first), rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, shuffle_parts, stored
+from .shared import discard, shuffle_parts, stored, tidy
 
 #: Links that a task contracts at once; more are contracted block by block, so a node may have any number of links.
 BLOCK = 1_000_000
@@ -36,6 +36,7 @@ def _contract(links: DataFrame, dealt: bool) -> DataFrame:
     one at v is told where its neighbour points, unless that is the neighbour.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .repeat_filter import may_repeat, members
-from .shared import discard, shuffle_parts, stored
+from .shared import discard, shuffle_parts, stored, tidy
 from .words import Hasher, mix, word_hashes
 
 #: Lists up to this length give all their pairs at once, less those that sizes and places in the order rule out.
@@ -42,6 +42,8 @@ OUTLINE, TILE = 256, 4096
 NEAREST = (16, 256, None)
 #: Tokens counted at once by a task when it looks for frequent ones.
 COUNTED = 3_000_000
+#: Index rows that leave a task together.
+INDEXED = 200_000
 
 
 def shingle_set(hashes, width: int):
@@ -61,6 +63,19 @@ def shingle_set(hashes, width: int):
     return out[np.r_[True, out[1:] != out[:-1]]]
 
 
+def at_least(tokens, least: int):
+    """Values that stand ``least`` times or more in an array, ascending, and how often. The array is sorted where it is, and no
+    other of its size is made but one of single bytes: np.unique takes several times the memory."""
+    import numpy as np
+
+    tokens.sort()
+    new = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    first = np.flatnonzero(new[: len(tokens) - least + 1] & (tokens[least - 1 :] == tokens[: len(tokens) - least + 1])) if len(tokens) >= least else np.zeros(0, np.int64)
+    found = tokens[first]
+    return found, np.searchsorted(tokens, found, "right") - first
+
+
 def sketch(tokens) -> bytes:
     """Parities of the tokens in about twice as many buckets as there are tokens, packed.
 
@@ -96,20 +111,20 @@ def fingerprint(tokens) -> int:
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """Rows of kind 0: doc_id, text_key, n, name, sketch of each document; of kind 1: a token often met in one task, and how often."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        hasher, held, size = Hasher(), [], 0
+        hasher, held, size = Hasher(), np.empty(COUNTED + 2**16, np.uint64), 0
 
         def rows(kind, ids, keys, n, names, sketches):
             arrays = [pa.array(np.full(len(n), kind, np.int8)), ids, keys, pa.array(n, pa.int64()), pa.array(names, pa.int64()), sketches]
             return pa.RecordBatch.from_arrays(arrays, names=["kind", "doc_id", "text_key", "n", "name", "sketch"])
 
         def often():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= 8
-            none = pa.nulls(int(some.sum()), pa.int64())
-            return rows(1, none, none, n[some].astype(np.int64), tokens[some].view(np.int64), pa.nulls(len(none), pa.binary()))
+            tokens, n = at_least(held[:size], 8)
+            none = pa.nulls(len(n), pa.int64())
+            return rows(1, none, none, n, tokens.view(np.int64), pa.nulls(len(none), pa.binary()))
 
         for batch in batches:
             ns, names, sketches = [], [], []
@@ -118,13 +133,15 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                 ns.append(len(tokens))
                 names.append(fingerprint(tokens))
                 sketches.append(sketch(tokens))
-                held.append(tokens)
+                if size + len(tokens) > len(held):  # a set longer than the room beyond COUNTED
+                    held = np.concatenate([held[:size], tokens])
+                held[size : size + len(tokens)] = tokens
                 size += len(tokens)
                 if size > COUNTED:
                     yield often()
-                    held, size = [], 0
+                    size = 0
             yield rows(0, batch.column(0), batch.column(2), ns, names, pa.array(sketches, pa.binary()))
-        if held:
+        if size:
             yield often()
 
     return docs.mapInArrow(run, "kind byte, doc_id long, text_key long, n long, name long, sketch binary")
@@ -137,6 +154,7 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     count if the key's tokens are the first they share: those and all that follow in the order.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -180,8 +198,15 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                         left.append(single_left)
             return np.concatenate(keys), np.concatenate(left), weight
 
+        def rows(keys, lefts, weights, ns, names):
+            sizes = [len(k) for k in keys]
+            columns = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(x, kind), sizes) for x, kind in ((weights, np.int16), (ns, np.int32), (names, np.int64)))]
+            columns.insert(2, np.concatenate(lefts).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "left", "n", "name"])
+
         for batch in batches:
-            keys, lefts, weights, ns, names = [], [], [], [], []
+            keys, lefts, weights, ns, names = held = [], [], [], [], []
+            size = 0
             for text in batch.column(1):
                 tokens = shingle_set(word_hashes(text.as_py(), hasher), width)
                 if not len(tokens) or (name := fingerprint(tokens)) in seen:
@@ -195,11 +220,14 @@ def _postings(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 weights.append(weight)
                 ns.append(len(tokens))
                 names.append(name)
+                size += len(found)
+                if size > INDEXED:  # pairs of frequent tokens come to many times the size of their texts
+                    yield rows(*held)
+                    for column in held:
+                        column.clear()
+                    size = 0
             if keys:
-                sizes = [len(k) for k in keys]
-                columns = [np.concatenate(keys).view(np.int64), *(np.repeat(np.array(x, kind), sizes) for x, kind in ((weights, np.int16), (ns, np.int32), (names, np.int64)))]
-                columns.insert(2, np.concatenate(lefts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "left", "n", "name"])
+                yield rows(*held)
 
     return docs.mapInArrow(run, "key long, weight short, left int, n int, name long")
 
@@ -211,6 +239,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     One pass in bounded memory: of a list longer than a batch only the hubs are kept.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -326,6 +355,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
 def _outlined(classes: DataFrame) -> DataFrame:
     """``classes`` with ``outline``, the sketch folded to :data:`OUTLINE` bytes at most."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -348,6 +378,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int, by: str) -> DataF
     kept = ["a", "n_a", "node_a", "class_a", "b", "n_b", "node_b", "class_b", "hub_a", "hub_b"]
     both = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"]).select(*kept, "sketch_a", "sketch_b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
@@ -380,6 +411,7 @@ def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int
     left = tiles.where("tile < n_out").select("hub", F.col("tile").alias("i"), F.explode(F.sequence("tile", total)).alias("j"), F.col("rows").alias("left"))
     right = tiles.select("hub", F.explode(F.sequence(F.lit(0), F.least("tile", F.col("n_out") - 1))).alias("i"), F.col("tile").alias("j"), F.col("rows").alias("right"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -445,6 +477,7 @@ def _verify(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, width: int, p
     left, right = (sets.select(F.col("node").alias(f"node_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     both = pairs.join(left, "node_a").join(right, "node_b").select("node_a", "node_b", "tokens_a", "tokens_b")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -555,6 +588,7 @@ def _levels(top):
 def _sets(texts: DataFrame, ids, width: int) -> DataFrame:
     """Whole sets of documents whose id is in a filter: doc_id, n, name, tokens (sorted 64-bit hashes, packed)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 

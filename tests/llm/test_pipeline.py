@@ -185,3 +185,70 @@ def test_batches_of_long_texts_are_bounded(spark):
             assert found[0] == 4_000 and found[1] < 5_000_000, name
     finally:
         spark.conf.set(key, before)
+
+
+def peak_of(make):
+    """Most bytes of Python objects and arrays while ``make`` runs, and what it gives."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = make()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_tokens_are_counted_where_they_are():
+    from quillmark.llm.jaccard_join import at_least
+
+    rng = np.random.default_rng(5)
+    for size, values in ((0, 1), (7, 1), (8, 1), (9, 2), (5_000, 300), (5_000, 2_000)):
+        tokens = rng.integers(0, values, size).astype(np.uint64) << np.uint64(54)
+        wanted, n = np.unique(tokens, return_counts=True)
+        found, often = at_least(tokens, 8)
+        assert found.tolist() == wanted[n >= 8].tolist() and often.tolist() == n[n >= 8].tolist()
+    for values in (2**60, 40_000):  # nearly all once, and nearly all often
+        tokens = rng.integers(0, values, 1_000_000).astype(np.uint64)
+        peak, _ = peak_of(lambda tokens=tokens: at_least(tokens, 8))
+        assert peak < tokens.nbytes / 2  # np.unique: 33 and 10 MB of 8
+
+
+def test_tasks_hold_little(spark):
+    """What leaves Python tasks is cut into small batches, and short texts are not all counted together."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quillmark.llm.byte_bpe import OUT_BYTES, encode_documents
+    from quillmark.llm.catalog import PATTERN, RANKS
+    from quillmark.llm.jaccard_join import INDEXED, _postings
+    from quillmark.llm.language_id import score_texts
+
+    seen = []
+
+    class Docs:  # hands the function of the tasks over
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: seen.append(run)
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["of", "the", "and", "to", "in"], 300)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4_000)), "text": texts})
+    encode_documents(Docs(), RANKS, PATTERN, with_ids=True)
+    out = list(seen[-1](iter([batch])))
+    assert max(x.nbytes for x in out) < 2 * OUT_BYTES and len(out) > 3
+    whole = pa.Table.from_batches(out)
+    assert whole["doc_id"].to_pylist() == list(range(4_000)) and whole["decoded"].to_pylist() == [x.encode() for x in texts]
+    texts = [" ".join(map(str, rng.permutation(170))) for _ in range(1_500)]
+    from quillmark.llm.jaccard_join import shingle_set
+    from quillmark.llm.words import Hasher, word_hashes
+
+    hasher = Hasher()
+    frequent = np.unique(np.concatenate([shingle_set(word_hashes(x, hasher), 2) for x in texts]))
+    _postings(Docs(), 2, 80, SimpleNamespace(value=(frequent, np.ones(len(frequent), np.int8))))
+    out = list(seen[-1](iter([pa.RecordBatch.from_pydict({"doc_id": list(range(1_500)), "text": texts})])))
+    assert max(x.num_rows for x in out) < 2 * INDEXED and sum(x.num_rows for x in out) > 3 * INDEXED
+    letters, model = np.arange(0x110000, dtype=np.uint32), (["a", "b"], [np.zeros(2**10, np.uint8)], [0.1, 0.1], 2)
+    peak, _ = peak_of(lambda: score_texts(["of the and to in " * 60] * 500, model, letters))
+    assert peak < 20_000_000  # 500,000 characters at once: 29 MB
