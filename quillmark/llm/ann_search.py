@@ -1,12 +1,12 @@
 """Nearest neighbours by cosine: a block matrix join with int8 product tiles.
 
 Vectors are scaled to length one and quantised to int8, each with a scale and the exact norm of what quantisation
-lost. Blocks of queries meet blocks of candidates; a tile of integer products gives each pair's cosine within an error
+lost. Every slice of queries meets every shard of candidates in a task, block by block; a tile of integer products gives each pair's cosine within an error
 bound, and only pairs whose upper bound reaches the block's k-th lower bound are recomputed in double precision from
 the original vectors. Each task keeps the k best of every query it saw; the lists are then merged.
 
-The bounds are proven, so the result is exact (recall 1). Queries are a stated subset and come in blocks, so memory is a
-query block, a candidate block and k rows a query.
+The bounds are proven, so the result is exact (recall 1). Queries are a stated subset and come in slices, so memory is a
+slice of queries, a candidate block and k rows a query. Both sides are shuffled once, and nothing is sent through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import discard, shuffle_parts, stored, tidy
+
 RESULT = "query_id long, vec_id long, score double"
+PAIR = ["dim", "block", "ids", "vectors", "q_block", "q_ids", "q_vectors"]
+#: Parts that candidates are dealt into, but for more cores. Each gives k rows a query, so they don't follow the table.
+SHARDS = 64
+#: Queries, and bytes of them, that a task holds at once; there are more tasks where there are more.
+SLICE_ROWS, SLICE_BYTES = 2**14, 2**24
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -95,35 +102,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     part; an empty table gives an empty result, other columns are not read. Rows that repeat an id are candidates each; a query id that repeats is asked once, with its smallest vector.
     """
     spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the stated query set in blocks: block numbers, not vectors, are what every candidate block is copied for
-    once = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = _blocks(once, query_block).select("dim", F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    blocks = _blocks(usable(vectors, id_col, vector_col), candidate_block).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    met = blocks.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["dim", "shard"])
-    pairs = met.sortWithinPartitions("q_block")
-
+    once = stored(usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    n, components = once.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    slices = max(1, -(-n // SLICE_ROWS), -(-8 * components // SLICE_BYTES))
+    asked = _blocks(once.repartition(slices), query_block).select("dim", F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = stored(asked, "asked")
+    discard(once)
+    shards = min(shuffle_parts(spark), max(SHARDS, 2 * spark.sparkContext.defaultParallelism))
+    blocks = _blocks(usable(vectors, id_col, vector_col), candidate_block).withColumn("block", F.monotonically_increasing_id()).repartition(shards)
+    # each slice of queries meets each shard in a task that fetches both: neither is broadcast, or copied before it is shuffled
+    pairs = blocks.join(asked.repartition(slices).hint("shuffle_replicate_nl"), "dim")
+
+    @tidy
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        best: dict[int, list[tuple]] = {}  # a heap of (score, -id) for each query of the block at hand, the worst on top
-        last, query = None, None
-
-        def flat():
-            rows = [(q, -i, s) for q, held in best.items() for s, i in held]
-            best.clear()
-            q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+        best: dict[int, list[tuple]] = {}  # a heap of (score, -id) for each query of the slice, the worst on top
+        asked: dict[int, tuple] = {}  # blocks of the slice
+        last, block = None, None
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, rows = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-                q_ids, q_rows = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, row["dim"])
-                if last != row["q_block"]:
-                    yield flat()
-                    last, query = row["q_block"], _quantise(q_rows)
-                code, scale, lost = _quantise(rows)
-                q_code, q_scale, q_lost = query
+            for dim, number, ids, vectors, q_block, q_ids, q_vectors in zip(*(batch.column(c) for c in PAIR), strict=True):
+                if (q_block := q_block.as_py()) not in asked:
+                    q_rows = np.frombuffer(q_vectors.as_py(), "<f8").reshape(-1, dim.as_py())
+                    asked[q_block] = (np.frombuffer(q_ids.as_py(), "<i8"), q_rows, *_quantise(q_rows))
+                q_ids, q_rows, q_code, q_scale, q_lost = asked[q_block]
+                if (number := number.as_py()) != last:  # a block of candidates meets all of the slice before the next one comes
+                    rows = np.frombuffer(vectors.as_py(), "<f8").reshape(-1, dim.as_py())
+                    last, block = number, (np.frombuffer(ids.as_py(), "<i8"), rows, *_quantise(rows))
+                ids, rows, code, scale, lost = block
                 for at in range(0, len(q_ids), 128):
                     cut = slice(at, at + 128)
                     near = (q_code[cut] @ code.T).astype(np.float64) * q_scale[cut, None] * scale
@@ -143,9 +150,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                             heapq.heappush(held, (s, -i))
                         elif (s, -i) > held[0]:
                             heapq.heapreplace(held, (s, -i))
-        yield flat()
+        rows = [(q, -i, s) for q, held in best.items() for s, i in held]
+        q, i, s = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(tile, RESULT)
+    found = pairs.select(*PAIR).mapInArrow(tile, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

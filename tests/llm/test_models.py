@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from quillmark.llm import token_counts as tc
+from quillmark.llm import ann_search
 from quillmark.llm.ann_search import nearest
 from quillmark.llm.byte_bpe import Merger, decode_ids, encode_documents, merge_words, rank_slots, read_ranks
 from quillmark.llm.language_id import fit, held_out, identify, predict
@@ -146,6 +147,23 @@ def test_neighbours(spark):
     assert [r.vec_id for r in found] == [2, 4, 1, 3] and [r.score for r in found] == pytest.approx([1, 1, 0.5**0.5, -1])
 
 
+def test_neighbours_without_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(n, rng.normal(size=16).tolist()) for n in range(500)] + [(7, rng.normal(size=16).tolist()), (1000, [1.0, 2.0]), (1001, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.where("vec_id % 10 = 0")
+    one = nearest(table, asked, k=5, query_block=8, candidate_block=32)
+    got = one.orderBy("query_id", "rank").collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastExchange" not in plan
+    monkeypatch.setattr(ann_search, "SLICE_ROWS", 16)  # 51 queries in 4 slices
+    monkeypatch.setattr(ann_search, "SHARDS", 3)
+    assert nearest(table, asked, k=5, query_block=8, candidate_block=32).orderBy("query_id", "rank").collect() == got
+    assert len(got) == 251 and [(r.vec_id, r.score) for r in got if r.query_id == 1000] == [(1001, pytest.approx(0.8))]
+    # blocks of one candidate each, two of them with the same id
+    assert nearest(table, asked, k=5, query_block=1, candidate_block=1).orderBy("query_id", "rank").collect() == got
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = identify(docs).join(docs.select("doc_id", "lang"), "doc_id")
