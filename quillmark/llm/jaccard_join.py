@@ -38,6 +38,8 @@ PAIRS = 300_000
 PAIR_SIZE = 250
 #: Bytes of an outline, a sketch folded where it is longer: what pairs are shuffled with at first. Members in a tile.
 OUTLINE, TILE = 256, 4096
+#: Sets up to this size have their whole sketch as outline.
+WHOLE = 4 * OUTLINE
 #: Candidates of a row that leave a tile, by round; the last round takes all.
 NEAREST = (16, 256, None)
 #: Tokens counted at once by a task when it looks for frequent ones.
@@ -371,6 +373,35 @@ def _outlined(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", outline binary")
 
 
+def _may_link(n_a, n_b, a, b, percent: int) -> bool:
+    """Whether two sets' sizes and sketches (Arrow values) do not rule a link out."""
+    n_a, n_b = n_a.as_py(), n_b.as_py()
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    # shared = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2 where the sets differ in d tokens
+    d = differing(a.as_py(), b.as_py())
+    return 100 * (n_a + n_b - d) >= percent * (n_a + n_b + d)
+
+
+def _long(classes: DataFrame, percent: int) -> DataFrame:
+    """Sets that are too long for an outline, and those of their links."""
+    return classes.where(100 * F.col("n") >= percent * WHOLE)
+
+
+def _whole(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node_a, node_b) of long sets whose whole sketches do not rule a link out: a sketch is far smaller than its set."""
+    left, right = (_long(classes, percent).select(F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(left, "node_a").join(right, "node_b").select("node_a", "node_b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [_may_link(*x, percent) for x in zip(*batch.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["node_a", "node_b"]).filter(pa.array(fits, pa.bool_()))
+
+    return both.mapInArrow(run, "node_a long, node_b long")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int, by: str) -> DataFrame:
     """Pairs (a, n_a, b, n_b, hub_a, hub_b) with the classes of both ends (node, class_id) and ``alike``: whether their
     sizes and their sketches or outlines (column ``by``) do not rule a link out."""
@@ -381,26 +412,19 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int, by: str) -> DataF
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = []
-            for n_a, n_b, x, y in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(10), batch.column(11), strict=True):
-                if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-                    alike.append(False)
-                    continue
-                # shared = (n_a + n_b - d) / 2 and union = (n_a + n_b + d) / 2 where the sets differ in d tokens
-                d = differing(x.as_py(), y.as_py())
-                alike.append(100 * (n_a + n_b - d) >= percent * (n_a + n_b + d))
+            alike = [_may_link(*x, percent) for x in zip(*(batch.column(c) for c in (1, 5, 10, 11)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:10], pa.array(alike, pa.bool_())], names=[*kept, "alike"])
 
     return both.mapInArrow(run, "a long, n_a int, node_a long, class_a long, b long, n_b int, node_b long, class_b long, hub_a boolean, hub_b boolean, alike boolean")
 
 
 def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs (hub, node_a, node_b, cut) around a hub, in different parts, whose sketches do not rule a link out.
+    """Pairs (hub, node_a, node_b, cut, folded) around a hub, in different parts, whose sketches do not rule a link out.
 
     Rows of ``members_of``: hub (a component), node, part, and ``outside``, whether the part is not the hub's. Hubs
     without members outside drop out. Members are dealt by hash into tiles of about :data:`TILE`; a tile of outside members meets every
     tile of its hub, each pair of tiles in a place of its own. Each row gives its ``nearest`` candidates of a tile;
-    ``cut`` tells where there were more.
+    ``cut`` tells where there were more, ``folded`` where an outline was not the whole sketch.
     """
     count = {name: F.ceil(F.count_if(F.col("outside") == side) / TILE).cast("int").alias(name) for name, side in (("n_out", True), ("n_in", False))}
     sizes = members_of.groupBy("hub").agg(*count.values()).where("n_out > 0")
@@ -430,6 +454,9 @@ def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int
                 sketches = sketches[:, :half] ^ sketches[:, half:]
             return sketches
 
+        def folded_of(rows, at):
+            return rows.field("n").to_numpy()[at] > WHOLE
+
         def near(left, right):
             """Row of left, row of right, bits that differ, of all candidates."""
             n_a, part_a, n_b, part_b = (x.field(c).to_numpy() for x in (left, right) for c in ("n", "part"))
@@ -458,9 +485,9 @@ def _tiles(members_of: DataFrame, classes: DataFrame, percent: int, nearest: int
                 most = len(i) if nearest is None else nearest
                 some = np.arange(len(i)) - np.repeat(start, length) < most
                 cut = np.repeat(length > most, length)[some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), hub)), pa.array(left.field("node").to_numpy()[i[some]]), pa.array(right.field("node").to_numpy()[j[some]]), pa.array(cut)], names=["hub", "node_a", "node_b", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), hub)), pa.array(left.field("node").to_numpy()[i[some]]), pa.array(right.field("node").to_numpy()[j[some]]), pa.array(cut), pa.array(folded_of(left, i[some]) | folded_of(right, j[some]))], names=["hub", "node_a", "node_b", "cut", "folded"])
 
-    return left.join(right, ["hub", "i", "j"]).select("hub", "left", "right").mapInArrow(run, "hub long, node_a long, node_b long, cut boolean")
+    return left.join(right, ["hub", "i", "j"]).select("hub", "left", "right").mapInArrow(run, "hub long, node_a long, node_b long, cut boolean, folded boolean")
 
 
 def _verify(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -532,10 +559,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = stored(_alike(first, classes, percent, "outline"), "met")
     discard(lists)
     near = met.where("alike")
-    folded = F.greatest("n_a", "n_b") > 2 * OUTLINE  # their outlines may be shorter than their sketches
+    folded = F.greatest("n_a", "n_b") > WHOLE  # their outlines are shorter than their sketches
     if not near.where(folded).isEmpty():
         whole = near.where(folded).select("a", "n_a", "b", "n_b", "hub_a", "hub_b")
-        near = near.where(~folded).unionByName(stored(_alike(whole, classes, percent, "sketch").where("alike"), "near"))
+        near = near.where(~folded).unionByName(stored(_alike(whole, _long(classes, percent), percent, "sketch").where("alike"), "near"))
     ends = near.select(F.explode(F.array(*[F.struct(F.col(f"node_{x}").alias("node"), F.col(f"class_{x}").alias("class_id"), F.col(f"n_{x}").alias("n"), F.col(x).alias("name")) for x in "ab"])).alias("end")).select("end.*")
     labels = connected(_verify(near.select("node_a", "node_b"), ends, texts, width, percent), "node_a", "node_b", roots=False)
 
@@ -551,10 +578,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         rest = stored(_tiles(placed, classes, percent, nearest), "rest")
         if not rest.isEmpty():
-            pairs = rest.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
-            ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(classes.drop("sketch", "outline"), "node")
-            more = _verify(pairs, ends, texts, width, percent)
-            labels = connected(labels.select(F.col("node").alias("node_a"), F.col("component").alias("node_b")).union(more), "node_a", "node_b", roots=False)
+            pairs = stored(rest.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"), "folded").distinct(), "pairs")
+            short, long = (pairs.where(x).drop("folded") for x in ("NOT folded", "folded"))
+            pairs = short if long.isEmpty() else short.unionByName(stored(_whole(long, classes, percent), "near"))
+            if not pairs.isEmpty():
+                ends = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(classes.drop("sketch", "outline"), "node")
+                more = _verify(pairs, ends, texts, width, percent)
+                labels = connected(labels.select(F.col("node").alias("node_a"), F.col("component").alias("node_b")).union(more), "node_a", "node_b", roots=False)
         open_hubs = rest.where("cut").select("hub").distinct()
         if open_hubs.isEmpty():
             break

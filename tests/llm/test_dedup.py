@@ -130,6 +130,23 @@ def test_jaccard_at_any_threshold(spark, monkeypatch, percent, width, tile, near
     assert found == brute_components(rows, width, percent)
 
 
+def test_long_sets_are_sketched_before_they_are_compared(spark, monkeypatch):
+    """Long texts around a hub, of which outlines of 256 bytes rule nothing out."""
+    shared = [f"s{k}" for k in range(2000)]
+    rows = [(d, " ".join([*shared, *(f"w{d}-{k}" for k in range(4000))])) for d in range(60)]
+    rows += [(100, rows[7][1] + " more"), (101, rows[7][1] + " and more")]
+    seen, real = [], jaccard_join._verify
+
+    def verify(pairs, *more):
+        seen.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verify", verify)
+    found = jaccard_components(table(spark, rows), width=5, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in found} == {d: 7 if d in (7, 100, 101) else d for d, _ in rows}
+    assert sum(seen) <= 6  # of 1,891 pairs; 16 a row and more in later rounds were compared as whole sets before
+
+
 def test_jaccard_odd_rows(spark):
     found = jaccard_components(table(spark, [(1, "a b c"), (1, "a b c"), (2, "A B C"), (None, "a b c"), (3, None)]), width=4, percent=85).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3)]

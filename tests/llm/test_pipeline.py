@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import corpus_pipeline as cp
 import numpy as np
@@ -7,6 +8,7 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
+from quillmark.llm import shared
 from quillmark.llm.byte_bpe import read_ranks
 from quillmark.llm.catalog import QUERIES
 from tests.llm.test_dedup import brute_components, brute_lines
@@ -132,6 +134,25 @@ def test_a_run_leaves_one_table_behind(spark):
     assert "mixing" in left and not left & {"language_id", "line_templates", "jaccard_join"}
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(shared.CLEANUP, None)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    sums = rows.repartition(5, "id").groupBy("k").agg(F.sum("id").alias("s"))
+    table = shared.stored(sums, "sums")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(shared.CLEANUP, None) == setting
+    # the frame itself can still be read, and again
+    assert sorted(table.collect()) == sorted(sums.collect()) == sorted(sums.collect())
+    shared.discard(table)
+
+
 def test_texts_are_shuffled_once_and_only_where_they_may_go(spark, monkeypatch):
     carried = []
     dedup = cp.line_dedup
